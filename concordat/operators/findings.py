@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import rules, text
-from concordat.taxonomy import DEFAULT_STANDARD, taxonomy
+from concordat.taxonomy import BREAKING_TYPES, DEFAULT_STANDARD, severity_rank, taxonomy
 
 
 def with_taxonomy(findings: DataFrame) -> DataFrame:
@@ -63,6 +63,10 @@ def strip_disclaimers(findings: DataFrame, blind_scans: DataFrame, default: str
 
 
 def breaking(type_: Column) -> Column:
-    from concordat.taxonomy import BREAKING_TYPES
-
     return F.coalesce(type_.isin(BREAKING_TYPES), F.lit(False))
+
+
+def order_findings(findings: DataFrame) -> DataFrame:
+    """Findings by scan, severity rank and position."""
+    ranked = findings.withColumn("rank", severity_rank(F.col("severity")))
+    return ranked.orderBy("scan_id", F.asc_nulls_last("rank"), "pos")

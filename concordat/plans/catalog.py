@@ -3,4 +3,5 @@
 from concordat.plans import (  # noqa: F401
     fixtures,
     q_expressions,
+    q_portfolio,
 )
