@@ -17,8 +17,8 @@ def norm_path(path: Column) -> Column:
     marked = F.regexp_replace(F.lower(path), _BALANCED, _MARK)
     marked = F.regexp_replace(marked, r"(?s)\{.*$", _MARK)
     squeezed = F.regexp_replace(F.replace(marked, F.lit(_MARK), F.lit("{}")), "/+", "/")
-    cut = F.when((F.length(squeezed) > 1) & squeezed.endswith("/"), F.regexp_replace(squeezed, "/$", "")).otherwise(squeezed)
-    return F.when(path.isNull() | (cut == ""), F.lit("/")).otherwise(cut)
+    cut = F.regexp_replace(squeezed, "(?<=.)/$", "")
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("/"))
 
 
 def endpoint_key(method: Column, path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from concordat.plans import (  # noqa: F401
     fixtures,
+    q_contract,
     q_expressions,
     q_portfolio,
 )

@@ -77,3 +77,10 @@ def pick(expr: str, items: list[str | None]) -> str:
     """A CASE that maps 0..n-1 to literals; same text in both dialects."""
     arms = " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(items))
     return f"CASE {expr} {arms} END"
+
+
+def struct(d, fields: dict[str, str]) -> str:
+    """A struct literal in either dialect."""
+    if isinstance(d, SparkDialect):
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    return "struct_pack(" + ", ".join(f"{k} := {v}" for k, v in fields.items()) + ")"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SEVERITIES = ["BLOCKER", "CRITICAL", "MAJOR", "MINOR", "INFO", "UNSPECIFIED"]
 
 # HTTP verbs in enum order.
-VERBS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "TRACE"]
+VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "TRACE"]
 
 # Fixed values: (type, layer, severity, breaking, governing standard).
 FINDING_TYPES = [
