@@ -2,8 +2,8 @@
 
 Schemas are keyed by (scan_id, schema). ``schemas`` rows carry type and enum_values; ``fields`` rows carry
 pos, field, type, format, required, ref_schema and constraints. Nested comparison walks the reference
-graph one level per round, at most eight levels below the root; each round is checkpointed, and the loop
-ends as soon as a level is empty.
+graph one level per round, at most eight levels below the root; what every round needs and each level are written
+once, and the loop ends as soon as a level is empty.
 """
 
 from __future__ import annotations
@@ -112,13 +112,10 @@ def bound_field_diff(bindings: DataFrame, code_schemas: DataFrame, code_fields:
     shared nested schema is compared on every path. Pairs of equal names are not emitted here (the same-name
     comparison reports them once) but still count as divergence.
     """
-    code_ok = schema_info(code_schemas, code_fields).filter(~c("structureless")).select("scan_id", c("schema").alias("cs"))
-    spec_ok = (
-        suppressed(schema_info(spec_schemas, spec_fields), blind_spots)
-        .filter(~c("suppressed"))
-        .select("scan_id", c("schema").alias("ss"))
-    )
-    code_last, spec_last = last_fields(code_fields), last_fields(spec_fields)
+    code_ok = cut_lineage(schema_info(code_schemas, code_fields).filter(~c("structureless")).select("scan_id", c("schema").alias("cs")))
+    spec_ok = suppressed(schema_info(spec_schemas, spec_fields), blind_spots).filter(~c("suppressed"))
+    spec_ok = cut_lineage(spec_ok.select("scan_id", c("schema").alias("ss")))
+    code_last, spec_last = cut_lineage(last_fields(code_fields)), cut_lineage(last_fields(spec_fields))
     frontier = bindings.filter(ct.is_array_ref(c("code_ref")) == ct.is_array_ref(c("spec_ref"))).select(
         "scan_id", "binding_id", "locus", ct.base_name(c("code_ref")).alias("cs"), ct.base_name(c("spec_ref")).alias("ss"),
         F.array().cast("array<string>").alias("visited"),
@@ -212,9 +209,9 @@ def structural_verdict(roots: DataFrame, code_schemas: DataFrame, code_fields: D
     A root matches when no reachable pair differs by itself. "All reachable pairs are fine" does not depend
     on the path taken, so reachability needs one visited set per root instead of one per path.
     """
-    info_c = schema_info(code_schemas, code_fields)
-    info_s = suppressed(schema_info(spec_schemas, spec_fields), blind_spots)
-    code_last, spec_last = last_fields(code_fields), last_fields(spec_fields)
+    info_c = cut_lineage(schema_info(code_schemas, code_fields))
+    info_s = cut_lineage(suppressed(schema_info(spec_schemas, spec_fields), blind_spots))
+    code_last, spec_last = cut_lineage(last_fields(code_fields)), cut_lineage(last_fields(spec_fields))
     r = roots.withColumns({"cs": ct.base_name(c("code_ref")), "ss": ct.base_name(c("spec_ref"))})
     ci = info_c.select("scan_id", c("schema").alias("cs"), c("structureless").alias("c_none"))
     si = info_s.select("scan_id", c("schema").alias("ss"), c("structureless").alias("s_none"), c("suppressed").alias("s_skip"))

@@ -3,6 +3,8 @@
 from concordat.plans import (  # noqa: F401
     fixtures,
     q_contract,
+    q_coverage,
     q_expressions,
+    q_findings,
     q_portfolio,
 )

@@ -71,7 +71,12 @@ def query(name: str, oracle: str | None = None) -> Callable:
     def wrap(fn: Callable[[Ctx], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: fn(Ctx(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = with_fixtures(oracle, DuckDialect())
+            ORACLES[name] = oracle
         return fn
 
     return wrap
+
+
+def oracle_texts() -> dict[str, str]:
+    """Self-contained DuckDB text per query."""
+    return {name: with_fixtures(body, DuckDialect()) for name, body in ORACLES.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +44,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and keeps loop plans short."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared checkpoint folder and read them back.
+
+    The result survives the loss of executors and keeps the plans of loops short. Against ``checkpoint()`` it
+    computes the rows once instead of twice, and the reader knows the size of the table when it plans joins."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
