@@ -4,7 +4,9 @@ from concordat.plans import (  # noqa: F401
     fixtures,
     q_contract,
     q_coverage,
+    q_evidence,
     q_expressions,
     q_findings,
     q_portfolio,
+    q_sources,
 )
