@@ -9,4 +9,5 @@ from concordat.plans import (  # noqa: F401
     q_findings,
     q_portfolio,
     q_sources,
+    q_streaming,
 )

@@ -32,9 +32,10 @@ _RES = "CASE turn % 4 WHEN 0 THEN 'Won''t Do' WHEN 1 THEN 'Fixed' END"
 
 @query(
     "src_2",
-    f"""SELECT 'C-' || conv_id || '-' || turn AS key, conv_id AS page, turn AS pos, text AS summary, CASE WHEN role = 'user' THEN 'done' ELSE 'new' END AS status_category,
+    """WITH p AS (SELECT *, conv_id * 1000 + turn AS page FROM conversations), r AS (SELECT 0 AS k UNION ALL SELECT 1)
+    SELECT 'C-' || conv_id || '-' || turn || CASE k WHEN 0 THEN '' ELSE '-b' END AS key, page, CAST(k AS BIGINT) AS pos, text AS summary, CASE WHEN role = 'user' THEN 'done' ELSE 'new' END AS status_category,
       CASE WHEN turn % 4 = 0 THEN 'DESCOPED' WHEN role = 'user' THEN 'DONE' ELSE 'TO_DO' END AS lifecycle, CASE WHEN turn % 3 > 0 THEN 'P' || turn END AS priority, role || ',x' AS components,
-      CASE WHEN turn % 2 = 0 THEN 'L-' || conv_id ELSE '' END AS links FROM conversations ORDER BY conv_id, turn LIMIT 300""",
+      CASE WHEN turn % 2 = 0 THEN 'L-' || conv_id ELSE '' END AS links FROM p, r ORDER BY page, k LIMIT 300""",
 )
 def src_2(ctx):
     t = c("turn")
@@ -46,9 +47,11 @@ def src_2(ctx):
         F.array(F.struct(c("role").alias("name")), F.struct(F.lit(" ").alias("name")), F.struct(F.lit("x").alias("name"))).alias("components"),
         F.array(F.struct(F.struct(F.when(t % 2 == 0, F.concat(F.lit("L-"), "conv_id")).otherwise("").alias("key")).alias("outwardIssue"))).alias("issuelinks"),
     )
-    issue = F.struct(F.concat(F.lit("C-"), "conv_id", F.lit("-"), t).alias("key"), field.alias("fields"))
-    conv = ctx.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(t.alias("o"), issue.alias("i")))).alias("x"))
-    pages = conv.select(c("conv_id").alias("page"), F.to_json(F.struct(F.size("x").alias("total"), F.transform("x", lambda s: s["i"]).alias("issues"))).alias("json"))
+    key = F.concat(F.lit("C-"), "conv_id", F.lit("-"), t)
+    both = F.array(*[F.struct(k.alias("key"), field.alias("fields")) for k in (key, F.concat(key, F.lit("-b")))])
+    pages = ctx.table("conversations").select(
+        (c("conv_id") * 1000 + t).alias("page"), F.to_json(F.struct(F.lit(2).alias("total"), both.alias("issues"))).alias("json")
+    )
     out = tracker.issues(pages, 300)
     return out.select(
         "key", "page", c("pos").cast("bigint").alias("pos"), "summary", "status_category", "lifecycle", "priority",

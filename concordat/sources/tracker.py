@@ -49,6 +49,10 @@ def issues(pages: DataFrame, cap: int = 0) -> DataFrame:
     return out.orderBy("page", "pos").limit(cap) if cap > 0 else out
 
 
+def _is_mark(name: str):
+    return lambda m: F.try_variant_get(m, "$.type", "string") == name
+
+
 BLOCKS = ["heading", "paragraph", "codeBlock", "rule", "listItem", "tableRow"]
 
 
@@ -88,7 +92,7 @@ def adf_to_lines(docs: DataFrame) -> DataFrame:
         )
         marks = F.coalesce(F.try_variant_get("node", "$.marks", "array<variant>"), F.array().cast("array<variant>"))
         for name, sign in (("strong", "**"), ("em", "*"), ("code", "`")):
-            has = F.exists(marks, lambda m, name=name: F.try_variant_get(m, "$.type", "string") == name)
+            has = F.exists(marks, _is_mark(name))
             inline = F.when(has, F.concat(F.lit(sign), inline, F.lit(sign))).otherwise(inline)
         leaves.append(nxt.select("key", "block", "kind", "lvl", "path", inline.alias("t")).filter(c("t").isNotNull()))
         level = nxt.select("key", "path", "node", "block", "kind", "lvl")
