@@ -113,7 +113,9 @@ def dedup_cross(findings: DataFrame) -> DataFrame:
 
 
 def root_cause_key(df: DataFrame) -> DataFrame:
-    """``rc``: shared schema field, else code line with summary, else null (never collapses)."""
+    """``rc``: shared schema field, else code line with summary, else null (never collapses).
+
+    ``rc_kind`` (S, C or null) says the same cheaply; filters use it, so they do not repeat the text work."""
     none = F.lit("")
     schema = F.concat_ws("|", F.lit("S"), "type", F.coalesce("spec_source", none), "spec_locus")
     code = F.concat_ws(
@@ -121,13 +123,15 @@ def root_cause_key(df: DataFrame) -> DataFrame:
         F.coalesce(c("code_line").cast("string"), none), text.norm_summary(c("summary")),
     )
     by_schema = c("type").isin(SPEC_LOCUS_TYPES) & c("spec_locus").isNotNull()
-    return df.withColumn("rc", F.when(by_schema, schema).when(c("code_file").isNotNull(), code))
+    by_code = c("code_file").isNotNull()
+    kind = F.when(by_schema, "S").when(by_code, "C")
+    return df.withColumns({"rc_kind": kind, "rc": F.when(by_schema, schema).when(by_code, code)})
 
 
 def affected_endpoints(findings: DataFrame) -> DataFrame:
     """Distinct endpoints per root cause with their first position; schema causes count HTTP endpoints only."""
-    f = root_cause_key(findings).filter(c("rc").isNotNull() & c("endpoint").isNotNull())
-    f = f.filter(~c("rc").startswith("S|") | paths.is_http_endpoint(c("endpoint")))
+    f = root_cause_key(findings).filter(c("rc_kind").isNotNull() & c("endpoint").isNotNull())
+    f = f.filter((c("rc_kind") == "C") | paths.is_http_endpoint(c("endpoint")))
     return f.groupBy("scan_id", "rc", "endpoint").agg(F.min("pos").alias("first_pos"))
 
 
@@ -136,9 +140,9 @@ def collapse_root_cause(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = root_cause_key(findings)
     eps = affected_endpoints(findings)
     n = eps.groupBy("scan_id", "rc").agg(F.count("*").alias("n_affected"))
-    keyed = f.filter(c("rc").isNotNull())
+    keyed = f.filter(c("rc_kind").isNotNull())
     first = first_k(keyed, ["scan_id", "rc"], [F.asc("pos")]).join(n, ["scan_id", "rc"], "left")
-    many, by_schema = F.coalesce(c("n_affected") > 1, F.lit(False)), c("rc").startswith("S|")
+    many, by_schema = F.coalesce(c("n_affected") > 1, F.lit(False)), c("rc_kind") == "S"
     locus = F.split("spec_locus", "#", 2)
     field = F.coalesce(F.try_element_at(locus, F.lit(2)), c("spec_locus"))
     lead = F.concat(F.lit("Field '"), field, F.lit("' of shared spec schema '"), locus[0], F.lit("' is "))
@@ -153,7 +157,7 @@ def collapse_root_cause(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
             "n_affected": F.when(many, c("n_affected")),
         }
     )
-    rest = f.filter(c("rc").isNull()).withColumn("n_affected", F.lit(None).cast("bigint"))
+    rest = f.filter(c("rc_kind").isNull()).withColumn("n_affected", F.lit(None).cast("bigint"))
     affected = eps.join(n.filter(c("n_affected") > 1), ["scan_id", "rc"], "left_semi")
     return survivors.unionByName(rest), affected
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class SparkDialect:
     def __init__(self, sf_dir: str):
@@ -74,9 +76,22 @@ class DuckDialect:
 
 
 def pick(expr: str, items: list[str | None]) -> str:
-    """A CASE that maps 0..n-1 to literals; same text in both dialects."""
-    arms = " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(items))
-    return f"CASE {expr} {arms} END"
+    """A mark for "item number ``expr`` of this list"; :func:`expand_picks` writes it for a dialect."""
+    return "⟦" + expr + "⟧⟪" + "§".join("NULL" if v is None else f"'{v}'" for v in items) + "⟫"
+
+
+_PICK = re.compile("⟦([^⟦⟧]*)⟧⟪([^⟪⟫]*)⟫")
+
+
+def expand_picks(sql: str, d) -> str:
+    def one(m: re.Match) -> str:
+        items = m.group(2).split("§")
+        if isinstance(d, SparkDialect):
+            return f"element_at(array({', '.join(items)}), CAST({m.group(1)} AS INT) + 1)"
+        arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(items))
+        return f"CASE {m.group(1)} {arms} END"
+
+    return _PICK.sub(one, sql)
 
 
 def struct(d, fields: dict[str, str]) -> str:

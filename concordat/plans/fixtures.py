@@ -161,7 +161,7 @@ def units(d) -> str:
     """Evidence units of three sources. The title is the first words of the text."""
 
     def title(text: str, n: int) -> str:
-        return d.rxget(d.rx(text, "[^A-Za-z ]+", ""), "^((?:[A-Za-z]+ +){0,%d}[A-Za-z]*)" % n)
+        return d.rx(d.rxget(text, "^[^A-Za-z]*((?:[A-Za-z]+[^A-Za-z]+){0,%d}[A-Za-z]*)" % n), "[^A-Za-z]+", " ")
 
     return f"""
     SELECT concat('doc-', doc_id) AS id, doc_id AS num, 'CONFLUENCE' AS source,

@@ -9,6 +9,7 @@ from concordat.operators import findings as fnd
 from concordat.plans import duck
 from concordat.plans.dialect import pick
 from concordat.plans.registry import fixture, query
+from concordat.session import spread
 from concordat.taxonomy import FINDING_TYPES
 
 
@@ -186,11 +187,11 @@ def exp_11(ctx):
 @fixture
 def issue_states(d) -> str:
     return f"""
-    SELECT o_orderkey, {pick("o_orderkey % 9", ["Won't Do", " rejected ", "Fixed", None, "Declined", "Done", None, "", "WONT FIX"])}
+    SELECT o_orderkey, {pick("o_orderkey % 9", ["Won''t Do", " rejected ", "Fixed", None, "Declined", "Done", None, "", "WONT FIX"])}
                AS resolution,
            {pick("CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END",
                  ["done", "indeterminate", "new", "odd"])} AS category
-    FROM {d.t("orders")}""".replace("'Won't Do'", "'Won''t Do'")
+    FROM {d.t("orders")}"""
 
 
 @query(
@@ -335,7 +336,7 @@ def _duck_redact() -> str:
 
 @query("exp_17", _duck_redact())
 def exp_17(ctx):
-    out = redaction.redact(ctx.fx("secrets").select("doc_id", "text"), "text")
+    out = redaction.redact(spread(ctx.fx("secrets").select("doc_id", "text")), "text")
     counts = redaction.redact_columns()
     total = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
     return out.select("doc_id", "redacted", *counts, total.alias("hits"))
@@ -422,7 +423,7 @@ def exp_21(ctx):
     SELECT src.kind, src.id, coalesce(hints, '') AS hints FROM src LEFT JOIN g ON src.kind = g.kind AND src.id = g.id""",
 )
 def exp_22(ctx):
-    docs = ctx.table("documents").select(
+    docs = spread(ctx.table("documents")).select(
         F.lit("text").alias("kind"),
         F.col("doc_id").alias("id"),
         F.array_join(text.hints_text(F.col("text")), " ").alias("hints"),
@@ -441,7 +442,7 @@ def exp_22(ctx):
     SELECT token, {duck.stem('token')} AS stem, count(*) AS n FROM t GROUP BY token""",
 )
 def exp_23(ctx):
-    tokens = ctx.table("documents").select(
+    tokens = spread(ctx.table("documents")).select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")
     )
     return tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("stem", text.stem(F.col("token")))

@@ -9,6 +9,7 @@ from concordat.operators import vulnerabilities as vu
 from concordat.plans import duck
 from concordat.plans.dialect import pick
 from concordat.plans.registry import fixture, query
+from concordat.session import spread
 
 c = F.col
 
@@ -38,7 +39,7 @@ _NS = duck.norm_summary("summary")
       CASE WHEN det AND NOT fdet THEN coalesce(proposed_fix, fp) ELSE proposed_fix END AS proposed_fix FROM r WHERE rn = 1""",
 )
 def win_3(ctx):
-    return fn.dedup_cross(ctx.fx("near")).select("row_id", "first_pos", "explanation", "proposed_fix")
+    return fn.dedup_cross(spread(ctx.fx("near"))).select("row_id", "first_pos", "explanation", "proposed_fix")
 
 
 @fixture
@@ -71,13 +72,13 @@ _RC = f"""k AS (SELECT *, CASE WHEN type IN ('SCHEMA_FIELD_MISSING','SCHEMA_FIEL
            ELSE summary END AS summary, CASE WHEN n > 1 THEN n END AS n_affected FROM s WHERE rn = 1 OR rc IS NULL""",
 )
 def win_4(ctx):
-    survivors, _ = fn.collapse_root_cause(ctx.fx("located"))
+    survivors, _ = fn.collapse_root_cause(spread(ctx.fx("located")))
     return survivors.select("row_id", "finding_id", "summary", "n_affected")
 
 
 @query("win_4_affected", f"WITH {_RC} SELECT e.scan_id, e.rc, e.endpoint, e.first_pos FROM e JOIN n ON n.scan_id = e.scan_id AND n.rc = e.rc AND n.n > 1")
 def win_4_affected(ctx):
-    _, affected = fn.collapse_root_cause(ctx.fx("located"))
+    _, affected = fn.collapse_root_cause(spread(ctx.fx("located")))
     return affected.select("scan_id", "rc", "endpoint", "first_pos")
 
 

@@ -11,7 +11,7 @@ from concordat.operators import portfolio as pf
 
 from concordat.plans.registry import fixture, query
 from concordat.schemas import SOURCE_TABLES
-from concordat.session import checkpoint_dir
+from concordat.session import checkpoint_dir, spread
 from concordat.sources import sinks, specdocs, tracker, wiki
 
 
@@ -243,7 +243,7 @@ def markdown_docs(d) -> str:
       WHEN regexp_matches(' ' || lower(text) || ' ', ' (must|shall|should) ') THEN 'BUSINESS_RULE' ELSE 'REQUIREMENT' END AS kind, text FROM t""",
 )
 def src_9(ctx):
-    return wiki.test_basis(ctx.fx("markdown_docs")).select("id", "kind", "text")
+    return wiki.test_basis(spread(ctx.fx("markdown_docs"))).select("id", "kind", "text")
 
 
 @query("src_10")

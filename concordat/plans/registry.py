@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.plans.dialect import DuckDialect, SparkDialect
+from concordat.plans.dialect import DuckDialect, SparkDialect, expand_picks
 from concordat.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,7 @@ def with_fixtures(body: str, dialect) -> str:
         for name in dict.fromkeys(re.findall(r"\bfx_(\w+)\b", text)):
             if name not in seen:
                 seen.add(name)
-                sql = FIXTURES[name](dialect)
+                sql = expand_picks(FIXTURES[name](dialect), dialect)
                 visit(sql)
                 ordered.append((name, sql))
 
