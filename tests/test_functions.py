@@ -1,0 +1,85 @@
+"""Fixed cases of the scalar expressions."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from concordat.functions import contract, ids, paths, redaction, rules, text, versions
+
+
+def one(spark, expr, **values):
+    row = ", ".join(f"{'NULL' if v is None else repr(v)} AS {k}" for k, v in values.items())
+    return spark.sql(f"SELECT {row}").select(expr.alias("r")).first()["r"]
+
+
+@pytest.mark.parametrize(
+    "path, want",
+    [
+        ("/A/{id}/B/", "/a/{}/b"), ("/a/{id:[0-9]{2}}/x", "/a/{}/x"), ("//a//b", "/a/b"), ("/a/{open/b", "/a/{}"), ("", "/"), (None, "/"), ("/", "/"),
+    ],
+)
+def test_norm_path(spark, path, want):
+    df = spark.createDataFrame([(path,)], "p string")
+    assert df.select(paths.norm_path(F.col("p"))).first()[0] == want
+
+
+@pytest.mark.parametrize("word, want", [("policies", "policy"), ("boxes", "box"), ("classes", "class"), ("logins", "login"), ("status", "status"), ("class", "class"), ("bus", "bus"), ("ties", "tie")])
+def test_stem(spark, word, want):
+    assert one(spark, text.stem(F.col("w")), w=word) == want
+
+
+def test_hash8_matches_base32(spark):
+    import base64
+    import hashlib
+
+    want = base64.b32encode(hashlib.sha256(b"hello world").digest()[:5]).decode().lower()
+    assert one(spark, ids.hash8(F.col("t")), t="  Hello   World ") == want
+
+
+def test_slug_folds_accents(spark):
+    df = spark.createDataFrame([("Été: Règles!",), (" ",)], "t string")
+    assert [r[0] for r in df.select(ids.slug(F.col("t"))).collect()] == ["ete-regles", "x"]
+
+
+@pytest.mark.parametrize("a, b, want", [("1.10", "1.9", 1), ("1.0", "1", 0), ("2.0-rc1", "2.0", 0), ("1.a", "1.b", -1), (None, "0", 0), ("1.2.3", "1.2.10", -1)])
+def test_versions(spark, a, b, want):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(versions.version_cmp(F.col("a"), F.col("b"))).first()[0] == want
+
+
+def test_redaction_keeps_numbers_that_fail_the_check(spark):
+    df = spark.createDataFrame([("pan 4111 1111 1111 1111 and 4111 1111 1111 1112, mail a@b.org",)], "text string")
+    row = redaction.redact(df, "text").first()
+    assert row["redacted"] == "pan [REDACTED-PAN] and 4111 1111 1111 1112, mail [REDACTED-EMAIL]"
+    assert (row["n_card"], row["n_email"]) == (1, 1)
+
+
+@pytest.mark.parametrize(
+    "code, spec, want",
+    [
+        (["application/json"], ["application/*"], True), (["application/json"], ["application/problem+json"], False),
+        (["application/*+json"], ["application/problem+json"], True), (["*/*"], ["text/html"], True), (["junk"], ["JUNK"], True), (["text/html", "a/b"], ["text/html"], False),
+    ],
+)
+def test_media(spark, code, spec, want):
+    df = spark.createDataFrame([(code, spec)], "a array<string>, b array<string>")
+    assert df.select(contract.media_compatible(F.col("a"), F.col("b"))).first()[0] is want
+
+
+def test_attention_is_null_safe(spark):
+    df = spark.createDataFrame([("MISSING_ENDPOINT", None, None, None)], "t string, o string, c string, d boolean")
+    assert df.select(rules.needs_attention(*[F.col(x) for x in "tocd"])).first()[0] is False
+
+
+def test_constraint_order_and_asymmetry(spark):
+    fields = "minLength int, maxLength int, minimum double, maximum double, exclusiveMin boolean, exclusiveMax boolean, pattern string, enumValues array<string>, format string"
+    empty = (None,) * 9
+    low = (None, None, 1.0, None, True, None, None, None, None)
+    two = (None, None, 2.0, None, None, None, None, None, None)
+    length = (3, None, None, None, None, None, None, None, None)
+    df = spark.createDataFrame(
+        [(1, low, two), (2, empty, two), (3, empty, length)], f"i int, c struct<{fields.replace(' ', ':').replace(',:', ',')}>, s struct<{fields.replace(' ', ':').replace(',:', ',')}>"
+    )
+    out = {r["i"]: r["d"] for r in df.select("i", contract.constraint_diff(F.col("c"), F.col("s"), F.lit(True), F.lit(True)).alias("d")).collect()}
+    assert out[1] is None  # >1 and >=2 agree on integers
+    assert out[2] is None  # a bound only the spec has is no drift
+    assert out[3] == "minLength code=null spec=3"
