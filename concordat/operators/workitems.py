@@ -46,5 +46,5 @@ def reviewers(commits: DataFrame, n: int, bot: str, default: str, history: int =
     top = people.withColumn("place", place).filter(F.col("place") <= n).select("file", "user", "place")
     files = commits.select("file").distinct()
     return files.join(top, "file", "left").select(
-        "file", F.coalesce("user", F.lit(default)).alias("reviewer"), F.coalesce("place", F.lit(1)).alias("place")
+        "file", F.coalesce("user", F.lit(default)).alias("reviewer"), F.coalesce("place", F.lit(1)).cast("bigint").alias("place")
     )

@@ -538,7 +538,7 @@ def models(d) -> str:
 @fixture
 def policy(d) -> str:
     return f"""
-    SELECT p_brand AS tier, p_name AS model, p_partkey AS pos FROM {d.t("part")} WHERE p_partkey < 200
+    SELECT p_brand AS tier, p_name AS model, p_partkey AS pos FROM {d.t("part")}
     UNION ALL SELECT concat('extra-', n_nationkey) AS tier, CASE WHEN n_nationkey % 2 = 0 THEN 'small ring' ELSE 'ghost' END, 0 FROM {d.t("nation")}"""
 
 

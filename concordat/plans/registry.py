@@ -69,7 +69,12 @@ def query(name: str, oracle: str | None = None) -> Callable:
     """Register ``fn(ctx) -> DataFrame`` under ``name`` with its DuckDB text."""
 
     def wrap(fn: Callable[[Ctx], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: fn(Ctx(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Instants are UTC throughout the data model.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(Ctx(spark, sf_dir))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
