@@ -17,12 +17,14 @@ def match_coverage(required: DataFrame, tests: DataFrame) -> DataFrame:
     """Match required titles (plan_id, pos, title) to tests (plan_id, pos, key, title).
 
     Equal fingerprints give HIGH, containment either way gives MEDIUM; the first test in order wins. Titles are
-    matched by distinct fingerprint, so copies cost nothing. An empty required title is a gap."""
+    matched by distinct fingerprint, so copies cost nothing. An empty required title is a gap, and so is a match
+    whose first test has no key."""
     r = required.withColumn("fp", text.title_fp(c("title")))
     t = tests.withColumn("fp", text.title_fp(c("title")))
     first = cut_lineage(t.filter(c("fp") != "").groupBy("plan_id", "fp").agg(F.min(F.struct("pos", "key")).alias("t")))
     want = r.filter(c("fp") != "").select("plan_id", "fp").distinct()
-    high = want.join(first, ["plan_id", "fp"]).select("plan_id", "fp", c("t.key").alias("key"), F.lit("HIGH").alias("conf"))
+    exact = first.filter(c("t.key").isNotNull())
+    high = want.join(exact, ["plan_id", "fp"]).select("plan_id", "fp", c("t.key").alias("key"), F.lit("HIGH").alias("conf"))
     left = want.join(high.select("plan_id", "fp"), ["plan_id", "fp"], "left_anti").select(c("plan_id").alias("grp"), c("fp").alias("text"))
     left = cut_lineage(left)
     have = first.select(c("plan_id").alias("grp"), c("fp").alias("text"))
@@ -37,7 +39,7 @@ def match_coverage(required: DataFrame, tests: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "status": F.when(c("key").isNotNull(), "MATCHED").otherwise("GAP"),
-            "confidence": F.coalesce("conf", F.lit("HIGH")),
+            "confidence": F.when(c("key").isNotNull(), c("conf")).otherwise("HIGH"),
         }
     ).withColumnRenamed("key", "matched_key").drop("conf")
 

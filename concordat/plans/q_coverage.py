@@ -33,13 +33,13 @@ def existing_tests(d) -> str:
 
 
 _MATCH = f"""r AS (SELECT *, {duck.title_fp("title")} AS fp FROM fx_required_cases), t AS (SELECT *, {duck.title_fp("title")} AS tfp FROM fx_existing_tests),
- h AS (SELECT plan_id, tfp, arg_min(key, (pos, coalesce(key, ''))) AS key, true AS hit FROM t WHERE tfp <> '' GROUP BY ALL),
+ h AS (SELECT plan_id, tfp, key, true AS hit FROM (SELECT plan_id, tfp, arg_min(coalesce(key, '~'), pos) AS key FROM t WHERE tfp <> '' GROUP BY ALL) WHERE key <> '~'),
  rf AS (SELECT DISTINCT plan_id, fp FROM r WHERE fp <> ''), tf AS (SELECT plan_id, tfp, min(pos) AS pos, arg_min(coalesce(key, '~'), pos) AS key FROM t WHERE tfp <> '' GROUP BY ALL),
  md AS (SELECT rf.plan_id, rf.fp, arg_min(tf.key, tf.pos) AS key FROM rf JOIN tf ON tf.plan_id = rf.plan_id AND (contains(tf.tfp, rf.fp) OR contains(rf.fp, tf.tfp))
     WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.plan_id = rf.plan_id AND h.tfp = rf.fp) GROUP BY ALL),
  m AS (SELECT r.*, CASE WHEN h.hit THEN h.key ELSE nullif(md.key, '~') END AS matched_key,
    CASE WHEN CASE WHEN h.hit THEN h.key ELSE nullif(md.key, '~') END IS NOT NULL THEN 'MATCHED' ELSE 'GAP' END AS status,
-   CASE WHEN h.hit THEN 'HIGH' WHEN md.key IS NOT NULL THEN 'MEDIUM' ELSE 'HIGH' END AS confidence
+   CASE WHEN h.hit THEN 'HIGH' WHEN md.key <> '~' THEN 'MEDIUM' ELSE 'HIGH' END AS confidence
    FROM r LEFT JOIN h ON h.plan_id = r.plan_id AND h.tfp = r.fp LEFT JOIN md ON md.plan_id = r.plan_id AND md.fp = r.fp)"""
 
 

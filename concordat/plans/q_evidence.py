@@ -119,7 +119,7 @@ def cites(d) -> str:
     return f"""
     SELECT doc_id AS cite, concat('sec', doc_id % 60) AS section, concat('f', CASE WHEN doc_id % 8 = 0 THEN doc_id + 1 ELSE doc_id END % 97) AS feature_id,
            CASE doc_id % 13 WHEN 0 THEN ' ' WHEN 1 THEN concat('doc-', doc_id + 5) ELSE concat('doc-', doc_id) END AS unit_id,
-           CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN substr(text, 4, 11) WHEN 2 THEN concat('  ', upper(substr(text, 1, 3)), substr(text, 4, 40)) WHEN 3 THEN concat(substr(text, 9, 30), ' qqq') ELSE substr(text, 20, 25) END AS quote
+           CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN substr(text, 4, 11) WHEN 2 THEN concat('  ', replace(substr(text, 1, 43), 'e', 'E')) WHEN 3 THEN concat(substr(text, 9, 30), ' qqq') ELSE substr(text, 20, 25) END AS quote
     FROM {d.t("documents")}"""
 
 
