@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
         shared = tempfile.mkdtemp(prefix="concordat-checkpoint-")
     sc.setCheckpointDir(shared)
