@@ -32,4 +32,31 @@ SELECT o.doc_id, o.size, t.source_size, t.target,
 FROM ordered o JOIN tgt t ON o.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op1_mix": OP1}
+OP3 = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS rid, doc_id, words FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents)),
+iw AS (
+  SELECT item_id, words, least(13, len(words)) AS n FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark) WHERE len(words) > 0),
+grams AS (
+  SELECT DISTINCT item_id, n, array_to_string(words[p:p + n - 1], ' ') AS g
+  FROM (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM iw)),
+widths AS (SELECT DISTINCT n FROM iw),
+wins AS (
+  SELECT rid, n, p, array_to_string(words[p:p + n - 1], ' ') AS g
+  FROM (SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM dw, widths WHERE len(words) >= n)),
+hits AS (SELECT w.rid, w.n, w.p, g.item_id FROM wins w JOIN grams g USING (n, g)),
+cov AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT rid, n, p FROM hits)) GROUP BY rid),
+its AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
+ORACLES = {"op1_mix": OP1, "op3_decontaminate": OP3}
