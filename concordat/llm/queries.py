@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import decontamination, fuzzy_fingerprints, html_main, mixing, sql
+from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, sql
 from concordat.sources.tables import load
 
 
@@ -22,6 +22,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_fingerprints.neighbours(load(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(load(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.report(load(spark, sf_dir, "pages"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
+    "op6_language": op6_language,
     "op9_main_text": op9_main_text,
 }
 
