@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, sql
+from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, sql, toxicity
 from concordat.sources.tables import load
 
 
@@ -26,6 +26,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(load(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.report(load(spark, sf_dir, "pages"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
     "op6_language": op6_language,
+    "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
 }
 
