@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, sql, toxicity
+from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, secret_scan, sql, toxicity
 from concordat.sources.tables import load
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(load(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
     "op6_language": op6_language,
