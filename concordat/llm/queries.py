@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, secret_scan, sql, toxicity
+from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, ngram_jaccard, secret_scan, sql, toxicity
 from concordat.sources.tables import load
 
 
@@ -38,6 +38,10 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.report(load(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_secrets": op2_secrets,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 

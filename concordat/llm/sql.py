@@ -59,4 +59,25 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
-ORACLES = {"op1_mix": OP1, "op3_decontaminate": OP3}
+OP10 = r"""
+WITH RECURSIVE dw AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(s) AS s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - 2), lambda p: array_to_string(words[p:p + 3], ' ')) END) AS s FROM dw)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes u ON u.doc_id = a JOIN sizes v ON v.doc_id = b WHERE 100 * o >= 85 * (u.n + v.n - o)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM documents
+  UNION SELECT l.a, r.label FROM reach r JOIN links l ON l.b = r.node)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.label AS component_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT node, min(label) AS label FROM reach GROUP BY node) c ON c.node = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = d.doc_id
+"""
+
+ORACLES = {"op1_mix": OP1, "op3_decontaminate": OP3, "op10_ngram_join": OP10}
