@@ -291,16 +291,21 @@ def fit(texts: list[str], rounds: int = 80, seed: int = 7, width: int = 21) -> F
 
 
 def train(docs: DataFrame, sample: int = 300) -> Field:
-    """A field from at most ``sample`` texts with a word of the base patterns and as many of any kind, the first by a
-    hash of text and doc_id. Without texts it learns from made-up secrets alone."""
-    order = [F.xxhash64("text", "doc_id"), c("doc_id")]
+    """A field from about ``sample`` texts with a word of the base patterns and as many of any kind, chosen by a hash
+    of text and doc_id. Without texts it learns from made-up secrets alone."""
     rows = docs.filter(c("text").isNotNull()).select("doc_id", "text")
     low = F.lower("text")
     cue = c("text").contains("AKIA")
     for x in ("passw", "secret", "token", "apikey", "api_key"):
         cue = cue | low.contains(x)
-    texts = [r["text"] for part in (rows.filter(cue), rows) for r in part.orderBy(*order).limit(sample).collect()]
-    return fit(list(dict.fromkeys(texts)))
+    sizes = rows.agg(F.count_if(cue), F.count("*")).first()
+    draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    texts: set[str] = set()
+    for part, size in zip((rows.filter(cue), rows), sizes, strict=True):
+        if size:
+            picked = part.filter(draw < sample / size).select("text").limit(2 * sample + 100)
+            texts |= {r["text"] for r in picked.collect()}
+    return fit(sorted(texts))
 
 
 def scan(texts: list[str | None], field: Field) -> list[list[tuple[int, int, str]]]:
