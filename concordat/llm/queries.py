@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, ngram_jaccard, secret_scan, sql, toxicity
+from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, ngram_jaccard, pseudonyms, secret_scan, sql, tool_calls, toxicity
 from concordat.sources.tables import load
 
 
@@ -26,10 +26,18 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_fingerprints.neighbours(load(spark, sf_dir, "documents"))
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.report(load(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(load(spark, sf_dir, "documents"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.report(load(spark, sf_dir, "conversations"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
+    "op5_pseudonyms": op5_pseudonyms,
     "op6_language": op6_language,
+    "op7_tool_calls": op7_tool_calls,
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_ngram_join": op10_ngram_join,

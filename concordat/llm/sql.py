@@ -80,4 +80,46 @@ JOIN (SELECT node, min(label) AS label FROM reach GROUP BY node) c ON c.node = d
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = d.doc_id
 """
 
-ORACLES = {"op1_mix": OP1, "op3_decontaminate": OP3, "op10_ngram_join": OP10}
+OP7 = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, len(text) AS n FROM conversations),
+calls AS MATERIALIZED (
+  SELECT conv_id, turn, 'call_' || turn AS call_id, text, n,
+    ['search', 'lookup', 'translate', 'browse'][n % 4 + 1] AS name, n % 13 <> 0 AS readable,
+    n % 5 = 0 AS text_limit, n % 3 = 0 AS has_key, n % 2 = 0 AS has_exact,
+    CASE n % 3 WHEN 0 THEN [turn - 2] WHEN 1 THEN [turn - 4, turn + 2] ELSE [] END AS after
+  FROM t WHERE role = 'assistant'),
+deps AS MATERIALIZED (
+  SELECT a.conv_id, a.turn, b.turn AS dep FROM (SELECT conv_id, turn, unnest(after) AS dep FROM calls) a
+  JOIN calls b ON b.conv_id = a.conv_id AND b.turn = a.dep),
+paths AS (
+  SELECT conv_id, turn, 0 AS level FROM calls
+  UNION SELECT d.conv_id, d.turn, p.level + 1 FROM paths p JOIN deps d ON d.conv_id = p.conv_id AND d.dep = p.turn WHERE p.level < 1000),
+depth AS (SELECT conv_id, turn, CASE WHEN max(level) < 1000 THEN max(level) END AS level FROM paths GROUP BY ALL),
+given AS (
+  SELECT conv_id, turn, unnest([{'f': 'to', 'ty': 'string'}, {'f': 'query', 'ty': 'string'},
+    {'f': 'limit', 'ty': CASE WHEN text_limit THEN 'string' ELSE 'integer' END},
+    {'f': 'key', 'ty': CASE WHEN has_key THEN 'string' END}, {'f': 'exact', 'ty': CASE WHEN has_exact THEN 'boolean' END}], recursive := true)
+  FROM calls WHERE readable),
+sch(name, f, ty, required) AS (VALUES ('search', 'query', 'string', true), ('search', 'limit', 'integer', false), ('search', 'exact', 'boolean', false),
+  ('lookup', 'key', 'string', true), ('lookup', 'limit', 'integer', true), ('translate', 'text', 'string', true), ('translate', 'to', 'string', true)),
+errs AS (
+  SELECT conv_id, turn, 'tool' AS e FROM calls WHERE name = 'browse'
+  UNION ALL SELECT conv_id, turn, 'json' FROM calls WHERE NOT readable
+  UNION ALL SELECT c.conv_id, c.turn, 'missing ' || s.f FROM calls c JOIN sch s USING (name)
+    WHERE readable AND required AND NOT EXISTS (SELECT 1 FROM given g WHERE g.conv_id = c.conv_id AND g.turn = c.turn AND g.f = s.f AND g.ty IS NOT NULL)
+  UNION ALL SELECT c.conv_id, c.turn, CASE WHEN s.f IS NULL THEN 'unknown ' ELSE 'type ' END || g.f
+    FROM calls c JOIN given g USING (conv_id, turn) LEFT JOIN sch s ON s.name = c.name AND s.f = g.f
+    WHERE c.name <> 'browse' AND g.ty IS NOT NULL AND (s.f IS NULL OR s.ty <> g.ty)),
+err AS (SELECT conv_id, turn, string_agg(e, ',' ORDER BY e) AS errors FROM errs GROUP BY ALL),
+res AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(text) AS content FROM t WHERE role = 'user' GROUP BY ALL)
+SELECT c.conv_id, c.call_id, c.name, d.level::BIGINT AS level,
+  (row_number() OVER (PARTITION BY c.conv_id ORDER BY d.level NULLS LAST, md5(c.call_id)) - 1)::BIGINT AS position,
+  coalesce(r.n_results, 0)::BIGINT AS n_results, coalesce(e.errors, '') AS errors, e.errors IS NULL AS valid,
+  '{"arguments":' || CASE WHEN NOT readable THEN 'null' ELSE '{"exact":' || CASE WHEN has_exact THEN 'true' ELSE 'null' END
+      || CASE WHEN has_key THEN ',"key":"k' || c.turn || '"' ELSE '' END || ',"limit":' || CASE WHEN text_limit THEN '"ten"' ELSE n::VARCHAR END
+      || ',"query":' || to_json(c.text)::VARCHAR || ',"to":"en"}' END
+    || ',"call_id":"' || c.call_id || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS message
+FROM calls c JOIN depth d USING (conv_id, turn) LEFT JOIN res r USING (conv_id, turn) LEFT JOIN err e USING (conv_id, turn)
+"""
+
+ORACLES = {"op1_mix": OP1, "op3_decontaminate": OP3, "op7_tool_calls": OP7, "op10_ngram_join": OP10}
