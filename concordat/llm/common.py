@@ -74,17 +74,18 @@ def folded(text: str | None) -> bytes:
     return text.encode().translate(LOWER) if text else b""
 
 
-def pieces(column: pa.Array, budget: int = 2_000_000) -> Iterator[list[str | None]]:
+def pieces(column: pa.Array, budget: int = 500_000) -> Iterator[list[str | None]]:
     """Runs of whole values of about ``budget`` characters, so that memory follows the longest text and not the
     batch."""
     run: list[str | None] = []
     size = 0
-    for text in column.to_pylist():
-        run.append(text)
-        size += len(text) if text else 0
-        if size >= budget:
-            yield run
-            run, size = [], 0
+    for at in range(0, len(column), 128):
+        for text in column.slice(at, 128).to_pylist():
+            run.append(text)
+            size += len(text) if text else 0
+            if size >= budget:
+                yield run
+                run, size = [], 0
     if run:
         yield run
 

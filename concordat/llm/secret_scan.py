@@ -345,7 +345,7 @@ def annotate(docs: DataFrame, field: Field, out: str = "secrets") -> DataFrame:
 
     @arrow_udf(RESULT)
     def find(text: pa.Array) -> pa.Array:
-        rows = [[{"kind": k, "start": a, "stop": b} for a, b, k in spans] for run in pieces(text, 1_000_000) for spans in scan(run, shared.value)]
+        rows = [[{"kind": k, "start": a, "stop": b} for a, b, k in spans] for run in pieces(text) for spans in scan(run, shared.value)]
         return pa.array(rows, ARROW)
 
     return docs.withColumn(out, find(c("text").cast("string")))
