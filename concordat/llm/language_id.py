@@ -260,7 +260,8 @@ def annotate(docs: DataFrame, model: Model, out: str = "language") -> DataFrame:
         ]
         return pa.array(rows, ARROW)
 
-    return docs.withColumn(out, label(c("text").cast("string")))
+    # As non-deterministic it is not copied into a filter on its result, which would label every text twice.
+    return docs.withColumn(out, label.asNondeterministic()(c("text").cast("string")))
 
 
 def report(docs: DataFrame, per_lang: int = 2000) -> DataFrame:
