@@ -13,11 +13,12 @@ BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
 
 
 def _fold_tables() -> tuple[str, str]:
-    """Single letters with diacritics up to U+024F and their base letter, by the decomposition rule."""
+    """All single letters that decompose to a base letter and marks, and that letter."""
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(cp):
+    for cp in range(0xC0, 0x10000):
+        form = "NFKD" if cp < 0x250 else "NFD"
+        base = "".join(c for c in unicodedata.normalize(form, chr(cp)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(cp) and unicodedata.category(chr(cp))[0] == "L":
             src.append(chr(cp))
             dst.append(base)
     return "".join(src), "".join(dst)

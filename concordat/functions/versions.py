@@ -17,11 +17,12 @@ def version_cmp(a: Column, b: Column) -> Column:
 
     def step(x: Column, y: Column) -> Column:
         x, y = F.coalesce(x, F.lit("0")), F.coalesce(y, F.lit("0"))
-        numeric = x.rlike(r"^[+-]?\d{1,18}$") & y.rlike(r"^[+-]?\d{1,18}$")
-        nx, ny = x.try_cast("bigint"), y.try_cast("bigint")
+        numeric = x.rlike(r"^[+]?[0-9]+$") & y.rlike(r"^[+]?[0-9]+$")
+        nx, ny = F.regexp_replace(x, "^[+]?0*", ""), F.regexp_replace(y, "^[+]?0*", "")
+        longer, shorter = F.length(nx) > F.length(ny), F.length(nx) < F.length(ny)
         return (
-            F.when(numeric & (nx < ny), -1)
-            .when(numeric & (nx > ny), 1)
+            F.when(numeric & (shorter | ~longer & (nx < ny)), -1)
+            .when(numeric & (longer | ~shorter & (nx > ny)), 1)
             .when(numeric, 0)
             .when(x < y, -1)
             .when(x > y, 1)

@@ -9,8 +9,6 @@ from concordat.functions.ids import hash8
 from concordat.session import cut_lineage
 
 c = F.col
-SMALL_SET = 100_000
-BUCKETS = 4096
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -48,17 +46,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-def set_digest(rows: DataFrame, keys: list[str], item: str, out: str, sep: str = "|") -> DataFrame:
-    """Eight-letter digest of the set of items per key.
+def set_digest(rows: DataFrame, keys: list[str], item: str, out: str) -> DataFrame:
+    """Eight-letter digest of the set of items per key, by one rule for sets of any size.
 
-    Usual sets hash the sorted items joined by the separator. A set too large for one row is hashed by buckets
-    of its items first and then over the sorted bucket digests; either way the digest depends on the set only.
-    """
-    items = rows.select(*keys, c(item).alias("_i")).distinct()
-    sizes = items.groupBy(*keys).agg(F.count("*").alias("_n"))
-    j = items.join(sizes, keys)
-    small = j.filter(c("_n") <= SMALL_SET).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_i")), sep).alias("_t"))
-    bucket = F.pmod(F.xxhash64("_i"), F.lit(BUCKETS)).alias("_b")
-    part = j.filter(c("_n") > SMALL_SET).groupBy(*keys, bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_i")), sep), 256).alias("_d"))
-    large = part.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "_b", "_d"))), sep).alias("_t"))
-    return small.unionByName(large).select(*keys, hash8(c("_t")).alias(out))
+    The items' SHA-256 is cut in two numbers of 60 bits; the digest hashes the number of items and the two sums. Sums
+    have no order and combine in the tasks, so no set is gathered."""
+    part = lambda at: F.conv(F.substr(F.sha2(c(item), 256), F.lit(at), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    items = rows.select(*keys, item).distinct().select(*keys, part(1).alias("_x"), part(16).alias("_y"))
+    sums = items.groupBy(*keys).agg(F.concat_ws(":", F.count("*"), F.sum("_x").cast("string"), F.sum("_y").cast("string")).alias("_t"))
+    return sums.select(*keys, hash8(c("_t")).alias(out))

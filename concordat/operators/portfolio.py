@@ -257,8 +257,10 @@ def cost_summary(ledger: DataFrame) -> DataFrame:
 
 
 def daily(df: DataFrame, ts: str, measures: dict[str, Column], today: str, days: int = 30) -> DataFrame:
-    """Zero-filled totals of the last ``days`` days up to ``today`` (clamped to 1–365)."""
-    span = max(1, min(days, 365))
+    """Zero-filled totals of the last ``days`` days up to ``today``."""
+    if days < 1:
+        raise ValueError("days must be 1 or more")
+    span = days
     spark = df.sparkSession
     last = F.to_date(F.lit(today))
     calendar = spark.range(span).select(F.date_sub(last, c("id").cast("int")).alias("day"))

@@ -24,6 +24,12 @@ def hash8(x: str) -> str:
     return "concat(" + ", ".join(f"substr('{B32}', CAST((({n} >> {s}) & 31) + 1 AS INTEGER), 1)" for s in range(35, -1, -5)) + ")"
 
 
+def set_digest(x: str) -> str:
+    """Digest of the group's set of ``x``, each given once."""
+    part = lambda at: f"CAST(sum(CAST('0x' || substr(sha256({x}), {at}, 15) AS BIGINT)) AS VARCHAR)"
+    return hash8(f"concat(count(*), ':', {part(1)}, ':', {part(16)})")
+
+
 def title_fp(x: str) -> str:
     return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
 

@@ -31,7 +31,7 @@ def jn_36(ctx):
 _COMP = f"""WITH RECURSIVE {_CL}, e2 AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
  lab AS (SELECT id, id AS l FROM cl UNION SELECT e2.b, lab.l FROM lab JOIN e2 ON e2.a = lab.id AND lab.l < e2.b),
  cm AS (SELECT id, min(l) AS l FROM lab GROUP BY id),
- fid AS (SELECT l, 'feat-' || {duck.hash8("string_agg(id, '|' ORDER BY id)")} AS feature_id FROM cm GROUP BY l),
+ fid AS (SELECT l, 'feat-' || {duck.set_digest("id")} AS feature_id FROM cm GROUP BY l),
  mb AS (SELECT cl.*, feature_id FROM cl JOIN cm USING (id) JOIN fid USING (l))"""
 
 _STATUS = """CASE WHEN code AND intent THEN CASE WHEN active THEN 'PARTIAL' ELSE 'IMPLEMENTED' END WHEN code THEN 'UNDOCUMENTED' WHEN done AND NOT active THEN 'COVERAGE_GAP' ELSE 'PLANNED' END"""
@@ -260,7 +260,7 @@ def merge_groups(d) -> str:
 _GROUPS = f"""{_FU}, {_described('fu')}, tk AS (SELECT * FROM (SELECT g.*, ft.name AS own, row_number() OVER (PARTITION BY ref ORDER BY group_pos, ref_pos) AS rn FROM fx_merge_groups g JOIN ft ON ft.feature_id = g.ref) WHERE rn = 1),
  nm AS (SELECT group_pos, arg_min(struct_pack(a := name, b := own), ref_pos) AS n FROM tk GROUP BY group_pos),
  mm AS (SELECT fu.*, tk.group_pos FROM fu LEFT JOIN tk ON tk.ref = fu.feature_id),
- gi AS (SELECT group_pos, 'feat-' || {duck.hash8("string_agg(id, '|' ORDER BY id)")} AS new_id FROM mm WHERE group_pos IS NOT NULL GROUP BY group_pos)"""
+ gi AS (SELECT group_pos, 'feat-' || {duck.set_digest("id")} AS new_id FROM mm WHERE group_pos IS NOT NULL GROUP BY group_pos)"""
 
 
 @query(
@@ -294,7 +294,7 @@ def pinned(d) -> str:
     f"""WITH {_FU}, {_described('fu')}, v AS (SELECT h.merge_id, h.feature_id, h.name, min(h.pos) AS pos, ft.name AS own, ft.size FROM fx_hand_merges h JOIN ft USING (feature_id) GROUP BY ALL),
     b AS (SELECT merge_id, max(name) AS given, arg_min(own, (-size, pos)) AS largest FROM v GROUP BY merge_id HAVING count(*) >= 2),
     mm AS (SELECT fu.*, v.merge_id FROM fu LEFT JOIN (SELECT v.* FROM v JOIN b USING (merge_id)) v USING (feature_id)),
-    gi AS (SELECT merge_id, 'feat-' || {duck.hash8("string_agg(id, '|' ORDER BY id)")} AS new_id FROM mm WHERE merge_id IS NOT NULL GROUP BY merge_id),
+    gi AS (SELECT merge_id, 'feat-' || {duck.set_digest("id")} AS new_id FROM mm WHERE merge_id IS NOT NULL GROUP BY merge_id),
     o AS (SELECT coalesce(gi.new_id, mm.feature_id) AS feature_id, any_value(mm.merge_id) AS merge_id, count(*) AS size, any_value(mm.feature_id) AS old FROM mm LEFT JOIN gi USING (merge_id) GROUP BY 1),
     pn AS (SELECT DISTINCT coalesce(gi.new_id, p.feature_id) AS feature_id FROM fx_pinned p LEFT JOIN v ON v.feature_id = p.feature_id LEFT JOIN gi ON gi.merge_id = v.merge_id)
     SELECT o.feature_id, o.size, CASE WHEN o.merge_id IS NULL THEN ft.name ELSE coalesce(nullif(trim(b.given), ''), b.largest) END AS name, pn.feature_id IS NOT NULL AS pinned

@@ -154,7 +154,7 @@ def agg_9(ctx):
 
 @query(
     "agg_10",
-    """WITH cal AS (SELECT CAST(DATE '2001-08-01' - CAST(i AS INTEGER) AS DATE) AS day FROM range(0, 365) t(i)),
+    """WITH cal AS (SELECT CAST(DATE '2001-08-01' - CAST(i AS INTEGER) AS DATE) AS day FROM range(0, 9999) t(i)),
     s AS (SELECT CAST(started_at AS DATE) AS day, count(*) AS n, CAST(sum(total_findings) AS BIGINT) AS f FROM fx_scans GROUP BY 1)
     SELECT CAST(day AS VARCHAR) AS day, coalesce(n, 0) AS scans, coalesce(f, 0) AS findings FROM cal LEFT JOIN s USING (day)""",
 )

@@ -11,7 +11,7 @@ from concordat.operators import portfolio as pf
 
 from concordat.plans.registry import fixture, query
 from concordat.schemas import SOURCE_TABLES
-from concordat.session import checkpoint_dir, spread
+from concordat.session import checkpoint_dir
 from concordat.sources import sinks, specdocs, tracker, wiki
 
 
@@ -35,7 +35,7 @@ _RES = "CASE turn % 4 WHEN 0 THEN 'Won''t Do' WHEN 1 THEN 'Fixed' END"
     """WITH p AS (SELECT *, conv_id * 1000 + turn AS page FROM conversations), r AS (SELECT 0 AS k UNION ALL SELECT 1)
     SELECT 'C-' || conv_id || '-' || turn || CASE k WHEN 0 THEN '' ELSE '-b' END AS key, page, CAST(k AS BIGINT) AS pos, text AS summary, CASE WHEN role = 'user' THEN 'done' ELSE 'new' END AS status_category,
       CASE WHEN turn % 4 = 0 THEN 'DESCOPED' WHEN role = 'user' THEN 'DONE' ELSE 'TO_DO' END AS lifecycle, CASE WHEN turn % 3 > 0 THEN 'P' || turn END AS priority, role || ',x' AS components,
-      CASE WHEN turn % 2 = 0 THEN 'L-' || conv_id ELSE '' END AS links FROM p, r ORDER BY page, k LIMIT 300""",
+      CASE WHEN turn % 2 = 0 THEN 'L-' || conv_id ELSE '' END AS links FROM p, r""",
 )
 def src_2(ctx):
     t = c("turn")
@@ -52,7 +52,7 @@ def src_2(ctx):
     pages = ctx.table("conversations").select(
         (c("conv_id") * 1000 + t).alias("page"), F.to_json(F.struct(F.lit(2).alias("total"), both.alias("issues"))).alias("json")
     )
-    out = tracker.issues(pages, 300)
+    out = tracker.issues(pages)
     return out.select(
         "key", "page", c("pos").cast("bigint").alias("pos"), "summary", "status_category", "lifecycle", "priority",
         F.array_join("components", ",").alias("components"), F.array_join("links", ",").alias("links"),
@@ -176,7 +176,7 @@ def page_edges(d) -> str:
     "src_5",
     """WITH RECURSIVE t AS (SELECT 'R' || r_regionkey AS root, 'R' || r_regionkey AS page, 0 AS depth, []::INTEGER[] AS path FROM region
       UNION ALL SELECT t.root, e.child, depth + 1, list_append(path, e.pos) FROM t JOIN fx_page_edges e ON e.parent = t.page AND e.child <> t.root WHERE depth < 5),
-    o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, path) AS ord FROM t) SELECT root, page, depth, CAST(ord AS INTEGER) AS ord FROM o WHERE ord <= 500""",
+    o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, path) AS ord FROM t) SELECT root, page, depth, CAST(ord AS INTEGER) AS ord FROM o""",
 )
 def src_5(ctx):
     roots = ctx.table("region").select(F.concat(F.lit("R"), "r_regionkey").alias("root"))
@@ -236,14 +236,14 @@ def markdown_docs(d) -> str:
     m AS (SELECT *, regexp_matches(' ' || lower(line) || ' ', ' (must|shall|should) ') AS modal, regexp_replace(line, '^#+\s*', '') AS hd FROM l WHERE line <> ''),
     s AS (SELECT *, CASE WHEN line LIKE '#%' THEN 'H' WHEN regexp_full_match(line, '\|[\s|:\-]+\|?') THEN NULL WHEN line LIKE '|%' THEN 'T' WHEN line LIKE '- %' OR regexp_matches(line, '^\d+\.\s') THEN 'B'
       WHEN regexp_matches(line, '(?i)^(given|when|then|and|but)\b') THEN 'G' WHEN modal THEN 'M' END AS sh FROM m),
-    h AS (SELECT *, CASE WHEN sh = 'H' THEN coalesce(nullif(substr(regexp_replace(regexp_replace(lower(hd), '[^a-z0-9]+', '-', 'g'), '(^-|-$)', '', 'g'), 1, 24), ''), 'sec') END AS slug, CASE WHEN sh = 'H' THEN contains(lower(hd), 'acceptance') END AS ac FROM s WHERE sh IS NOT NULL),
+    h AS (SELECT *, CASE WHEN sh = 'H' THEN coalesce(nullif(regexp_replace(regexp_replace(lower(hd), '[^a-z0-9]+', '-', 'g'), '(^-|-$)', '', 'g'), ''), 'sec') END AS slug, CASE WHEN sh = 'H' THEN contains(lower(hd), 'acceptance') END AS ac FROM s WHERE sh IS NOT NULL),
     w AS (SELECT *, coalesce(last_value(slug IGNORE NULLS) OVER o, 'general') AS section, coalesce(last_value(ac IGNORE NULLS) OVER o, false) AS ina, count(*) FILTER (WHERE sh <> 'H') OVER o AS n FROM h WINDOW o AS (PARTITION BY source ORDER BY pos)),
     t AS (SELECT *, CASE sh WHEN 'T' THEN regexp_replace(trim(regexp_replace(regexp_replace(line, '^\|', ''), '\|$', '')), '\s*\|\s*', ' — ', 'g') WHEN 'B' THEN trim(regexp_replace(line, '^(-\s|\d+\.\s)', '')) ELSE line END AS text FROM w WHERE sh <> 'H')
     SELECT source || '#' || section || '-' || n AS id, CASE WHEN sh = 'G' THEN 'ACCEPTANCE_CRITERIA' WHEN sh <> 'B' THEN 'BUSINESS_RULE' WHEN ina THEN 'ACCEPTANCE_CRITERIA'
       WHEN regexp_matches(' ' || lower(text) || ' ', ' (must|shall|should) ') THEN 'BUSINESS_RULE' ELSE 'REQUIREMENT' END AS kind, text FROM t""",
 )
 def src_9(ctx):
-    return wiki.test_basis(spread(ctx.fx("markdown_docs"))).select("id", "kind", "text")
+    return wiki.test_basis(ctx.fx("markdown_docs")).select("id", "kind", "text")
 
 
 @query("src_10")

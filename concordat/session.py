@@ -54,12 +54,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a narrow scan over the cores when it has fewer splits than there are cores to work on it.
-
-    For CPU-heavy text work on few large row groups. A scan of a large table has more splits than cores and is
-    left as it is. Only for plans without a shuffle, where counting partitions runs nothing."""
-    want = 2 * scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(want) if scan.rdd.getNumPartitions() < want else scan

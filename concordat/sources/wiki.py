@@ -16,11 +16,11 @@ TEST_SUFFIXES = ["java", "kt", "groovy", "feature"]
 SKIPPED_DIRS = ["target", "build", "out", "bin", ".git", "node_modules", ".idea"]
 
 
-def page_tree(edges: DataFrame, roots: DataFrame, max_pages: int = 500) -> DataFrame:
-    """Pages below each root, breadth first, each page once, at most ``max_pages`` per root (the root counts).
+def page_tree(edges: DataFrame, roots: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages below each root, breadth first, each page once; ``max_pages`` keeps that many per root (the root counts).
 
-    ``edges``: parent, child, pos; ``roots``: root. A level keeps at most ``max_pages`` rows per root, since
-    later ones can never be delivered."""
+    ``edges``: parent, child, pos; ``roots``: root. With a limit, a level keeps at most so many rows per root,
+    since later ones can never be delivered."""
     level = cut_lineage(
         roots.select("root", c("root").alias("page"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")).distinct()
     )
@@ -30,12 +30,16 @@ def page_tree(edges: DataFrame, roots: DataFrame, max_pages: int = 500) -> DataF
             "root", c("child").alias("page"), (c("depth") + 1).alias("depth"), F.array_append("path", c("pos").cast("int")).alias("path")
         )
         nxt = nxt.groupBy("root", "page", "depth").agg(F.min("path").alias("path")).join(seen.select("root", "page"), ["root", "page"], "left_anti")
-        full = seen.groupBy("root").agg(F.count("*").alias("n")).filter(c("n") >= max_pages).select("root")
-        level = cut_lineage(first_k(nxt.join(full, "root", "left_anti"), ["root"], [F.asc("path")], max_pages))
+        if max_pages:
+            full = seen.groupBy("root").agg(F.count("*").alias("n")).filter(c("n") >= max_pages).select("root")
+            nxt = first_k(nxt.join(full, "root", "left_anti"), ["root"], [F.asc("path")], max_pages)
+        level = cut_lineage(nxt)
         if level.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(level))
-    return first_k(seen, ["root"], [F.asc("depth"), F.asc("path")], max_pages, "ord")
+    if max_pages:
+        return first_k(seen, ["root"], [F.asc("depth"), F.asc("path")], max_pages, "ord")
+    return seen.withColumn("ord", F.row_number().over(Window.partitionBy("root").orderBy("depth", "path")))
 
 
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +114,7 @@ def test_basis(docs: DataFrame) -> DataFrame:
     item_text = F.trim(F.regexp_replace("line", r"^(-\s|\d+\.\s)", ""))
     head = F.regexp_replace("line", r"^#+\s*", "")
     slug = F.regexp_replace(F.regexp_replace(F.lower(head), "[^a-z0-9]+", "-"), "(^-|-$)", "")
-    slug = F.when(slug == "", "sec").otherwise(F.substr(slug, F.lit(1), F.lit(24)))
+    slug = F.when(slug == "", "sec").otherwise(slug)
     shape = (
         F.when(heading, "HEADING").when(bar, F.lit(None)).when(table, "TABLE").when(bullet, "BULLET").when(gwt, "GWT").when(modal(c("line")), "MODAL")
     )
