@@ -17,7 +17,6 @@ from concordat.operators.windows import first_k
 from concordat.session import cut_lineage
 
 c = F.col
-MAX_DEPTH = 8
 
 
 def last_fields(fields: DataFrame) -> DataFrame:
@@ -122,15 +121,13 @@ def bound_field_diff(bindings: DataFrame, code_schemas: DataFrame, code_fields:
     )
     levels: list[DataFrame] = []
     mismatches: list[DataFrame] = []
-    for depth in range(MAX_DEPTH, -1, -1):
+    while True:
         pair = F.concat("cs", F.lit("|"), "ss")
         nodes = frontier.filter(~F.array_contains("visited", pair)).join(code_ok, ["scan_id", "cs"]).join(spec_ok, ["scan_id", "ss"])
         nodes = cut_lineage(nodes.withColumn("visited", F.array_append("visited", pair)))
         if nodes.isEmpty():
             break
         levels.append(nodes.select("scan_id", "binding_id", "locus", "cs", "ss"))
-        if depth == 0:
-            break
         f = _common_fields(nodes, code_last, spec_last)
         one_ref = c("c_ref").isNotNull() != c("s_ref").isNotNull()
         ref_type = F.when(c("c_ref").isNotNull(), c("c_type")).otherwise(c("s_type"))
@@ -174,16 +171,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _local_failures(pairs: DataFrame, info_c: DataFrame, info_s: DataFrame, code_last: DataFrame, spec_last: DataFrame) -> DataFrame:
-    """Pairs (scan_id, cs, ss, deepest) that differ by themselves: enum sets, field sets, field types, array-ness."""
+    """Pairs (scan_id, cs, ss) that differ by themselves: enum sets, field sets, field types, array-ness."""
     key = ["scan_id", "cs", "ss"]
     ce = info_c.select("scan_id", c("schema").alias("cs"), c("enum_values").alias("c_enum"))
     se = info_s.select("scan_id", c("schema").alias("ss"), c("enum_values").alias("s_enum"))
     p = pairs.join(ce, ["scan_id", "cs"]).join(se, ["scan_id", "ss"])
     c_has, s_has = ct.has_values(c("c_enum")), ct.has_values(c("s_enum"))
     by_enum = p.filter((c_has | s_has) & ~(c_has & s_has & ct.same_set(c("c_enum"), c("s_enum")))).select(*key)
-    plain = p.filter(~(c_has | s_has)).select(*key, "deepest")
+    plain = p.filter(~(c_has | s_has)).select(*key)
     cf = plain.join(code_last.withColumnRenamed("schema", "cs"), ["scan_id", "cs"]).select(
-        *key, "field", "deepest", c("type").alias("c_type"), c("ref_schema").alias("c_ref"), F.lit(1).alias("in_c")
+        *key, "field", c("type").alias("c_type"), c("ref_schema").alias("c_ref"), F.lit(1).alias("in_c")
     )
     sf = plain.join(spec_last.withColumnRenamed("schema", "ss"), ["scan_id", "ss"]).select(
         *key, "field", c("type").alias("s_type"), c("ref_schema").alias("s_ref"), F.lit(1).alias("in_s")
@@ -195,7 +192,7 @@ def _local_failures(pairs: DataFrame, info_c: DataFrame, info_s: DataFrame, code
         | c("in_s").isNull()
         | (typed & (c("c_type") != c("s_type")))
         | (
-            ~c("deepest") & c("c_ref").isNotNull() & c("s_ref").isNotNull()
+            c("c_ref").isNotNull() & c("s_ref").isNotNull()
             & (ct.is_array_ref(c("c_ref")) != ct.is_array_ref(c("s_ref")))
         )
     )
@@ -231,8 +228,8 @@ def structural_verdict(roots: DataFrame, code_schemas: DataFrame, code_fields: D
     key = ["scan_id", "binding_id", "cs", "ss"]
     frontier = r.filter(c("early").isNull()).select(*key)
     seen = None
-    for level in range(MAX_DEPTH + 1):
-        frontier = cut_lineage(frontier.distinct().withColumn("level", F.lit(level)))
+    while True:
+        frontier = cut_lineage(frontier.distinct())
         if frontier.isEmpty():
             break
         seen = frontier if seen is None else seen.unionByName(frontier)
@@ -242,10 +239,8 @@ def structural_verdict(roots: DataFrame, code_schemas: DataFrame, code_fields: D
         nxt = f.select("scan_id", "binding_id", ct.base_name(c("c_ref")).alias("cs"), ct.base_name(c("s_ref")).alias("ss"))
         nxt = nxt.join(exists_c, ["scan_id", "cs"]).join(exists_s, ["scan_id", "ss"])
         frontier = nxt.join(seen.select(*key), key, "left_anti")
-    if seen is None:
-        seen = frontier.withColumn("level", F.lit(0))
-    nodes = seen.withColumn("deepest", c("level") == MAX_DEPTH)
-    bad = _local_failures(nodes.select("scan_id", "cs", "ss", "deepest").distinct(), info_c, info_s, code_last, spec_last)
+    nodes = frontier if seen is None else seen
+    bad = _local_failures(nodes.select("scan_id", "cs", "ss").distinct(), info_c, info_s, code_last, spec_last)
     differs = nodes.join(bad, ["scan_id", "cs", "ss"], "left_semi").select("scan_id", "binding_id", F.lit(True).alias("differs")).distinct()
     out = r.join(differs, ["scan_id", "binding_id"], "left")
     verdict = F.coalesce("early", F.when(c("differs"), "DIFFER").otherwise("MATCH"))

@@ -617,20 +617,20 @@ _TREE = f"""WITH RECURSIVE {_INFO},
  ok AS (SELECT a.scan_id, a.schema AS cs, b.schema AS ss FROM ci a JOIN si b ON a.scan_id = b.scan_id WHERE NOT a.sl AND NOT b.skip),
  link AS (SELECT c.scan_id, c.schema AS cs, s.schema AS ss, c.field, replace(c.ref_schema, '[]', '') AS nc, replace(s.ref_schema, '[]', '') AS ns
    FROM cl c JOIN sl s ON s.scan_id = c.scan_id AND s.field = c.field WHERE c.ref_schema IS NOT NULL AND s.ref_schema IS NOT NULL AND {_ARR("c.ref_schema")} = {_ARR("s.ref_schema")}),
- t AS (SELECT b.scan_id, b.binding_id, b.locus, ok.cs, ok.ss, 8 AS depth, [ok.cs || '|' || ok.ss] AS visited FROM fx_bindings b
+ t AS (SELECT b.scan_id, b.binding_id, b.locus, ok.cs, ok.ss, [ok.cs || '|' || ok.ss] AS visited FROM fx_bindings b
      JOIN ok ON ok.scan_id = b.scan_id AND ok.cs = replace(b.code_ref, '[]', '') AND ok.ss = replace(b.spec_ref, '[]', '') WHERE {_ARR("code_ref")} = {_ARR("spec_ref")}
    UNION ALL
-   SELECT t.scan_id, t.binding_id, t.locus || '.' || l.field, l.nc, l.ns, t.depth - 1, list_append(t.visited, l.nc || '|' || l.ns)
+   SELECT t.scan_id, t.binding_id, t.locus || '.' || l.field, l.nc, l.ns, list_append(t.visited, l.nc || '|' || l.ns)
      FROM t JOIN link l ON l.scan_id = t.scan_id AND l.cs = t.cs AND l.ss = t.ss JOIN ok ON ok.scan_id = t.scan_id AND ok.cs = l.nc AND ok.ss = l.ns
-     WHERE t.depth > 0 AND NOT list_contains(t.visited, l.nc || '|' || l.ns)),
+     WHERE NOT list_contains(t.visited, l.nc || '|' || l.ns)),
  st AS {_STEP("t")},
  mm AS (SELECT scan_id, binding_id, locus || '.' || field AS endpoint, 'SCHEMA_FIELD_TYPE_MISMATCH' AS type,
      'Field ''' || field || ''' of ' || locus || ' is ' || CASE WHEN cref IS NOT NULL THEN 'a nested object/array in code but a scalar (' || st || ') in the spec'
        ELSE 'a scalar (' || ct || ') in code but a nested object/array in the spec' END AS summary, 'HIGH' AS confidence FROM st
-     WHERE depth > 0 AND (cref IS NULL) <> (sref IS NULL) AND CASE WHEN cref IS NOT NULL THEN st ELSE ct END <> 'object' AND coalesce(CASE WHEN cref IS NOT NULL THEN ct ELSE st END <> 'array', true)
+     WHERE (cref IS NULL) <> (sref IS NULL) AND CASE WHEN cref IS NOT NULL THEN st ELSE ct END <> 'object' AND coalesce(CASE WHEN cref IS NOT NULL THEN ct ELSE st END <> 'array', true)
    UNION ALL SELECT scan_id, binding_id, locus || '.' || field, 'SCHEMA_FIELD_TYPE_MISMATCH', 'Field ''' || field || ''' of ' || locus || ' is ' ||
      CASE WHEN {_ARR("cref")} THEN 'an array in code but a single object in the spec' ELSE 'a single object in code but an array in the spec' END, 'HIGH' FROM st
-     WHERE depth > 0 AND cref IS NOT NULL AND sref IS NOT NULL AND {_ARR("cref")} <> {_ARR("sref")}),
+     WHERE cref IS NOT NULL AND sref IS NOT NULL AND {_ARR("cref")} <> {_ARR("sref")}),
  cmp AS (SELECT * FROM ({_field_rows("t", "x.scan_id, x.binding_id, x.cs, x.ss")})),
  em AS (SELECT DISTINCT * FROM (SELECT scan_id, binding_id, endpoint, type, summary, confidence FROM cmp WHERE cs <> ss UNION ALL SELECT * FROM mm)),
  dv AS (SELECT scan_id, binding_id FROM cmp UNION SELECT scan_id, binding_id FROM mm)"""
@@ -650,15 +650,15 @@ _VERDICT = f"""{_TREE},
         WHEN c_has IS NULL OR s_has IS NULL OR c_sl OR skip THEN 'UNRESOLVED' END AS early FROM r2),
  edge AS (SELECT l.* FROM link l JOIN ci ON ci.scan_id = l.scan_id AND ci.schema = l.cs AND coalesce(len(ci.enum_values), 0) = 0 JOIN si ON si.scan_id = l.scan_id AND si.schema = l.ss AND coalesce(len(si.enum_values), 0) = 0
         JOIN ci c2 ON c2.scan_id = l.scan_id AND c2.schema = l.nc JOIN si s2 ON s2.scan_id = l.scan_id AND s2.schema = l.ns),
- g AS (SELECT scan_id, binding_id, cs, ss, 0 AS lv FROM r3 WHERE early IS NULL
-   UNION SELECT g.scan_id, g.binding_id, e.nc, e.ns, lv + 1 FROM g JOIN edge e ON e.scan_id = g.scan_id AND e.cs = g.cs AND e.ss = g.ss WHERE lv < 8),
- nd AS (SELECT scan_id, binding_id, cs, ss, min(lv) AS lv FROM g GROUP BY ALL),
- pp AS (SELECT DISTINCT scan_id, cs, ss, lv = 8 AS deepest FROM nd),
+ g AS (SELECT scan_id, binding_id, cs, ss FROM r3 WHERE early IS NULL
+   UNION SELECT g.scan_id, g.binding_id, e.nc, e.ns FROM g JOIN edge e ON e.scan_id = g.scan_id AND e.cs = g.cs AND e.ss = g.ss),
+ nd AS (SELECT DISTINCT scan_id, binding_id, cs, ss FROM g),
+ pp AS (SELECT DISTINCT scan_id, cs, ss FROM nd),
  pe AS (SELECT pp.*, ci.enum_values AS ce, si.enum_values AS se FROM pp JOIN ci ON ci.scan_id = pp.scan_id AND ci.schema = pp.cs JOIN si ON si.scan_id = pp.scan_id AND si.schema = pp.ss),
  bad AS (SELECT scan_id, cs, ss FROM pe WHERE (coalesce(len(ce), 0) > 0 OR coalesce(len(se), 0) > 0) AND NOT (coalesce(len(ce), 0) > 0 AND coalesce(len(se), 0) > 0 AND {_set("ce")} = {_set("se")})
    UNION SELECT pe.scan_id, cs, ss FROM pe JOIN cl ON cl.scan_id = pe.scan_id AND cl.schema = cs LEFT JOIN sl ON sl.scan_id = pe.scan_id AND sl.schema = ss AND sl.field = cl.field
      WHERE ce IS NULL AND se IS NULL AND (sl.field IS NULL OR (cl.type <> sl.type AND cl.type <> 'object' AND sl.type <> 'object')
-       OR (NOT deepest AND cl.ref_schema IS NOT NULL AND sl.ref_schema IS NOT NULL AND {_ARR("cl.ref_schema")} <> {_ARR("sl.ref_schema")}))
+       OR (cl.ref_schema IS NOT NULL AND sl.ref_schema IS NOT NULL AND {_ARR("cl.ref_schema")} <> {_ARR("sl.ref_schema")}))
    UNION SELECT pe.scan_id, cs, ss FROM pe JOIN sl ON sl.scan_id = pe.scan_id AND sl.schema = ss LEFT JOIN cl ON cl.scan_id = pe.scan_id AND cl.schema = cs AND cl.field = sl.field
      WHERE ce IS NULL AND se IS NULL AND cl.field IS NULL),
  df AS (SELECT DISTINCT nd.scan_id, nd.binding_id FROM nd JOIN bad USING (scan_id, cs, ss)),

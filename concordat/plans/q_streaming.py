@@ -40,7 +40,7 @@ def stream(ctx, name):
 
 @query("st_1", ORACLES["st_1_batch"])
 def st_1(ctx):
-    return jobs.run_available(jobs.vulnerability_alerts(stream(ctx, "vulns"))).drop("batch")
+    return jobs.vulnerability_alerts(stream(ctx, "vulns"))
 
 
 def _now():
@@ -77,10 +77,8 @@ def st_2(ctx):
     """SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, floor(sum(coalesce(est_cost, 0)) * 10000 + 0.5) / 10000 AS total, count(*) AS actions FROM fx_ledger GROUP BY CAST(created_at AS DATE)""",
 )
 def st_3(ctx):
-    out = jobs.run_available(jobs.daily_totals(stream(ctx, "ledger")), "update")
-    last = out.groupBy("day").agg(F.max_by(F.struct("total", "actions"), "batch").alias("v"))
-    total = F.floor(c("v.total") * 10000 + 0.5) / 10000
-    return last.select(c("day").cast("string").alias("day"), total.alias("total"), c("v.actions").alias("actions"))
+    out = jobs.daily_totals(stream(ctx, "ledger"))
+    return out.select(c("day").cast("string").alias("day"), (F.floor(c("total") * 10000 + 0.5) / 10000).alias("total"), "actions")
 
 
 @query(
@@ -149,7 +147,7 @@ def st_6(ctx):
 
 @query("st_7", "SELECT DISTINCT issue_id AS issue_id FROM fx_intake")
 def st_7(ctx):
-    return jobs.run_available(jobs.dedup_stream(stream(ctx, "intake"), "issue_id", "ts", "40 days").select("issue_id")).drop("batch")
+    return jobs.dedup_stream(stream(ctx, "intake"), "issue_id").select("issue_id")
 
 
 @fixture

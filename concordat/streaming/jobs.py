@@ -13,109 +13,66 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
+from concordat.operators.vulnerabilities import alerts
 from concordat.session import checkpoint_dir
 
 c = F.col
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain what is available into a table in the shared folder and read it back. Every micro-batch writes its
-    own folder, so a replayed batch replaces itself."""
-    spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
-
+def _drain(stream: DataFrame, write: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
+    """Hand every micro-batch that is available to ``write`` with its number and a fresh folder in the shared one."""
+    base = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
+        .foreachBatch(lambda batch, epoch: write(batch, epoch, base))
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    schema = stream.schema.add("batch", "long")
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    return base
 
 
-# --- vulnerability alerts -----------------------------------------------------------------------------------
+def _with_batch(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("batch", LongType())])
 
 
-def _score(n: dict[str, int]) -> int:
-    return n["critical"] * 10**12 + n["high"] * 10**8 + n["medium"] * 10**4 + n["low"]
-
-
-def _alert(watch: str, prev: tuple | None, n: dict[str, int], severe: dict[str, set[str]]) -> tuple[str, str] | None:
-    """Severity and message of a snapshot that got worse than its predecessor, else nothing."""
-    total = sum(n.values())
-    before = {k: prev[i] for i, k in enumerate(("critical", "high", "medium", "low"))} if prev else dict.fromkeys(n, 0)
-    was = sum(before.values())
-    known = set(prev[4]) if prev else set()
-    fresh = None
-    if prev:
-        fresh = next((level for level in ("critical", "high") if severe[level] - known), None)
-    first, new_critical = prev is None and total > 0, n["critical"] > before["critical"]
-    escalated = prev is not None and _score(n) > _score(before)
-    if not (first or new_critical or total > was or escalated or fresh):
-        return None
-    level = next((k for k in ("critical", "high", "medium") if n[k]), "low")
-    counts = f"{n['critical']} critical, {n['high']} high, {n['medium']} medium, {n['low']} low."
-    if first:
-        return level, f"Now watching {watch}: {counts}"
-    if new_critical:
-        lead = f"New critical vulnerability in {watch}"
-    elif fresh:
-        lead = f"New {fresh}-severity vulnerability in {watch}"
-    elif total > was:
-        lead = f"Vulnerabilities increased in {watch} (was {was})"
-    elif escalated:
-        lead = f"Vulnerability severity increased in {watch}"
-    else:
-        lead = f"Vulnerabilities changed in {watch}"
-    return level, f"{lead} — now {counts}"
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Drain what is available into a table in the shared folder and read it back. Every micro-batch writes its
+    own folder, so a replayed batch replaces itself."""
+
+    def write(batch: DataFrame, epoch: int, base: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+
+    base = _drain(stream, write, mode)
+    return stream.sparkSession.read.schema(_with_batch(stream.schema)).parquet(f"{base}/out")
+
+
+# --- vulnerability alerts -----------------------------------------------------------------------------------
 
 
 def vulnerability_alerts(vulns: DataFrame) -> DataFrame:
-    """Alerts on each new snapshot of a watch. State: counts and issue ids of the last snapshot. The rows of a
-    snapshot arrive together, because they are written together."""
+    """Alerts on each snapshot of a watch that got worse, after all that is available.
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts: dict[tuple, dict[str, int]] = {}
-        severe: dict[tuple, dict[str, set[str]]] = {}
-        seen: dict[tuple, set[str]] = {}
-        for pdf in pdfs:
-            for taken, snap, issue, sev in zip(pdf["taken_on"], pdf["snapshot_id"], pdf["issue_id"], pdf["severity"], strict=True):
-                at = (taken, snap)
-                n = counts.setdefault(at, dict.fromkeys(("critical", "high", "medium", "low"), 0))
-                level = (sev or "").lower()
-                if level in n:
-                    n[level] += 1
-                if issue is not None:
-                    seen.setdefault(at, set()).add(issue)
-                    if level in ("critical", "high"):
-                        severe.setdefault(at, {"critical": set(), "high": set()})[level].add(issue)
-        prev = state.get if state.exists else None
-        out = []
-        for at in sorted(counts):
-            n = counts[at]
-            hit = _alert(key[0], prev, n, severe.get(at, {"critical": set(), "high": set()}))
-            if hit:
-                out.append((key[0], at[1], hit[0], hit[1]))
-            prev = (n["critical"], n["high"], n["medium"], n["low"], sorted(seen.get(at, ())))
-        if prev is not None:
-            state.update(prev)
-        yield pd.DataFrame(out, columns=["watch_id", "snapshot_id", "severity", "message"])
-
-    rows = vulns.select("watch_id", "snapshot_id", c("taken_on").cast("string").alias("taken_on"), "issue_id", "severity")
-    return rows.groupBy("watch_id").applyInPandasWithState(
-        step,
-        "watch_id string, snapshot_id string, severity string, message string",
-        "critical bigint, high bigint, medium bigint, low bigint, ids array<string>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    A micro-batch is kept, and the alerts of the watches it touches are worked out anew from all their rows by the
+    same column expressions as in batch; the last such result of a watch counts. So a snapshot whose rows come in
+    several batches, or after a younger one, gives the alerts that it gives in one piece."""
+    spark, schema = vulns.sparkSession, vulns.schema
+
+    def write(batch: DataFrame, epoch: int, base: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={epoch}")
+        rows = batch.sparkSession.read.schema(_with_batch(schema)).parquet(f"{base}/rows").filter(c("batch") <= epoch)
+        touched = rows.filter(c("batch") == epoch).select("watch_id").distinct()
+        touched.write.mode("overwrite").parquet(f"{base}/touched/batch={epoch}")
+        alerts(rows.drop("batch").join(touched, "watch_id", "left_semi")).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+
+    base = _drain(vulns, write)
+    seen = spark.read.schema("watch_id string, batch bigint").parquet(f"{base}/touched")
+    last = seen.groupBy("watch_id").agg(F.max("batch").alias("batch"))
+    out = spark.read.schema("watch_id string, snapshot_id string, severity string, message string, batch bigint").parquet(f"{base}/out")
+    return out.join(last, ["watch_id", "batch"], "left_semi").select("watch_id", "snapshot_id", "severity", "message")
 
 
 # --- timeouts ------------------------------------------------------------------------------------------------
@@ -123,13 +80,14 @@ def vulnerability_alerts(vulns: DataFrame) -> DataFrame:
 
 def stale_keys(updates: DataFrame, minutes: int, delay: str = "10 minutes") -> DataFrame:
     """Keys (key, ts, live) without progress for the given time: a timer per key on event time, moved by every
-    update and dropped when the key is no longer live."""
+    update. A key that is no longer live keeps that mark until the watermark has passed it, so that an older
+    update which comes later does not bring it back."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            last = state.get[0]
+            last, live = state.get
             state.remove()
-            yield pd.DataFrame({"key": [key[0]], "last_ms": [last]})
+            yield pd.DataFrame({"key": [key[0]] * live, "last_ms": pd.Series([last] * live, dtype="int64")})
             return
         last, live = state.get if state.exists else (-1, True)
         for pdf in pdfs:
@@ -137,12 +95,8 @@ def stale_keys(updates: DataFrame, minutes: int, delay: str = "10 minutes") -> D
             at = int(ms.to_numpy().argmax())
             if int(ms.iloc[at]) >= last:
                 last, live = int(ms.iloc[at]), bool(pdf["live"].iloc[at])
-        if not live:
-            if state.exists:
-                state.remove()
-            return
         state.update((last, live))
-        state.setTimeoutTimestamp(max(last + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last + minutes * 60_000 * live, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": pd.Series(dtype="str"), "last_ms": pd.Series(dtype="int64")})
 
     rows = updates.select("key", c("ts").cast("timestamp").alias("ts"), "live").withWatermark("ts", delay)
@@ -154,16 +108,32 @@ def stale_keys(updates: DataFrame, minutes: int, delay: str = "10 minutes") -> D
 # --- totals, intake, gates, claims ---------------------------------------------------------------------------------
 
 
-def daily_totals(ledger: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Tumbling day totals; days without rows are filled when the totals are read."""
-    rows = ledger.withColumn("at", c("created_at").cast("timestamp")).withWatermark("at", delay)
-    agg = rows.groupBy(F.window("at", "1 day")).agg(F.sum(F.coalesce("est_cost", F.lit(0.0))).alias("total"), F.count("*").alias("actions"))
-    return agg.select(F.to_date("window.start").alias("day"), "total", "actions")
+def daily_totals(ledger: DataFrame) -> DataFrame:
+    """(day, total, actions) after all that is available. Every micro-batch adds its partial sums, which are added up
+    when they are read: no row is too late, and there is no state to keep."""
+    cost = F.sum(F.coalesce(c("est_cost").cast("double"), F.lit(0.0)))
+
+    def write(batch: DataFrame, epoch: int, base: str) -> None:
+        sums = batch.groupBy(F.to_date("created_at").alias("day")).agg(cost.alias("total"), F.count("*").alias("actions"))
+        sums.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+
+    base = _drain(ledger, write)
+    parts = ledger.sparkSession.read.schema("day date, total double, actions bigint, batch bigint").parquet(f"{base}/out")
+    return parts.groupBy("day").agg(F.sum("total").alias("total"), F.sum("actions").alias("actions"))
+
+
+def dedup_stream(rows: DataFrame, key: str) -> DataFrame:
+    """Idempotent intake: a row of each key once, ever. A micro-batch passes what no batch before it has passed."""
 
+    def write(batch: DataFrame, epoch: int, base: str) -> None:
+        new = batch.dropDuplicates([key])
+        if epoch:
+            past = batch.sparkSession.read.schema(_with_batch(rows.schema)).parquet(f"{base}/out")
+            new = new.join(past.filter(c("batch") < epoch).select(key), key, "left_anti")
+        new.select(rows.columns).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
 
-def dedup_stream(rows: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
-    """Idempotent intake: the first row of a key within the watermark passes."""
-    return rows.withColumn("_at", c(ts).cast("timestamp")).withWatermark("_at", delay).dropDuplicatesWithinWatermark([key]).drop("_at")
+    base = _drain(rows, write)
+    return rows.sparkSession.read.schema(_with_batch(rows.schema)).parquet(f"{base}/out")
 
 
 def _sequential(rows: DataFrame, step: Callable[[str, int, tuple | None], tuple[str, tuple | None]]) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import concordat.plans.catalog  # noqa: F401
 from concordat.operators import vulnerabilities as vu
 from concordat.plans.registry import Ctx
 from concordat.sources import sinks, tracker
@@ -23,14 +24,14 @@ def replay(spark, df, path, parts, order):
 
 def test_alerts_over_many_batches(spark, sf, tmp_path):
     vulns = Ctx(spark, sf).fx("vulns")
-    # Whole snapshots per file: one file per third of the days.
-    day = F.dayofmonth("taken_on")
+    # Late snapshots and snapshots over several files: the youngest days first, and every day in two files.
+    day, half = F.dayofmonth("taken_on"), F.pmod(F.xxhash64("issue_id"), F.lit(2))
     path = str(tmp_path / "vulns")
-    for lo, hi in ((1, 10), (11, 20), (21, 31)):
-        vulns.filter(day.between(lo, hi)).coalesce(1).write.mode("append").parquet(path)
+    for lo, hi in ((21, 31), (1, 10), (11, 20)):
+        for k in (0, 1):
+            vulns.filter(day.between(lo, hi) & (F.coalesce(half, F.lit(0)) == k)).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(vulns.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = jobs.run_available(jobs.vulnerability_alerts(stream))
-    assert got.select("batch").distinct().count() >= 3
+    got = jobs.vulnerability_alerts(stream)
     key = lambda r: (r["watch_id"], r["snapshot_id"], r["severity"], r["message"])
     assert {key(r) for r in got.collect()} == {key(r) for r in vu.alerts(vulns).collect()}
 
@@ -62,12 +63,28 @@ def test_silent_keys_time_out(spark, tmp_path):
 
 def test_intake_is_idempotent(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(k, t0 + dt.timedelta(minutes=i)) for i, k in enumerate("abacabad")]
+    rows = [(k, t0 + dt.timedelta(minutes=i)) for i, k in enumerate("abacabad")] + [("a", t0 + dt.timedelta(days=90)), ("b", t0 + dt.timedelta(days=91))]
     df = spark.createDataFrame(rows, "k string, ts timestamp")
-    out = jobs.run_available(jobs.dedup_stream(replay(spark, df, str(tmp_path / "d"), 3, "ts"), "k", "ts"))
+    out = jobs.dedup_stream(replay(spark, df, str(tmp_path / "d"), 3, "ts"), "k")
     assert sorted(r["k"] for r in out.collect()) == ["a", "b", "c", "d"]
 
 
+def test_late_rows_count(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, d), 1.0) for i, d in enumerate((20, 21, 22, 1, 20, 2))]
+    df = spark.createDataFrame(rows, "i int, created_at timestamp, est_cost double")
+    got = {str(r["day"]): (r["total"], r["actions"]) for r in jobs.daily_totals(replay(spark, df, str(tmp_path / "t"), 3, "i")).collect()}
+    assert got == {"2024-01-20": (2.0, 2), "2024-01-21": (1.0, 1), "2024-01-22": (1.0, 1), "2024-01-01": (1.0, 1), "2024-01-02": (1.0, 1)}
+
+
+def test_a_closed_key_stays_closed(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    rows = [(0, "k", at(5), False), (1, "x", at(6), True), (2, "k", at(1), True), (3, "x", at(70), True), (4, "x", at(140), True), (5, "x", at(200), True)]
+    df = spark.createDataFrame(rows, "i int, key string, ts timestamp, live boolean")
+    out = jobs.run_available(jobs.stale_keys(replay(spark, df, str(tmp_path / "s"), 3, "i").drop("i"), 60))
+    assert "k" not in [r["key"] for r in out.collect()]
+
+
 def test_batches_replace_themselves(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
     path = str(tmp_path / "f")
