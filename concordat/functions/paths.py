@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 
 from concordat.taxonomy import VERBS
 
-# A brace group with up to two inner levels, enough for regex quantifiers inside a path variable.
-_BALANCED = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 _MARK = "\u0001"
 
 
+def _variables_marked(path: Column) -> Column:
+    """Path variables as marks, braces nested to any depth; one that never closes takes the rest of the path.
+
+    Folds over the pieces that start with a brace, so the work grows with the braces of a path."""
+    pieces = F.split(path, r"(?=[{}])")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth, out = acc["depth"], acc["out"]
+        opens, closes = piece.startswith("{"), piece.startswith("}")
+        after = F.when(opens, depth + 1).when(closes & (depth > 0), depth - 1).otherwise(depth)
+        shown = F.when(opens, F.when(depth == 0, F.lit(_MARK)).otherwise(F.lit(""))).when(depth == 0, piece).when(closes & (depth == 1), F.substr(piece, F.lit(2))).otherwise(F.lit(""))
+        return F.struct(after.alias("depth"), F.concat(out, shown).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
 def norm_path(path: Column) -> Column:
     """Lower case, path variables to ``{}``, single slashes, no trailing slash; null or empty is ``/``."""
-    marked = F.regexp_replace(F.lower(path), _BALANCED, _MARK)
-    marked = F.regexp_replace(marked, r"(?s)\{.*$", _MARK)
-    squeezed = F.regexp_replace(F.replace(marked, F.lit(_MARK), F.lit("{}")), "/+", "/")
+    squeezed = F.regexp_replace(F.replace(_variables_marked(F.lower(path)), F.lit(_MARK), F.lit("{}")), "/+", "/")
     cut = F.regexp_replace(squeezed, "(?<=.)/$", "")
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("/"))
 

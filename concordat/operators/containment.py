@@ -1,49 +1,55 @@
-"""Exact substring joins without a nested loop."""
+"""Exact substring joins without a nested loop and without pairs of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.session import cut_lineage
-
 c = F.col
-
-
-def _grams(text: Column, q: Column) -> Column:
-    """Distinct q-grams of a text, read off in one pass by a look-ahead (a loop of ``substr`` would start over
-    at the beginning of the text for every position)."""
-    pattern = F.concat(F.lit("(?s)(?=(.{"), q.cast("string"), F.lit("}))"))
-    return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
-
-
-def containment(hay: DataFrame, needles: DataFrame, q: int = 5) -> DataFrame:
-    """Pairs (grp, hay, needle) of distinct texts where ``hay`` contains ``needle``.
-
-    Inputs have grp and text. A text that contains a needle contains every q-gram of it, so a needle is looked
-    up by one gram only: the one found in the fewest texts of its group. Needles shorter than ``q`` use
-    themselves as the gram, and only groups that have such needles pay for short grams. All candidates are then
-    tested on the texts, so the result is complete for any q. Copies are collapsed first.
-    """
-    h = hay.select("grp", c("text").alias("hay")).filter(c("hay") != "").distinct().withColumn("hid", F.xxhash64("hay"))
-    n = needles.select("grp", c("text").alias("needle")).filter(c("needle") != "").distinct()
-    n = n.withColumn("w", F.least(F.length("needle"), F.lit(q)))
-    ng = n.select("grp", "needle", "w", F.explode(_grams(c("needle"), c("w"))).alias("g"))
-    hg = h.select("grp", "hid", F.lit(q).alias("w"), F.explode(_grams(c("hay"), F.lit(q))).alias("g"))
-    short_groups = n.filter(c("w") < q).select("grp", "w").distinct()
-    short = h.join(short_groups, "grp").select("grp", "hid", "w", F.explode(_grams(c("hay"), c("w"))).alias("g"))
-    key = ["grp", "w", "gram"]
-    # A hash of the gram only routes candidates; the texts decide at the end.
-    gram = F.xxhash64("g").alias("gram")
-    ng = ng.select("grp", "needle", "w", gram)
-    hg = hg.unionByName(short).select("grp", "hid", "w", gram)
-    # The surviving grams are used twice (frequency, candidates), so they are written once.
-    hg = cut_lineage(hg.join(ng.select(*key).distinct(), key, "left_semi"))
-    freq = hg.groupBy(*key).agg(F.count("*").alias("df"))
-    # A needle with a gram that occurs nowhere cannot match and drops out here.
-    per_needle = ng.join(freq, key, "left").groupBy("grp", "needle", "w").agg(
-        F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(c("df").isNull()).alias("absent")
-    )
-    anchor = per_needle.filter(c("absent") == 0).drop("absent")
-    cand = anchor.join(hg, key).select("grp", "needle", "hid")
-    return cand.join(h, ["grp", "hid"]).filter(c("hay").contains(c("needle"))).select("grp", "hay", "needle").distinct()
+STRIDE = 256
+
+
+def _needles(needles: DataFrame, q: int) -> DataFrame:
+    """Distinct needles with their least rank and the hash of their first (at most ``q``) characters."""
+    n = needles.filter(c("text") != "").groupBy("grp", c("text").alias("needle")).agg(F.min("rank").alias("rank"))
+    n = n.withColumn("len", F.length("needle")).withColumn("w", F.least("len", F.lit(q)))
+    return n.withColumn("gram", F.xxhash64(F.expr("substring(needle, 1, w)")))
+
+
+def _held(hay: DataFrame, n: DataFrame) -> DataFrame:
+    """(grp, hid, rank, needle): substrings of the texts (grp, text, hid, rank) that start like a needle of the group
+    and are as long as one.
+
+    A text is cut into pieces that overlap by the length of the longest needle. Every position of a piece looks up
+    the lengths of the needles that start with its characters: one row per start, however many needles or texts share
+    it. So the rows are bounded by the texts' own lengths, not by the number of texts times needles."""
+    widths = n.groupBy("grp").agg(F.collect_set("w").alias("ws"), F.max("len").alias("longest"))
+    h = hay.join(widths, "grp").withColumn("step", F.greatest(F.lit(STRIDE), c("longest")))
+    window = F.concat(F.lit("(?s)(?=(.{1,"), (c("step") + c("longest") - 1).cast("string"), F.lit("})).{1,"), c("step").cast("string"), F.lit("}"))
+    pieces = h.select("grp", "hid", "rank", "ws", "step", F.posexplode(F.regexp_extract_all("text", window, F.lit(1))).alias("at", "piece"))
+    starts = pieces.select("grp", "hid", "at", "piece", "step", F.explode("ws").alias("w")).withColumn("last", F.least(c("step"), F.length("piece") - c("w") + 1))
+    grams = F.transform(F.expr("sequence(1, last)"), lambda i: F.xxhash64(F.substring(c("piece"), i, c("w"))))
+    grams = starts.filter(c("last") > 0).select("grp", "hid", "at", "w", F.posexplode(grams).alias("pos", "gram"))
+    lengths = n.groupBy("grp", "w", "gram").agg(F.collect_set("len").alias("lens"))
+    found = grams.join(lengths, ["grp", "w", "gram"]).select("grp", "hid", "at", "pos", F.explode("lens").alias("len"))
+    cut = found.join(pieces.select("grp", "hid", "at", "rank", "piece"), ["grp", "hid", "at"])
+    return cut.select("grp", "hid", "rank", "len", F.substring(c("piece"), c("pos") + 1, c("len")).alias("needle")).filter(F.length("needle") == c("len"))
+
+
+def first_holder(hay: DataFrame, needles: DataFrame, q: int = 5) -> DataFrame:
+    """(grp, needle, first): per distinct needle (grp, text) that some text (grp, text, rank) contains, the least rank
+    of those texts. Empty and null texts and needles match nothing."""
+    n = _needles(needles.withColumn("rank", F.lit(0)), q)
+    h = hay.filter(c("text") != "").groupBy("grp", "text").agg(F.min("rank").alias("rank")).withColumn("hid", F.md5("text"))
+    best = _held(h, n).groupBy("grp", "needle").agg(F.min("rank").alias("first"))
+    return best.join(n.select("grp", "needle"), ["grp", "needle"], "left_semi")
+
+
+def first_held(hay: DataFrame, needles: DataFrame, q: int = 5) -> DataFrame:
+    """(grp, hay, first): per distinct text (grp, text) that contains some needle (grp, text, rank), the least rank of
+    those needles. Empty and null texts and needles match nothing."""
+    n = _needles(needles, q)
+    h = hay.filter(c("text") != "").select("grp", "text").distinct().withColumns({"hid": F.md5("text"), "rank": F.lit(0)})
+    hits = _held(h, n).select("grp", "hid", "needle").distinct().join(n.select("grp", "needle", "rank"), ["grp", "needle"])
+    best = hits.groupBy("grp", "hid").agg(F.min("rank").alias("first"))
+    return best.join(h.select("grp", "hid", c("text").alias("hay")), ["grp", "hid"]).select("grp", "hay", "first")

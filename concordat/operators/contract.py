@@ -420,9 +420,12 @@ def resolve_security(endpoints: DataFrame, rule_rows: DataFrame) -> DataFrame:
     glob = r.filter(~c("simple") & ~c("any_request") & c("pattern").isNotNull())
     regex = F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\[\]\\])", r"\\$1"), r"/\*\*", "\u0001")
     regex = F.regexp_replace(F.regexp_replace(regex, r"\*", "[^/]*"), r"\?", "[^/]")
-    glob = glob.select("scan_id", "methods", F.concat(F.lit("^"), F.replace(regex, F.lit("\u0001"), F.lit("(/.*)?")), F.lit("$")).alias("rx"))
+    # What a pattern matches starts with its literal folders, which are among the folders of the path.
+    folder = F.regexp_extract(F.regexp_extract("pattern", r"^[^*?]*", 0), r"(?s)^(.*)/", 1)
+    glob = glob.select("scan_id", folder.alias("folder"), "methods", F.concat(F.lit("^"), F.replace(regex, F.lit("\u0001"), F.lit("(/.*)?")), F.lit("$")).alias("rx"))
     doubtful = (
-        e.join(glob, "scan_id")
+        e.withColumn("folder", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(prefixes, lambda p: F.substr(p, F.lit(2)))))))
+        .join(glob, ["scan_id", "folder"])
         .filter(((F.size("methods") == 0) | F.array_contains("methods", c("method"))) & F.expr("path RLIKE rx"))
         .select("scan_id", "pos", F.lit(True).alias("doubtful"))
         .distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import paths, rules, text
-from concordat.operators.containment import containment
+from concordat.operators.containment import first_held, first_holder
 from concordat.operators.windows import first_k
 from concordat.session import cut_lineage
 
@@ -21,17 +21,15 @@ def match_coverage(required: DataFrame, tests: DataFrame) -> DataFrame:
     whose first test has no key."""
     r = required.withColumn("fp", text.title_fp(c("title")))
     t = tests.withColumn("fp", text.title_fp(c("title")))
-    first = cut_lineage(t.filter(c("fp") != "").groupBy("plan_id", "fp").agg(F.min(F.struct("pos", "key")).alias("t")))
+    first = t.filter(c("fp") != "").groupBy("plan_id", "fp").agg(F.min(F.struct("pos", "key")).alias("t"))
     want = r.filter(c("fp") != "").select("plan_id", "fp").distinct()
     exact = first.filter(c("t.key").isNotNull())
     high = want.join(exact, ["plan_id", "fp"]).select("plan_id", "fp", c("t.key").alias("key"), F.lit("HIGH").alias("conf"))
     left = want.join(high.select("plan_id", "fp"), ["plan_id", "fp"], "left_anti").select(c("plan_id").alias("grp"), c("fp").alias("text"))
-    left = cut_lineage(left)
-    have = first.select(c("plan_id").alias("grp"), c("fp").alias("text"))
-    a = containment(have, left).select(c("grp").alias("plan_id"), c("needle").alias("fp"), c("hay").alias("tfp"))
-    b = containment(left, have).select(c("grp").alias("plan_id"), c("hay").alias("fp"), c("needle").alias("tfp"))
-    both = cut_lineage(a.unionByName(b)).join(first.select("plan_id", c("fp").alias("tfp"), "t"), ["plan_id", "tfp"])
-    medium = both.groupBy("plan_id", "fp").agg(F.min("t").alias("t")).select(
+    have = first.select(c("plan_id").alias("grp"), c("fp").alias("text"), c("t").alias("rank"))
+    a = first_holder(have, left).select(c("grp").alias("plan_id"), c("needle").alias("fp"), c("first").alias("t"))
+    b = first_held(left, have).select(c("grp").alias("plan_id"), c("hay").alias("fp"), c("first").alias("t"))
+    medium = a.unionByName(b).groupBy("plan_id", "fp").agg(F.min("t").alias("t")).select(
         "plan_id", "fp", c("t.key").alias("key"), F.lit("MEDIUM").alias("conf")
     )
     hits = high.unionByName(medium)
@@ -114,9 +112,9 @@ def ground_conditions(conditions: DataFrame, risks: DataFrame, basis: DataFrame)
     ids = risks.select("strategy", F.upper("risk_id").alias("_r"), F.lit(True).alias("_rok")).distinct()
     any_risk = risks.select("strategy", F.lit(True).alias("_any")).distinct()
     phrase = text.norm_blank(c("basis_item"))
-    hay = basis.select(c("strategy").alias("grp"), text.norm_blank(c("text")).alias("text"))
+    hay = basis.select(c("strategy").alias("grp"), text.norm_blank(c("text")).alias("text"), F.lit(0).alias("rank"))
     needles = conditions.select(c("strategy").alias("grp"), phrase.alias("text"))
-    found = containment(hay, needles).select(c("grp").alias("strategy"), c("needle").alias("_p"), F.lit(True).alias("_pok")).distinct()
+    found = first_holder(hay, needles).select(c("grp").alias("strategy"), c("needle").alias("_p"), F.lit(True).alias("_pok"))
     j = conditions.withColumns({"_r": F.upper("risk_ref"), "_p": phrase})
     j = j.join(ids, ["strategy", "_r"], "left").join(any_risk, "strategy", "left").join(found, ["strategy", "_p"], "left")
     bad_risk = c("_any").isNotNull() & F.coalesce(F.trim("risk_ref") != "", F.lit(False)) & c("_rok").isNull()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import ids, paths, rules, text
-from concordat.operators.containment import containment
+from concordat.operators.containment import first_held
 from concordat.operators.windows import first_k
 from concordat.taxonomy import BREAKING_TYPES, DEFAULT_STANDARD, SEVERITIES, severity_rank, taxonomy
 
@@ -267,8 +267,8 @@ def phantom_check(findings: DataFrame, known: DataFrame) -> DataFrame:
     paths are not second-guessed."""
     low = F.lower("endpoint")
     hay = findings.filter(F.trim("endpoint") != "").select(c("scan_id").alias("grp"), low.alias("text"))
-    needles = known.filter(F.trim("path") != "").select(c("scan_id").alias("grp"), c("path").alias("text"))
-    hits = containment(hay, needles).select(c("grp").alias("scan_id"), c("hay").alias("_h"), F.lit(True).alias("_hit")).distinct()
+    needles = known.filter(F.trim("path") != "").select(c("scan_id").alias("grp"), c("path").alias("text"), F.lit(0).alias("rank"))
+    hits = first_held(hay, needles).select(c("grp").alias("scan_id"), c("hay").alias("_h"), F.lit(True).alias("_hit"))
     has = known.select("scan_id", F.lit(True).alias("_any")).distinct()
     j = findings.withColumn("_h", low).join(hits, ["scan_id", "_h"], "left").join(has, "scan_id", "left")
     phantom = F.coalesce(F.trim("endpoint") != "", F.lit(False)) & c("_any").isNotNull() & c("_hit").isNull()

@@ -65,8 +65,8 @@ def with_previous(df: DataFrame, key: str, order: list[str], chunk: Column, cols
 def exact_median(df: DataFrame, value: str, width: float, out: str = "median") -> DataFrame:
     """One row with the exact median of ``value``.
 
-    A histogram of fixed width finds the bucket of the middle ranks; only that bucket is counted by
-    value. Both steps aggregate before they shuffle, so no task sees the whole column.
+    A histogram of fixed width finds the bucket of the middle ranks, and a finer one inside that bucket the small
+    part that is counted by value. Every step aggregates before it shuffles, so no task sees the whole column.
     """
     vals = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     vals = vals.withColumn("b", F.floor(F.col("v") / width))
@@ -77,8 +77,13 @@ def exact_median(df: DataFrame, value: str, width: float, out: str = "median") -
     lo, hi = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
     before = F.col("upto") - F.col("n")
     middle = hist.filter((before < hi) & (F.col("upto") >= lo)).select("b", before.alias("before"), "total")
-    exact = vals.join(middle, "b").groupBy("b", "before", "total", "v").agg(F.count("*").alias("m"))
-    in_bucket = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = F.floor((F.col("v") / width - F.col("b")) * 4096)
+    vals = vals.join(middle, "b").withColumn("part", part)
+    run = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = vals.groupBy("b", "part", "before", "total").agg(F.count("*").alias("n")).withColumn("upto", F.col("before") + F.sum("n").over(run))
+    fine = fine.filter((before < hi) & (F.col("upto") >= lo)).select("b", "part", before.alias("before"))
+    exact = vals.drop("before").join(fine, ["b", "part"]).groupBy("b", "part", "before", "total", "v").agg(F.count("*").alias("m"))
+    in_bucket = Window.partitionBy("b", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     exact = exact.withColumn("end", F.col("before") + F.sum("m").over(in_bucket)).withColumn("start", F.col("end") - F.col("m"))
     hit = exact.filter((F.col("start") < hi) & (F.col("end") >= lo))
     # At most two values carry the middle ranks.

@@ -14,7 +14,7 @@ def one(spark, expr, **values):
 @pytest.mark.parametrize(
     "path, want",
     [
-        ("/A/{id}/B/", "/a/{}/b"), ("/a/{id:[0-9]{2}}/x", "/a/{}/x"), ("//a//b", "/a/b"), ("/a/{open/b", "/a/{}"), ("", "/"), (None, "/"), ("/", "/"),
+        ("/A/{id}/B/", "/a/{}/b"), ("/a/{id:[0-9]{2}}/x", "/a/{}/x"), ("//a//b", "/a/b"), ("/a/{open/b", "/a/{}"), ("/a/{v:{{{{9}}}}}/B}/{w}", "/a/{}/b}/{}"), ("/a/{b/{c}/d", "/a/{}"), ("", "/"), (None, "/"), ("/", "/"),
     ],
 )
 def test_norm_path(spark, path, want):

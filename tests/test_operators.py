@@ -10,18 +10,26 @@ from concordat.operators import contract as op
 from concordat.operators import evidence as ev
 from concordat.operators import windows as win
 from concordat.operators.chunking import chunk_lines
-from concordat.operators.containment import containment
+from concordat.operators.containment import first_held, first_holder
 from concordat.operators.graph import connected_components, set_digest
 from concordat.operators.portfolio import train_open
 
 
 def test_containment_matches_brute_force(spark):
     rng = random.Random(7)
-    word = lambda a, b: "".join(rng.choice("abc ") for _ in range(rng.randint(a, b)))
-    hay = [(g, word(0, 40)) for g in ("x", "y") for _ in range(60)]
-    needles = [(g, word(0, 8)) for g in ("x", "y") for _ in range(60)]
-    got = {tuple(r) for r in containment(spark.createDataFrame(hay, "grp string, text string"), spark.createDataFrame(needles, "grp string, text string")).collect()}
-    assert got == {(g, h, n) for g, h in hay for k, n in needles if g == k and n and n in h}
+    word = lambda a, b: "".join(rng.choice("abc 𝒳") for _ in range(rng.randint(a, b)))
+    hay = [(g, word(0, 40)) for g in ("x", "y") for _ in range(60)] + [("x", word(900, 900)), ("z", "abc"), ("x", None)]
+    needles = [(g, word(0, 8)) for g in ("x", "y") for _ in range(60)] + [("x", hay[-3][1][250:700]), ("x", None)]
+    table = lambda rows: spark.createDataFrame([(g, t, i) for i, (g, t) in enumerate(rows)], "grp string, text string, rank int")
+    holds = [(g, h, n, i, k) for i, (g, h) in enumerate(hay) for k, (o, n) in enumerate(needles) if g == o and h and n and n in h]
+    holder, held = {}, {}
+    for g, h, n, i, k in holds:
+        holder[g, n] = min(i, holder.get((g, n), i))
+        held[g, h] = min(k, held.get((g, h), k))
+    got = first_holder(table(hay), table(needles).drop("rank")).collect()
+    assert len(got) == len(holder) and {(r[0], r[1]): r[2] for r in got} == holder
+    got = first_held(table(hay).drop("rank"), table(needles)).collect()
+    assert len(got) == len(held) and {(r[0], r[1]): r[2] for r in got} == held
 
 
 def naive_chunks(tokens, budget, header):
@@ -79,7 +87,7 @@ def test_numbering_and_previous_across_chunks(spark):
 
 
 def test_median_even_and_odd(spark):
-    for vals in ([3.0], [1.0, 9.0], [5.0, 5.0, 1.0, 2.0], [float(i * i % 37) for i in range(101)]):
+    for vals in ([3.0], [1.0, 9.0], [5.0, 5.0, 1.0, 2.0], [float(i * i % 37) for i in range(101)], [i / 997 - 1 for i in range(1500)]):
         df = spark.createDataFrame([(v,) for v in vals], "v double")
         s = sorted(vals)
         want = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
