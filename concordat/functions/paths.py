@@ -13,7 +13,8 @@ _MARK = "\u0001"
 def _variables_marked(path: Column) -> Column:
     """Path variables as marks, braces nested to any depth; one that never closes takes the rest of the path.
 
-    Folds over the pieces that start with a brace, so the work grows with the braces of a path."""
+    Where no brace is nested, a variable ends at the next closing brace; else a fold over the pieces that start with a
+    brace counts the depth."""
     pieces = F.split(path, r"(?=[{}])")
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
 
@@ -24,7 +25,8 @@ def _variables_marked(path: Column) -> Column:
         shown = F.when(opens, F.when(depth == 0, F.lit(_MARK)).otherwise(F.lit(""))).when(depth == 0, piece).when(closes & (depth == 1), F.substr(piece, F.lit(2))).otherwise(F.lit(""))
         return F.struct(after.alias("depth"), F.concat(out, shown).alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    nested = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return F.when(path.rlike(r"\{[^}]*\{"), nested).otherwise(F.regexp_replace(path, r"\{[^}]*(\}|\z)", _MARK))
 
 
 def norm_path(path: Column) -> Column:
