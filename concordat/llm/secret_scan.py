@@ -308,9 +308,24 @@ def train(docs: DataFrame, sample: int = 300) -> Field:
     return fit(sorted(texts))
 
 
+def _left(text: str, start: int, stop: int, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The pieces of a stretch that are in no span (these are by start), without what is at their edges."""
+    out = []
+    for x, y in [*((x, y) for x, y, _ in spans if x < stop and start < y), (stop, stop)]:
+        s, e = start, x
+        while s < e and (text[s] in EDGE or text[s].isspace()):
+            s += 1
+        while e > s and (text[e - 1] in EDGE or text[e - 1].isspace()):
+            e -= 1
+        if s < e:
+            out.append((s, e))
+        start = max(start, y)
+    return out
+
+
 def scan(texts: list[str | None], field: Field) -> list[list[tuple[int, int, str]]]:
-    """All spans per text, in code points, by start and then kind. What the field finds is added where no base span
-    is touched, without the quotes and stops around it."""
+    """All spans per text, in code points, by start and then kind. Of what the field finds, every piece that no base
+    span covers is added, without the quotes, stops and white space around it."""
     whole = [t or "" for t in texts]
     tokens = [t.split() for t in whole]
     scores, begin = field.scores(tokens)
@@ -319,16 +334,10 @@ def scan(texts: list[str | None], field: Field) -> list[list[tuple[int, int, str
         spans = base_spans(text)
         tagged = field.tag(scores[begin[k] : begin[k + 1]])
         if tagged:
-            places = [m.span() for m in _TOKEN.finditer(text)]
+            places, found = [m.span() for m in _TOKEN.finditer(text)], []
             for a, b in tagged:
-                s, e = places[a][0], places[b - 1][1]
-                while s < e and text[s] in EDGE:
-                    s += 1
-                while e > s and text[e - 1] in EDGE:
-                    e -= 1
-                if s < e and not any(s < y and x < e for x, y, _ in spans):
-                    spans.append((s, e, "crf"))
-            spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+                found += [(s, e, "crf") for s, e in _left(text, places[a][0], places[b - 1][1], spans)]
+            spans = sorted([*spans, *found], key=lambda s: (s[0], KINDS.index(s[2])))
         out.append(spans)
     return out
 

@@ -109,6 +109,28 @@ def test_finds_more_than_the_patterns():
     assert got[1] and got[1][0][2] == "crf" and got[2] == []
 
 
+def test_tagged_spans_over_base_spans(spark, monkeypatch):
+    """What the field finds around a base span is kept: later tokens of a secret, and what follows the base letters."""
+    rng = random.Random(3)
+    one, two, three = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64)) for _ in range(3))
+    texts_ = [f"the of und token = {one} {two} {three} the of und", "the of password=abcdefgh!Zx99 und", f"the of secret={one},token={two}!tail99 und"]
+    z, off, on = np.zeros((8, 3)), np.array([-9.0, -9, 0]), np.array([9.0, 9, 0])
+    own = {"plain": off, "cue": off, "only==": off, "coded": on, "joined=cue": on}
+    told = Field(own, z, z, z, np.zeros((ss.FILES, 3)), np.array([[-5.0, 2, 0], [-5, 2, 0], [0, -50, 0]]))
+    got = scan(texts_, told)
+    assert got[0] == [(11, 83, "assign"), (84, 213, "crf")] and texts_[0][84:213] == f"{two} {three}"
+    assert got[1] == [(7, 24, "assign"), (25, 29, "crf")] and texts_[1][25:29] == "Zx99"
+    assert [texts_[2][a:b] for a, b, _ in got[2]] == [f"secret={one}", f"token={two}", "tail99"] and got[2][2][2] == "crf"
+    frame = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(texts_)], SCHEMA)
+    clean = {r.doc_id: r.text for r in redact(frame, told).collect()}
+    assert clean[0] == "the of und [SECRET] [SECRET] the of und" and clean[1] == "the of [SECRET]![SECRET] und" and "tail99" not in clean[2]
+    monkeypatch.setattr(ss, "train", lambda docs, sample: told)
+    by_id = {r.doc_id: r for r in report(frame).collect()}
+    assert by_id[0].spans == "assign:11:83,crf:84:213" and by_id[1].spans == "assign:7:24,crf:25:29" and by_id[1].n_crf == 1
+    # A field that is trained finds them too.
+    assert any(k == "crf" and texts_[0][a:b].startswith(two) for a, b, k in scan(texts_[:1], field())[0])
+
+
 def test_report_and_redact(spark):
     rows = [(k, t, "s", None) for k, t in enumerate(texts(random.Random(2)))]
     rows += [(100, None, None, None), (101, "", None, None), (102, "é password: hunter22 ok", None, None), (103, ("the of " * 30000) + HEX40, None, None), (None, HEX40, None, None), rows[1]]
