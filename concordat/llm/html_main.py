@@ -47,6 +47,8 @@ WALL = frozenset(("table", "ul", "ol", "dl", "article", "section", "div", "body"
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACE = re.compile(r"\s+")
+ARTICLE = re.compile(r"(?:article|main)\b")
+PART = re.compile(r"(?:section|td|blockquote)\b")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -157,10 +159,35 @@ class Page:
         found = self.scores()
         return min(found, key=lambda p: (-found[p], p)) if found else None
 
+    def _lifted(self, path: str) -> set[int]:
+        """Containers of a path, or of one further out that holds the whole article: the nearest article or main
+        element, or else what has, besides the path, mostly text of its own outside links (a title, a lead, paragraphs
+        around a nested body; parts of it in sections, cells and quotations count as its own)."""
+        boxes = {k for k, p in enumerate(self.paths) if p == path}
+        chains = [around[: around.index(k)] for _, _, around in self.blocks for k in boxes.intersection(around)]
+        if not chains or ARTICLE.match(path.rpartition("/")[2]):
+            return boxes
+        above = list(dict.fromkeys(self.paths[k] for k in reversed(max(chains, key=len))))
+        if nearest := next((p for p in above if ARTICLE.match(p.rpartition("/")[2])), None):
+            return {k for k, p in enumerate(self.paths) if p == nearest}
+        for outer in above:
+            wider = {k for k, p in enumerate(self.paths) if p == outer}
+            size = own = 0
+            for text, linked, around in self.blocks:
+                if boxes.intersection(around) or not (inside := wider.intersection(around)):
+                    continue
+                size += len(text)
+                if all(PART.match(self.paths[k].rpartition("/")[2]) for k in around[around.index(max(inside)) + 1 :]):
+                    own += len(text) - linked
+            if 2 * own > size:
+                boxes = wider
+        return boxes
+
     def text(self, winner: str | None) -> str:
-        """Blocks within the winning path, or within the page's own best container where it has none of them."""
+        """Blocks within the winning path, or within the page's own best container where it has none of them; either
+        is widened to the whole article."""
         for path in (winner, self.best()):
-            boxes = {k for k, p in enumerate(self.paths) if p == path}
+            boxes = self._lifted(path) if path else set()
             if kept := [t for t, _, around in self.blocks if boxes.intersection(around)]:
                 return "\n".join(kept)
         return "\n".join(t for t, _, _ in self.blocks)

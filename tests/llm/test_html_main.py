@@ -30,6 +30,24 @@ def test_what_goes():
     assert main(f"<article><p>{LONG}</p><p>an advanced adverb, header words</p></article>").endswith("words")
 
 
+def test_the_whole_article():
+    """A nested container that is denser than the article does not take its place."""
+    long, lead = "\n".join([LONG] * 30), f"Lead. {LONG}"
+    many = f"<p>{LONG}</p>" * 30
+    nested = [
+        f"<h1>T</h1><p>{lead}</p><div class=body>{many}</div>", f"<h1>T</h1><p>{lead}</p><section class=a>{many}</section>",
+        f"<h1>T</h1><p>{lead}</p><table><tr><td>{many}</td></tr></table>", f"<h1>T</h1><p>{lead}</p><blockquote>{many}</blockquote>",
+    ]
+    for x in nested:
+        for outer in ("article", "main", "div class=post"):
+            body = f"<nav><a href=/>Home</a></nav><div class=links><a href=/x>{LONG}</a></div><{outer}>{x}</{outer.split()[0]}><footer>f</footer>"
+            assert main(body) == f"T\n{lead}\n{long}", body[:200]
+    sections = "".join(f"<section class=s{k}x><h2>H{k}</h2><p>{LONG}</p></section>" for k in "abc")
+    assert main(f"<article><h1>T</h1>{sections}</article>") == "\n".join(["T", *(f"H{k}\n{LONG}" for k in "abc")])
+    assert Page(page(f"<article><h1>T</h1><p>{lead}</p><blockquote>{LONG}</blockquote></article>")).text("/html/body.v#/article/blockquote") == f"T\n{lead}\n{LONG}"
+    assert main(f"<div class=wrap><div class=post>{many}</div><div class=box><p>{LONG}</p></div></div>") == long
+
+
 def test_broken_markup():
     assert main(f"<article><p><b>{LONG}<br><p>Next</b> one</article>") == f"{LONG}\nNext one"
     assert main(f"<div><p>{LONG}</div></p></span><p>after") == LONG or LONG in main(f"<div><p>{LONG}</div></p></span><p>after")
