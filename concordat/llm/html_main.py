@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,12 @@ MARKED = frozenset(
     "footer bottombar comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter "
     "subscribe signup login search pagination pager widget complementary contentinfo form dialog hidden skip toolbar".split()
 )
+# Elements that never hold an article, and words and elements for what may be longer than the article.
+NEVER = frozenset("head button select label datalist".split())
+APART = frozenset(
+    "comment comments commentlist disqus respond reply replies cookie cookies consent gdpr popup modal overlay dialog complementary contentinfo "
+    "nav aside footer menu related recommended".split()
+)
 # An open element ends where one of these opens.
 ENDS = {
     "p": BLOCK - {"html", "body"},
@@ -45,32 +52,58 @@ ENDS |= dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), frozenset(("h1", "h2
 WALL = frozenset(("table", "ul", "ol", "dl", "article", "section", "div", "body", "main", "td", "blockquote", "nav", "aside", "footer", "header"))
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 ARTICLE = re.compile(r"(?:article|main)\b")
 PART = re.compile(r"(?:section|td|blockquote)\b")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _marks(name: str, attributes: str) -> tuple[str, bool]:
-    """The element's part of a generalised path, and whether its attributes say that it is not the article."""
+def _marks(name: str, attributes: str) -> tuple[str, frozenset[str], bool]:
+    """The element's part of a generalised path, the words that mark it as not the article, and whether it is hidden."""
     if not attributes or attributes.isspace():
-        return name, False
-    a = {k.lower(): html.unescape(x or y or z) for k, x, y, z in ATTR.findall(attributes)}
+        return name, frozenset(), False
+    a: dict[str, str] = {}
+    for k, x, y, z in ATTR.findall(attributes):
+        a.setdefault(k.lower(), html.unescape(x or y or z))
     classes = sorted(set(a.get("class", "").split()))
     said = " ".join([*classes, a.get("id", ""), a.get("role", "")])
     words = {w.lower() for w in PARTS.findall(said)} | set(said.lower().split())
-    off = bool(words & MARKED) or a.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None
-    return ".".join([name, *dict.fromkeys(re.sub(r"\d+", "#", x.lower()) for x in classes)]), off
+    step = ".".join([name, *dict.fromkeys(re.sub(r"\d+", "#", x.lower()) for x in classes)])
+    return step, MARKED & words, a.get("aria-hidden") == "true" or "hidden" in a
+
+
+@dataclass
+class Mark:
+    """An element whose name or attributes say that it is not the article: its path, whether such elements may be
+    longer than the article, and the characters outside links in it: all, and those in an article or main element."""
+
+    path: str
+    apart: bool
+    size: int = 0
+    told: int = 0
 
 
 class Page:
-    """Blocks of a page in order, each with the containers around it; what is not the article has none."""
+    """Blocks of a page in order, each with the containers around it; what is not the article has none.
+
+    Marked elements (MARKED, SKIP) are left out, but for those that hold the article after all (``_overruled``): then
+    the page is read again without their marks. Hidden elements are always left out."""
 
     def __init__(self, source: str):
+        self._kept: frozenset[int] = frozenset()
+        self._read(source)
+        if kept := self._overruled():
+            self._kept = kept
+            self._read(source)
+
+    def _read(self, source: str) -> None:
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.paths: list[str] = []
-        self._stack: list[tuple[str, str, int, bool]] = []  # name, path, container or -1, is off
+        self._marked: list[Mark] = []
+        self._free = self._told = self._size = 0
+        # name, path, container or -1, is off, marked elements around it, those of them that hold an article around it
+        self._stack: list[tuple[str, str, int, bool, tuple[int, ...], tuple[int, ...] | None]] = []
         self._text: list[str] = []
         self._linked = 0
         at, links = 0, 0
@@ -96,12 +129,39 @@ class Page:
         self._flush()
 
     def _add(self, text: str, links: int) -> None:
-        if self._stack and self._stack[-1][3]:
+        above = self._stack[-1] if self._stack else None
+        if not self._kept and not links and not (above and above[4] is None):
+            size = len(text.strip())
+            marks, told = (above[4], above[5]) if above else ((), None)
+            self._size += size
+            self._free += 0 if above and above[3] else size
+            self._told += size if told is not None else 0
+            for k in marks:
+                self._marked[k].size += size
+            for k in told or ():
+                self._marked[k].told += size
+        if above and above[3]:
             return
         self._text.append(text)
         if links:
             self._linked += len(text)
 
+    def _overruled(self) -> frozenset[int]:
+        """Marked elements that hold the article: most of the page's characters outside links (of those that may be
+        longer than the article, only where hardly anything is left without them), or most of its article and main
+        elements and a fourth of all. Elements with one path count together, as the articles of a list."""
+        sizes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for m in self._marked:
+            sizes[m.path][0] += m.size
+            sizes[m.path][1] += m.told
+        kept = set()
+        for k, m in enumerate(self._marked):
+            size, told = sizes[m.path]
+            most = 2 * size > self._size and (20 * self._free < size if m.apart else 2 * (self._told - told) <= size)
+            if most or (2 * told > self._told and 4 * told >= self._size):
+                kept.add(k)
+        return frozenset(kept)
+
     def _flush(self) -> None:
         text = SPACE.sub(" ", html.unescape("".join(self._text))).strip()
         if text:
@@ -124,14 +184,25 @@ class Page:
             self._text.append(" ")
         if name in VOID:
             return
-        step, off = _marks(name, attributes)
-        above = self._stack[-1] if self._stack else ("", "", -1, False)
-        off = above[3] or (off and name not in ("html", "body")) or name in SKIP
-        path, box = f"{above[1]}/{step}", -1
+        step, words, hidden = _marks(name, attributes)
+        above = self._stack[-1] if self._stack else ("", "", -1, False, (), None)
+        path, box, off, marks, told = f"{above[1]}/{step}", -1, above[3], above[4], above[5]
+        if name in ("html", "body"):
+            words = frozenset()
+        if hidden and name not in ("html", "body") or name in NEVER or marks is None:
+            off, marks, told = True, None, None
+        else:
+            if words or name in SKIP:
+                k = len(self._marked)
+                self._marked.append(Mark(path, bool(words & APART) or name in APART))
+                off, marks = off or k not in self._kept, (*marks, k)
+            # An article, if it is not marked as a comment or the like, counts for itself and the marked elements around it.
+            if name in ("article", "main") and not words & APART:
+                told = marks
         if name in CONTAINER and not off:
             box = len(self.paths)
             self.paths.append(path)
-        self._stack.append((name, path, box, off))
+        self._stack.append((name, path, box, off, marks, told))
 
     def _close(self, name: str) -> None:
         if name in BLOCK:
@@ -231,7 +302,8 @@ def extract(pages: DataFrame, out: str = "text") -> DataFrame:
     they are small, and else joins them by host and one of 32 salts, which keeps a large host spread.
 
     Blocks are joined by line feeds in page order; white space inside a block is one space; character references are
-    decoded. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go. Null
+    decoded. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go; an
+    element that is named like one of them but holds the article stays. Null
     or empty html gives an empty text; pages without a host vote together. Other columns pass through."""
 
     @arrow_udf("string")

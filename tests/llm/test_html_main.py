@@ -48,6 +48,20 @@ def test_the_whole_article():
     assert main(f"<div class=wrap><div class=post>{many}</div><div class=box><p>{LONG}</p></div></div>") == long
 
 
+def test_marks_that_the_article_overrules():
+    long = "\n".join([LONG] * 5)
+    many = f"<p>{LONG}</p>" * 5
+    for outer in ("div class='content has-sidebar'", "div class=no-sidebar", "div class='page-with-ads'", "article class='post share-enabled'", "form action=/", "div title='the hidden valley'", "section data-x='a hidden b'"):
+        name = outer.split()[0]
+        assert main(f"<nav><a href=/>Home</a></nav><{outer}>{many}<div class=sidebar>side</div><div class='ad'>buy</div></{name}><footer>f</footer>") == long, outer
+        assert main(f"<{outer}><article>{many}</article><div class=share>s</div></{name}>") == long, outer
+    assert main(f"<article class='post share-enabled'>{many}</article>" * 3) == "\n".join([long] * 3)
+    assert main(f"<article><p>{LONG}</p></article><div id=comments>{many}</div>") == LONG
+    assert main(f"<div class=content><p>{LONG}</p></div><div id=comments>{many}</div><div id=cookie-consent>{many}</div>") == LONG
+    assert main(f"<article>{many}</article><div class=related><article>{LONG}</article></div>") == long
+    assert main(f"<article><p>{LONG}</p></article><div hidden>{many}</div><div hidden=''>{many}</div><div HIDDEN id=x>{many}</div>") == LONG
+
+
 def test_broken_markup():
     assert main(f"<article><p><b>{LONG}<br><p>Next</b> one</article>") == f"{LONG}\nNext one"
     assert main(f"<div><p>{LONG}</div></p></span><p>after") == LONG or LONG in main(f"<div><p>{LONG}</div></p></span><p>after")
