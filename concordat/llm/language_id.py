@@ -96,7 +96,8 @@ class Model:
     penalty: float = 12.0
 
     def word_scores(self, w: Letters) -> np.ndarray:
-        """A log score per word and language; languages that its script rules out are far behind."""
+        """A log score per word and language; languages that its script rules out are far behind. Where it rules out all
+        of them, the word says nothing: zeros."""
         if not len(w.starts):
             return np.zeros((0, len(self.langs)))
         two, three, four, whole = w.features()
@@ -106,7 +107,8 @@ class Model:
             letters = column[two] + column[three] + column[four]
             out[:, k] = np.add.reduceat(letters, w.at) / 3 + column[whole]
         allowed = self.allowed[w.script]
-        out -= np.where(allowed, 0.0, 50.0) * allowed.any(axis=1)[:, None]
+        out -= np.where(allowed, 0.0, 50.0)
+        out[~allowed.any(axis=1)] = 0.0
         return out
 
     def spans(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -158,22 +160,25 @@ class Model:
                 state[:k] = back[t - 1][np.arange(k), state[:k]]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-        """(language, score, spans) per text; a span is (language, first word, word after the last)."""
+        """(language, score, spans) per text; a span is (language, first word, word after the last). Words in a script of
+        no language are spans of ``und`` and count among the letters that the score is a share of."""
         w = Letters(texts)
         scores = self.word_scores(w)
         path = self.spans(scores, w.first) if self.langs else np.zeros(len(w.starts), np.int64)
+        known, names = self.allowed[w.script].any(axis=1), [*self.langs, UNKNOWN]
         out = []
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
             if a == b or not self.langs:
                 out.append((UNKNOWN, 0.0, []))
                 continue
-            mine, size = path[a:b], w.lens[a:b]
-            letters = np.bincount(mine, weights=size, minlength=len(self.langs))
-            k = int(letters.argmax())
-            mean = scores[a:b][mine == k].mean(axis=0) * min(10, int((mine == k).sum()))
+            mine, size = np.where(known[a:b], path[a:b], len(self.langs)), w.lens[a:b]
+            letters = np.bincount(mine, weights=size, minlength=len(self.langs) + 1)
+            k = int(letters[:-1].argmax())
+            own = mine == k
+            mean = scores[a:b][own].mean(axis=0) * min(10, int(own.sum())) if own.any() else np.zeros(len(self.langs))
             sure = 1.0 / float(np.exp(np.clip(mean - mean[k], -60, 60)).sum())
             edge = [0, *(np.flatnonzero(np.diff(mine)) + 1).tolist(), b - a]
-            spans = [(self.langs[int(mine[s])], s, e) for s, e in zip(edge, edge[1:])]  # noqa: B905
+            spans = [(names[int(mine[s])], s, e) for s, e in zip(edge, edge[1:])]  # noqa: B905
             out.append((self.langs[k], min(1.0, float(letters[k] / letters.sum() * sure)), spans))
         return out
 
@@ -247,7 +252,8 @@ def annotate(docs: DataFrame, model: Model, out: str = "language") -> DataFrame:
     """Documents with a struct ``out``: lang, score from 0 to 1, and spans of words by language.
 
     lang is the language of most letters, ``und`` for null and for texts without a letter; the score is its part of
-    the letters times the probability of its own words' scores. Works inside the row on whole texts; other columns
+    the letters times the probability of its own words' scores. Letters of a script that no language is written in
+    count as none's: a text of nothing else has score 0, and the first language stands for it. Works inside the row on whole texts; other columns
     pass through and are never read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -15,12 +15,13 @@ from concordat.llm import decontamination, language_id, mixing, ngram_jaccard, s
 from concordat.session import checkpoint_dir
 from concordat.sources.tables import load
 
-LEAST_SCORE = 0.25
+# More than half of the letters, whatever the number of languages.
+LEAST_SCORE = 0.6
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told with a score of ``LEAST_SCORE`` or more. Rejected are texts without a
-    letter (null ones too) and those between languages. A missing lang is filled in."""
+    letter (null ones too), those in scripts of no known language and those between languages. A missing lang is filled in."""
     model = language_id.train(docs)
     marked = language_id.annotate(docs, model, "__language")
     keep = (F.col("__language.lang") != language_id.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)

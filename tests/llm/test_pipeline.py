@@ -46,6 +46,22 @@ def test_stages(spark, sf):
         docs, before = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), docs.schema), kept
 
 
+def test_language_stage(spark, sf):
+    """Foreign scripts and texts between languages go, clean ones stay."""
+    docs = load(spark, sf, "documents")
+    by_lang = {}
+    for r in docs.filter("lang is not null and length(text) > 500").collect():
+        by_lang.setdefault(r.lang, []).append(r.text[:400])
+    clean = {lang: texts[0] for lang, texts in by_lang.items()}
+    russian, han, arabic = "что это как для она они был после только " * 20, "漢字文章日本語中国語" * 20, "هذا نص باللغة العربية " * 20
+    odd = [russian, han, arabic, "слово", "".join(clean.values()), next(iter(clean.values())) + russian]
+    extra = [(10**6 + i, t, None, "extra", 0) for i, t in enumerate(odd)] + [(2 * 10**6 + i, t + " слово 漢字", None, "extra", 0) for i, t in enumerate(clean.values())]
+    out = corpus_pipeline.languages(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), sf)
+    kept = {r.doc_id: r.lang for r in out.collect()}
+    assert len(clean) == 4 and not [i for i in kept if 10**6 <= i < 2 * 10**6]
+    assert [kept[2 * 10**6 + i] for i in range(len(clean))] == list(clean)
+
+
 def test_empty(spark, sf):
     docs = load(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
