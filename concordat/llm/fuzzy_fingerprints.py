@@ -18,6 +18,7 @@ from concordat.session import cut_lineage
 c = F.col
 WINDOW = 7
 CHUNKS = 64
+LONGEST = 10
 RUN = 7
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _ROLL = np.uint32(0x01000193)
@@ -49,20 +50,45 @@ def _signature(b: np.ndarray, ends: np.ndarray) -> str:
     return LETTERS[(mix(sums) & np.uint64(63)).astype(np.int64)].tobytes().decode()
 
 
+def _ends(levels: np.ndarray, level: int) -> np.ndarray:
+    """Where chunks of a block size end. A chunk of more than ten block sizes, as hardly any text has that repeats no
+    passage, is cut again: at boundaries of the next smaller block size that are one block size or more behind the last
+    cut; what is still too long, at those of the one below, and so on."""
+    ends = np.flatnonzero(levels >= level) + 1
+    most, block = LONGEST << level, 1 << level
+    edges = np.concatenate(([0], ends, [len(levels)]))
+    long = [(int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(np.diff(edges) > most)]
+    more: list[int] = []
+    for lower in range(level - 1, -1, -1):
+        pieces, long = long, []
+        for start, stop in pieces:
+            places = np.flatnonzero(levels[start : stop - 1] >= lower) + start + 1
+            cuts = [start]
+            while (k := int(np.searchsorted(places, cuts[-1] + block))) < len(places):
+                cuts.append(int(places[k]))
+            more += cuts[1:]
+            long += [(a, b) for a, b in zip(cuts, [*cuts[1:], stop], strict=True) if b - a > most]
+    return np.sort(np.concatenate((ends, np.array(more, ends.dtype)))) if more else ends
+
+
 def fingerprint(text: str | None) -> str:
     """``level:signature:signature at twice the block size`` of the whole text.
 
     A chunk ends where a rolling hash of the last seven bytes has ``level`` zero bits, so the block size is two to
-    that power. The level is the least one with at most 64 boundaries, whatever the length; every chunk has a
-    letter. Null and empty texts: ``0::``."""
+    that power; where a text repeats a passage so often that its boundaries are at smaller block sizes only, some of
+    those are taken (``_ends``). The level is the least one with at most 64 boundaries, whatever the length; every
+    chunk has a letter. Null and empty texts: ``0::``."""
     if not text:
         return "0::"
     b = np.frombuffer(text.encode(), np.uint8)
     levels = _levels(b)
     counts = np.cumsum(np.bincount(levels)[::-1])[::-1]
     level = int(np.argmax(np.append(counts, 0) <= CHUNKS))
-    ends = np.flatnonzero(levels >= level) + 1
-    return f"{level}:{_signature(b, ends)}:{_signature(b, ends[levels[ends - 1] > level])}"
+    while len(b) > (LONGEST << level) * (CHUNKS + 1):  # more than 64 chunks, as none is longer
+        level += 1
+    while len(ends := _ends(levels, level)) > CHUNKS:
+        level += 1
+    return f"{level}:{_signature(b, ends)}:{_signature(b, _ends(levels, level + 1))}"
 
 
 def _squeezed(s: str) -> str:

@@ -40,6 +40,22 @@ def test_likeness():
     assert likeness(fingerprint("a" * 100000), fingerprint("a" * 100000)) == 1.0
 
 
+def test_repetitive_texts():
+    """A passage repeated many times: nearly all small edits stay near, a shared half is mostly seen."""
+    small, halves = [], []
+    for seed in range(12):
+        rng = random.Random(seed)
+        passage, other = words(rng, 60) + "\n", words(rng, 70) + "\n"
+        for n in (100, 300, 1000):
+            text = passage * n
+            f, at, half = fingerprint(text), len(text) // 3, text[: len(text) // 2]
+            assert len(f.split(":")[1]) >= 6
+            small += [likeness(f, fingerprint(t)) for t in (text[:at] + "#" + text[at + 1 :], text[:at] + "#" + text[at:], text[:at] + text[at + 5 :])]
+            halves += [likeness(f, fingerprint((half + end)[: len(text)])) for end in (words(rng, 200), other * n, words(rng, len(half) // 5))]
+    assert sum(x >= 0.3 for x in small) >= 0.95 * len(small) and sum(x > 0 for x in halves) >= 0.7 * len(halves)
+    assert 32 <= len(fingerprint("a" * 10**6).split(":")[1]) <= 65
+
+
 def test_boundaries_by_scalar_code():
     """The vectorised rolling hash against one that looks at each byte's window alone."""
     rng = random.Random(9)
