@@ -23,6 +23,16 @@ KINDS = ("card", "iban", "ip", "date", "phone", "email")
 FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 # Month names of written dates.
 MONTHS = "January February March April May June July August September October November December".split()
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 
 PATTERN = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
@@ -177,15 +187,30 @@ def replace(text: str | None, feistel: Feistel, back: bool = False) -> tuple[str
     if not text or not _DIGIT.search(text):
         return text, counts
 
-    def put(m: re.Match) -> str:
+    out, at = [], 0
+    while m := PATTERN.search(text, at):
         kind = "date" if m["word"] or m["date"] else m.lastgroup
-        value = _cached(kind, m[0], feistel, back)
+        found = m[0]
+        value = None if kind == "iban" else _cached(kind, found, feistel, back)
+        if kind == "iban":  # capital words and numbers behind it may be in the match
+            for found in _iban_ends(m[0]):
+                if (value := _cached(kind, found, feistel, back)) is not None:
+                    break
+            else:
+                found = m[0]
         if value is None and kind == "phone":  # digits that are no phone number may still be a card
             kind, value = "card", _cached("card", m[0], feistel, back) if re.fullmatch(r"[0-9](?:[ -]?[0-9]){12,18}", m[0]) else None
         counts[kind] += value is not None
-        return m[0] if value is None else value
+        out += [text[at : m.start()], found if value is None else value]
+        at = m.start() + len(found)
+    return "".join([*out, text[at:]]), counts
 
-    return PATTERN.sub(put, text), counts
+
+def _iban_ends(text: str) -> list[str]:
+    """What of a match may be the IBAN: up to the end of any word, the length of its country first, then the longest."""
+    ends = [m.start() for m in re.finditer(r" |$", text)]
+    heads = [text[:e] for e in reversed(ends) if len(text[:e].replace(" ", "")) >= 12]
+    return sorted(heads, key=lambda x: len(x.replace(" ", "")) != IBAN_LENGTHS.get(text[:2]))
 
 
 @lru_cache(100_000)
@@ -203,7 +228,8 @@ def annotate(docs: DataFrame, key: str, out: str = "pseudonymised", back: bool =
     Equal values of a kind have equal pseudonyms in every document, different ones have different ones, and the key
     turns them back (``back``; not a month-first date whose pseudonym reads day first). Card numbers keep their length and spacing and get a right check digit, as IBANs do;
     dates from 1900 to 2099 stay dates in the way they were written and mean the same day in each; phone numbers
-    keep the country code, e-mail addresses the domain. What isn't valid stays. Null stays null, empty stays empty.
+    keep the country code, e-mail addresses the domain. An IBAN ends where the length of its country does or else with the
+    last word of the match that makes it valid; what follows is read on its own. What isn't valid stays. Null stays null, empty stays empty.
     Works inside the row on whole texts; other columns pass through unread."""
 
     @arrow_udf(RESULT)

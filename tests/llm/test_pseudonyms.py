@@ -58,6 +58,24 @@ def test_whole_texts():
     assert replace(new, KEY, True)[0] == text and len(new) - len(text) in range(-8, 9)
 
 
+def test_iban_before_capital_words_and_numbers():
+    rng = random.Random(8)
+    ibans = ["BE68 5390 0754 7034", "BE68539007547034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    for iban in ibans:
+        for rest in (" EUR 50", " EUR", " A", " 1234", " BIC GEBABEBB", " 50 EUR AND MORE", " ABCD EFGH 1234", ", EUR", " x"):
+            text = f"to {iban}{rest} 97.51.17.173"
+            new, counts = replace(text, KEY)
+            assert counts["iban"] == counts["ip"] == 1 and new[3 : 3 + len(iban)] == pseudonym("iban", iban, KEY) and new[3 + len(iban) :].startswith(f"{rest} "), text
+            assert replace(new, KEY, True)[0] == text
+    number = card(rng, 16)
+    two, counts = replace(f"{ibans[0]} {ibans[2]} {number} 2021-03-04", KEY)
+    assert counts["iban"] == 2 and counts["card"] == counts["date"] == 1 and number not in two
+    assert replace("BE68 5390 0754 7035 EUR 50", KEY) == ("BE68 5390 0754 7035 EUR 50", {"iban": 0})
+    # A country without a known length: the longest head that is valid.
+    new, counts = replace("ZZ" + f"{98 - _mod97('123456789012' + 'ZZ00'):02}" + " 1234 5678 9012 EURO 50", KEY)
+    assert counts["iban"] == 1 and new.endswith(" EURO 50") and "1234 5678 9012" not in new
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("0123456789+-. ()/@abAB", max_size=60))
 def test_any_text(text):
