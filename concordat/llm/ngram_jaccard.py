@@ -8,7 +8,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import Words, folded, mix, pieces, separator_table
@@ -342,10 +342,12 @@ def _parts_of_count() -> Column:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Documents with one row per component: that of the least doc_id. Rows with one id count as one document; rows
-    without an id all stay."""
+    """Documents with one row per component: that of the least doc_id. Rows with one id count as one document: of
+    different texts under one id the one that stays is, in this order, not empty, of the least hash, the least; the
+    others go, near duplicates or not. Rows without an id all stay."""
     found = link(docs, k, num, den)
     spare = found.filter((c("n_shingles") > 0) & (c("doc_id") != c("component_id"))).select("doc_id").distinct()
     numbered = docs.filter(c("doc_id").isNotNull())
-    rest = numbered.join(spare, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    rank = Window.partitionBy("doc_id").orderBy(F.coalesce(F.trim("text"), F.lit("")) == "", F.xxhash64("text"), "text")
+    rest = numbered.join(spare, "doc_id", "left_anti").withColumn("__n", F.row_number().over(rank)).filter("__n = 1")
     return rest.select(docs.columns).unionByName(docs.filter(c("doc_id").isNull()))

@@ -89,6 +89,20 @@ def test_against_all_pairs(spark, monkeypatch, k, num, block, short):
     assert sorted(map(tuple, got)) == sorted(brute(docs, k, num, 100))
 
 
+def test_keep_one_of_different_texts(spark):
+    """Of texts under one id a non-empty one stays, the same in any order of rows."""
+    texts = [None, "", "  ", "one two three four five six", "seven eight nine ten eleven twelve", "a b"]
+    kept = set()
+    for seed in range(4):
+        rows = [(k, t) for k in range(40) for t in texts]
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame([(k * 10, f"{t} of {k}" if t and t.strip() else t) for k, t in rows], "doc_id long, text string").repartition(3 + seed)
+        got = sorted((r.doc_id, r.text) for r in keep_one(frame).collect())
+        assert len({i for i, _ in got}) == len(got) and all(t and t.strip() for _, t in got)
+        kept.add(tuple(got))
+    assert len(kept) == 1
+
+
 def test_keep_one(spark):
     docs = make(random.Random(2))[:150]
     docs += [docs[0], (None, "no id", None, None), (None, "no id", None, None)]
