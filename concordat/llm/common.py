@@ -95,3 +95,19 @@ def batches(rows: Iterator[pa.RecordBatch], most: int = 2_000) -> Iterator[pa.Re
     for batch in rows:
         for at in range(0, batch.num_rows, most):
             yield batch.slice(at, most)
+
+
+def split_table(separators: np.ndarray) -> bytes:
+    """A translation of UTF-8 bytes: A-Z lower-cased, bytes that split words become spaces."""
+    return bytes(0x20 if separators[b] else b for b in LOWER)
+
+
+def word_windows(text: str | None, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """All words of a text as lists for pieces of about ``size`` bytes, so that a long text's words are not held at once."""
+    raw = text.encode().translate(table) if text else b""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end

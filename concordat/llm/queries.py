@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordat.llm import decontamination, fuzzy_fingerprints, html_main, language_id, mixing, ngram_jaccard, pseudonyms, secret_scan, sql, tool_calls, toxicity
+from concordat.llm import (
+    decontamination,
+    fuzzy_fingerprints,
+    html_main,
+    language_id,
+    lexical_search,
+    mixing,
+    ngram_jaccard,
+    pseudonyms,
+    secret_scan,
+    simhash_anchors,
+    source_divergence,
+    sql,
+    tool_calls,
+    toxicity,
+)
 from concordat.sources.tables import load
 
 
@@ -50,6 +65,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link(load(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.report(load(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.report(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_secrets": op2_secrets,
@@ -61,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_ngram_join": op10_ngram_join,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_simhash": op13_simhash,
 }
 
 

@@ -122,4 +122,52 @@ SELECT c.conv_id, c.call_id, c.name, d.level::BIGINT AS level,
 FROM calls c JOIN depth d USING (conv_id, turn) LEFT JOIN res r USING (conv_id, turn) LEFT JOIN err e USING (conv_id, turn)
 """
 
-ORACLES = {"op1_mix": OP1, "op3_decontaminate": OP3, "op7_tool_calls": OP7, "op10_ngram_join": OP10}
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+t AS MATERIALIZED (SELECT lang, source, term, rid, count(*) AS n FROM (SELECT lang, source, rid, unnest(words) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n FROM t GROUP BY lang, term HAVING count(*) >= 3),
+langs AS (SELECT lang, (SELECT count(*) FROM kept k WHERE k.lang = d.lang) AS v, (SELECT coalesce(sum(n), 0) FROM kept k WHERE k.lang = d.lang) AS total FROM (SELECT DISTINCT lang FROM d) d),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cells AS MATERIALIZED (SELECT t.lang, t.source, t.term, sum(t.n)::BIGINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1::HUGEINT + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + l.v)::HUGEINT AS p,
+         1::HUGEINT + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v)::HUGEINT AS q
+  FROM grp g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+    ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+OP12 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+i AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+s AS (SELECT count(*) FILTER (len(words) > 0) AS docs, sum(len(words))::HUGEINT AS terms FROM d),
+tf AS MATERIALIZED (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(words)::BIGINT AS n, unnest(words) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(s.docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, s GROUP BY term),
+scored AS (
+  SELECT i.item_id, rid, doc_id,
+    sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + ((90::HUGEINT * tf.n * s.docs) // s.terms)::BIGINT))))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op1_mix": OP1, "op3_decontaminate": OP3, "op7_tool_calls": OP7, "op10_ngram_join": OP10, "op11_source_divergence": OP11, "op12_lexical_search": OP12}
