@@ -61,7 +61,9 @@ def hints(x: str) -> str:
 
 def stems(x: str) -> str:
     """Distinct stems of a text as a list."""
-    return f"list_distinct(list_transform({hints(x)}, lambda t: {stem('t')}))"
+    toks = f"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'))"
+    kept = f"list_filter({toks}, lambda t: length(t) >= 3 AND NOT list_contains(string_split('{STOP}', ' '), t))"
+    return f"list_distinct(list_transform({kept}, lambda t: {stem('t')}))"
 
 
 SEVERITY_RANK = (

@@ -14,20 +14,16 @@ c = F.col
 
 
 def _units(ctx, name="units"):
-    return ctx.fx(name).withColumn("hints", text.hints_text(c("title")))
+    """Units with the hints of their whole texts."""
+    return ctx.fx(name).withColumn("hints", text.hints_text(c("text")))
 
 
-_CL = f"""u AS (SELECT *, {duck.stems("title")} AS st FROM fx_units),
+_CL = f"""u AS (SELECT *, {duck.stems("text")} AS st FROM fx_units),
  cl AS (SELECT * FROM u WHERE coalesce(lifecycle <> 'DESCOPED', true) AND type NOT IN ('GLOBAL_CAVEAT', 'STANDARD')),
  sx AS (SELECT id, unnest(st) AS x FROM cl), pr AS (SELECT a.id, a.x, b.x AS y FROM sx a JOIN sx b ON a.id = b.id AND a.x < b.x),
  mn AS (SELECT x, y, min(id) AS b FROM pr GROUP BY ALL), ed AS (SELECT DISTINCT pr.id AS a, mn.b FROM pr JOIN mn USING (x, y) WHERE pr.id <> mn.b)"""
 
 
-@query("jn_36", f"WITH {_CL} SELECT a, b FROM ed")
-def jn_36(ctx):
-    return ev.hint_edges(ev.clusterable(_units(ctx)))
-
-
 _COMP = f"""WITH RECURSIVE {_CL}, e2 AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
  lab AS (SELECT id, id AS l FROM cl UNION SELECT e2.b, lab.l FROM lab JOIN e2 ON e2.a = lab.id AND lab.l < e2.b),
  cm AS (SELECT id, min(l) AS l FROM lab GROUP BY id),
@@ -46,6 +42,12 @@ def _described(members: str) -> str:
  ft AS (SELECT sa.feature_id, {_STATUS} AS status, size, coalesce(hb.s, tt.t, sa.feature_id) AS name FROM sa LEFT JOIN hb USING (feature_id) LEFT JOIN tt USING (feature_id))"""
 
 
+@query("jn_36", f"{_COMP} SELECT id AS a, l AS b FROM cm WHERE id <> l")
+def jn_36(ctx):
+    linked = ev.hint_components(ev.clusterable(_units(ctx)))
+    return linked.filter(c("id") != c("label")).select(c("id").alias("a"), c("label").alias("b"))
+
+
 @query("gr_1", f"{_COMP} SELECT id AS unit_id, feature_id FROM mb")
 def gr_1(ctx):
     return ev.seed_features(_units(ctx))[1].select("unit_id", "feature_id")
@@ -65,7 +67,7 @@ def feature_units(d) -> str:
     SELECT id, num, source, type, title, text, lifecycle, concat('f', num % 97) AS feature_id FROM fx_units"""
 
 
-_FU = f"fu AS (SELECT *, {duck.stems('title')} AS st FROM fx_feature_units)"
+_FU = f"fu AS (SELECT *, {duck.stems('text')} AS st FROM fx_feature_units)"
 
 
 def _members(ctx):
@@ -85,10 +87,10 @@ def agg_27(ctx):
 @fixture
 def sparse_units(d) -> str:
     return """
-    SELECT id, num, source, type, title, lifecycle, concat(source, '-', num % 40) AS feature_id FROM fx_units"""
+    SELECT id, num, source, type, title, text, lifecycle, concat(source, '-', num % 40) AS feature_id FROM fx_units"""
 
 
-_SU = f"su AS (SELECT *, {duck.stems('title')} AS st FROM fx_sparse_units)"
+_SU = f"su AS (SELECT *, {duck.stems('text')} AS st FROM fx_sparse_units)"
 
 
 @query(
