@@ -1,9 +1,9 @@
 """Schema comparison: same-name fields, binding-driven nested pairs, structural verdicts.
 
 Schemas are keyed by (scan_id, schema). ``schemas`` rows carry type and enum_values; ``fields`` rows carry
-pos, field, type, format, required, ref_schema and constraints. Nested comparison walks the reference
-graph one level per round, at most eight levels below the root; what every round needs and each level are written
-once, and the loop ends as soon as a level is empty.
+pos, field, type, format, required, ref_schema and constraints. Nested comparison works on the graph of distinct
+pairs (code schema, spec schema) of a scan: each pair is compared once, whatever the number of paths to it, and paths are
+walked only where they lead to a finding.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from concordat.operators.windows import first_k
 from concordat.session import cut_lineage
 
 c = F.col
+PAIR = ["scan_id", "cs", "ss"]
+_HERE = "\u0001"  # stands for the place of a pair in what the pair shows by itself
 
 
 def last_fields(fields: DataFrame) -> DataFrame:
@@ -53,7 +55,8 @@ def _spec_side(fields: DataFrame) -> DataFrame:
 
 
 def compare_fields(pairs: DataFrame, code_fields: DataFrame, spec_fields: DataFrame) -> DataFrame:
-    """Field findings of (code schema ``cs``, spec schema ``ss``) pairs under a ``locus``."""
+    """Field findings of (code schema ``cs``, spec schema ``ss``) pairs under a ``locus``. ``spec_locus`` names the field
+    of the spec schema that one edit would mend; types that differ in another way are another place."""
     keep = pairs.columns
     j = pairs.join(code_fields.withColumnRenamed("schema", "cs"), ["scan_id", "cs"])
     j = j.join(_spec_side(spec_fields), ["scan_id", "ss", "field"], "left")
@@ -70,12 +73,16 @@ def compare_fields(pairs: DataFrame, code_fields: DataFrame, spec_fields: DataFr
         _finding(both & ~code_none & spec_none, "CONSTRAINT_GAP", _text(who, " has code constraints not exposed in the spec"), "MEDIUM"),
         _finding(both & ~code_none & ~spec_none & diff.isNotNull(), "CONSTRAINT_GAP", _text(who, " constraint mismatch — ", diff), "MEDIUM"),
     ]
-    a = _emit(j, found, *keep, _text(c("locus"), ".", c("field")).alias("endpoint"))
+    place = _text(c("ss"), "#", c("field"))
+    kept = [*keep, _text(c("locus"), ".", c("field")).alias("endpoint"), place.alias("_at"), _text(place, "#", c("type"), "~", c("s.type")).alias("_kind")]
+    at = F.when(c("type") == "SCHEMA_FIELD_MISSING", c("_at")).when(c("type") == "SCHEMA_FIELD_TYPE_MISMATCH", c("_kind"))
+    a = _emit(j, found, *kept).withColumn("spec_locus", at).drop("_at", "_kind")
     extra = pairs.join(spec_fields.withColumnRenamed("schema", "ss"), ["scan_id", "ss"])
     extra = extra.join(code_fields.select("scan_id", c("schema").alias("cs"), "field"), ["scan_id", "cs", "field"], "left_anti")
     b = extra.select(
         *keep, _text(c("locus"), ".", c("field")).alias("endpoint"), F.lit("SCHEMA_FIELD_EXTRA").alias("type"),
         _text("Field '", c("field"), "' of ", c("locus"), " is in the spec but not in code").alias("summary"), F.lit("LOW").alias("confidence"),
+        place.alias("spec_locus"),
     )
     return a.unionByName(b)
 
@@ -85,7 +92,7 @@ def field_diff(code_schemas: DataFrame, code_fields: DataFrame, spec_schemas: Da
     usable = suppressed(schema_info(spec_schemas, spec_fields), blind_spots).filter(~c("suppressed"))
     pairs = code_schemas.select("scan_id", "schema").join(usable.select("scan_id", "schema"), ["scan_id", "schema"])
     pairs = pairs.select("scan_id", c("schema").alias("cs"), c("schema").alias("ss"), c("schema").alias("locus"))
-    return compare_fields(pairs, code_fields, spec_fields).select("scan_id", "type", "endpoint", "summary", "confidence").distinct()
+    return compare_fields(pairs, code_fields, spec_fields).select("scan_id", "type", "endpoint", "summary", "confidence", "spec_locus").distinct()
 
 
 def _common_fields(nodes: DataFrame, code_last: DataFrame, spec_last: DataFrame) -> DataFrame:
@@ -94,13 +101,60 @@ def _common_fields(nodes: DataFrame, code_last: DataFrame, spec_last: DataFrame)
     return nodes.join(cf, ["scan_id", "cs"]).join(sf, ["scan_id", "ss", "field"])
 
 
-class BoundDiff:
-    """Result of :func:`bound_field_diff`."""
+def _closure(starts: DataFrame, step) -> DataFrame:
+    """Everything that ``step`` leads to from ``starts``, which are part of it. Each round writes what is new; eight
+    rounds become one table, so that plans stay short."""
+    new = cut_lineage(starts.distinct())
+    found = [new]
+    while not new.isEmpty():
+        seen = _union(found)
+        new = cut_lineage(step(new).distinct().join(seen, seen.columns, "left_anti"))
+        found.append(new)
+        if len(found) > 8:
+            found = [cut_lineage(_union(found))]
+    return _union(found)
+
+
+def _leading_to(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs from which a target is reached along ``edges`` (scan_id, cs, ss, n_cs, n_ss), targets included."""
+    back = edges.select("scan_id", "cs", "ss", c("n_cs").alias("t_cs"), c("n_ss").alias("t_ss"))
+    return _closure(
+        targets.select(*PAIR),
+        lambda new: back.join(new.select("scan_id", c("cs").alias("t_cs"), c("ss").alias("t_ss")), ["scan_id", "t_cs", "t_ss"]).select(*PAIR),
+    )
 
-    def __init__(self, findings: DataFrame, divergent: DataFrame, emitting: DataFrame):
-        self.findings = findings
-        self.divergent = divergent
-        self.emitting = emitting
+
+class BoundDiff:
+    """Result of :func:`bound_field_diff`: what each pair shows by itself, and which bindings reach which pairs.
+
+    ``divergent`` names the bindings with a difference on some path; ``findings`` walks the paths."""
+
+    def __init__(self, starts: DataFrame, edges: DataFrame, local: DataFrame, divergent: DataFrame):
+        self.starts, self.edges, self.local, self.divergent = starts, edges, local, divergent
+
+    @property
+    def findings(self) -> DataFrame:
+        """A row per finding and path. Only paths that can still reach a finding are followed, so their number is that
+        of the rows returned, not that of all paths of the graph."""
+        useful = cut_lineage(_leading_to(self.local, self.edges))
+        edges = cut_lineage(self.edges.join(useful.select("scan_id", c("cs").alias("n_cs"), c("ss").alias("n_ss")), ["scan_id", "n_cs", "n_ss"], "left_semi"))
+        pair = lambda cs, ss: F.concat(cs, F.lit("|"), ss)
+        level = self.starts.join(useful, PAIR, "left_semi").withColumn("visited", F.array(pair("cs", "ss")))
+        levels = []
+        while True:
+            level = cut_lineage(level)
+            if level.isEmpty():
+                break
+            levels.append(level.select("scan_id", "binding_id", "locus", "cs", "ss"))
+            nxt = level.join(edges, PAIR).filter(~F.array_contains("visited", pair("n_cs", "n_ss")))
+            level = nxt.select(
+                "scan_id", "binding_id", _text(c("locus"), ".", c("field")).alias("locus"), c("n_cs").alias("cs"), c("n_ss").alias("ss"),
+                F.array_append("visited", pair("n_cs", "n_ss")).alias("visited"),
+            )
+        spark = self.starts.sparkSession
+        paths = _union(levels) if levels else spark.createDataFrame([], "scan_id string, binding_id bigint, locus string, cs string, ss string")
+        at = lambda x: F.replace(c(x), F.lit(_HERE), c("locus")).alias(x)
+        return paths.join(self.local, PAIR).select("scan_id", "binding_id", "type", at("endpoint"), at("summary"), "confidence", "spec_locus").distinct()
 
 
 def bound_field_diff(bindings: DataFrame, code_schemas: DataFrame, code_fields: DataFrame, spec_schemas: DataFrame,
@@ -108,59 +162,51 @@ def bound_field_diff(bindings: DataFrame, code_schemas: DataFrame, code_fields:
     """Compare nested schemas through the fields that bind them.
 
     ``bindings``: scan_id, binding_id, locus, code_ref, spec_ref. The visited set is kept per path, so a
-    shared nested schema is compared on every path. Pairs of equal names are not emitted here (the same-name
-    comparison reports them once) but still count as divergence.
+    shared nested schema is reported on every path. Pairs of equal names are not emitted here (the same-name
+    comparison reports them once) but still count as divergence. The pairs themselves are compared once each.
     """
     code_ok = cut_lineage(schema_info(code_schemas, code_fields).filter(~c("structureless")).select("scan_id", c("schema").alias("cs")))
     spec_ok = suppressed(schema_info(spec_schemas, spec_fields), blind_spots).filter(~c("suppressed"))
     spec_ok = cut_lineage(spec_ok.select("scan_id", c("schema").alias("ss")))
     code_last, spec_last = cut_lineage(last_fields(code_fields)), cut_lineage(last_fields(spec_fields))
-    frontier = bindings.filter(ct.is_array_ref(c("code_ref")) == ct.is_array_ref(c("spec_ref"))).select(
-        "scan_id", "binding_id", "locus", ct.base_name(c("code_ref")).alias("cs"), ct.base_name(c("spec_ref")).alias("ss"),
-        F.array().cast("array<string>").alias("visited"),
-    )
-    levels: list[DataFrame] = []
-    mismatches: list[DataFrame] = []
-    while True:
-        pair = F.concat("cs", F.lit("|"), "ss")
-        nodes = frontier.filter(~F.array_contains("visited", pair)).join(code_ok, ["scan_id", "cs"]).join(spec_ok, ["scan_id", "ss"])
-        nodes = cut_lineage(nodes.withColumn("visited", F.array_append("visited", pair)))
-        if nodes.isEmpty():
-            break
-        levels.append(nodes.select("scan_id", "binding_id", "locus", "cs", "ss"))
-        f = _common_fields(nodes, code_last, spec_last)
-        one_ref = c("c_ref").isNotNull() != c("s_ref").isNotNull()
-        ref_type = F.when(c("c_ref").isNotNull(), c("c_type")).otherwise(c("s_type"))
-        scalar = F.when(c("c_ref").isNotNull(), c("s_type")).otherwise(c("c_type"))
-        shape = F.when(
-            c("c_ref").isNotNull(), _text("a nested object/array in code but a scalar (", c("s_type"), ") in the spec")
-        ).otherwise(_text("a scalar (", c("c_type"), ") in code but a nested object/array in the spec"))
-        c_arr, s_arr = ct.is_array_ref(c("c_ref")), ct.is_array_ref(c("s_ref"))
-        arr = F.when(c_arr, "an array in code but a single object in the spec").otherwise(
-            "a single object in code but an array in the spec"
-        )
-        both_refs = c("c_ref").isNotNull() & c("s_ref").isNotNull()
-        lead = _text("Field '", c("field"), "' of ", c("locus"), " is ")
-        kinds = [
-            _finding(one_ref & scalar.isNotNull() & (scalar != "object") & F.coalesce(ref_type != "array", F.lit(True)),
-                     "SCHEMA_FIELD_TYPE_MISMATCH", _text(lead, shape), "HIGH"),
-            _finding(both_refs & (c_arr != s_arr), "SCHEMA_FIELD_TYPE_MISMATCH", _text(lead, arr), "HIGH"),
-        ]
-        mismatches.append(_emit(f, kinds, "scan_id", "binding_id", _text(c("locus"), ".", c("field")).alias("endpoint")))
-        frontier = f.filter(both_refs & (c_arr == s_arr)).select(
-            "scan_id", "binding_id", _text(c("locus"), ".", c("field")).alias("locus"),
-            ct.base_name(c("c_ref")).alias("cs"), ct.base_name(c("s_ref")).alias("ss"), "visited",
-        )
-    spark = bindings.sparkSession
-    empty_nodes = "scan_id string, binding_id bigint, locus string, cs string, ss string"
-    all_nodes = _union(levels) if levels else spark.createDataFrame([], empty_nodes)
-    compared = compare_fields(all_nodes, code_fields, spec_fields)
-    cols = ["scan_id", "binding_id", "type", "endpoint", "summary", "confidence"]
-    emitted = compared.filter(c("cs") != c("ss")).select(*cols)
-    if mismatches:
-        emitted = emitted.unionByName(_union(mismatches).select(*cols))
-    divergent = compared.select("scan_id", "binding_id").unionByName(emitted.select("scan_id", "binding_id")).distinct()
-    return BoundDiff(emitted.distinct(), divergent, emitted.select("scan_id", "binding_id").distinct())
+    starts = bindings.filter(ct.is_array_ref(c("code_ref")) == ct.is_array_ref(c("spec_ref"))).select(
+        "scan_id", "binding_id", "locus", ct.base_name(c("code_ref")).alias("cs"), ct.base_name(c("spec_ref")).alias("ss")
+    )
+    starts = cut_lineage(starts.join(code_ok, ["scan_id", "cs"]).join(spec_ok, ["scan_id", "ss"]))
+    c_arr, s_arr = ct.is_array_ref(c("c_ref")), ct.is_array_ref(c("s_ref"))
+    both_refs = c("c_ref").isNotNull() & c("s_ref").isNotNull()
+
+    def below(pairs: DataFrame) -> DataFrame:
+        f = _common_fields(pairs, code_last, spec_last).filter(both_refs & (c_arr == s_arr))
+        f = f.select(*PAIR, "field", ct.base_name(c("c_ref")).alias("n_cs"), ct.base_name(c("s_ref")).alias("n_ss"))
+        return f.join(code_ok.withColumnRenamed("cs", "n_cs"), ["scan_id", "n_cs"]).join(spec_ok.withColumnRenamed("ss", "n_ss"), ["scan_id", "n_ss"])
+
+    pairs = cut_lineage(_closure(starts.select(*PAIR), lambda new: below(new).select("scan_id", c("n_cs").alias("cs"), c("n_ss").alias("ss"))))
+    edges = cut_lineage(below(pairs).select(*PAIR, "field", "n_cs", "n_ss"))
+    here = pairs.withColumn("locus", F.lit(_HERE))
+    f = _common_fields(here, code_last, spec_last)
+    one_ref = c("c_ref").isNotNull() != c("s_ref").isNotNull()
+    ref_type = F.when(c("c_ref").isNotNull(), c("c_type")).otherwise(c("s_type"))
+    scalar = F.when(c("c_ref").isNotNull(), c("s_type")).otherwise(c("c_type"))
+    shape = F.when(
+        c("c_ref").isNotNull(), _text("a nested object/array in code but a scalar (", c("s_type"), ") in the spec")
+    ).otherwise(_text("a scalar (", c("c_type"), ") in code but a nested object/array in the spec"))
+    arr = F.when(c_arr, "an array in code but a single object in the spec").otherwise("a single object in code but an array in the spec")
+    lead = _text("Field '", c("field"), "' of ", c("locus"), " is ")
+    kinds = [
+        _finding(one_ref & scalar.isNotNull() & (scalar != "object") & F.coalesce(ref_type != "array", F.lit(True)),
+                 "SCHEMA_FIELD_TYPE_MISMATCH", _text(lead, shape), "HIGH"),
+        _finding(both_refs & (c_arr != s_arr), "SCHEMA_FIELD_TYPE_MISMATCH", _text(lead, arr), "HIGH"),
+    ]
+    cols = [*PAIR, "type", "endpoint", "summary", "confidence", "spec_locus"]
+    how = F.when(one_ref, "nested").otherwise("list")
+    mismatches = _emit(f, kinds, *PAIR, _text(c("locus"), ".", c("field")).alias("endpoint"), _text(c("ss"), "#", c("field"), "#", how).alias("spec_locus")).select(*cols)
+    compared = cut_lineage(compare_fields(here, code_fields, spec_fields).select(*cols).unionByName(mismatches.withColumn("type", F.concat(F.lit("+"), "type"))).distinct())
+    differs = _leading_to(compared.select(*PAIR).distinct(), edges)
+    divergent = starts.join(differs, PAIR, "left_semi").select("scan_id", "binding_id").distinct()
+    told = c("type").startswith("+")
+    local = compared.filter(told | (c("cs") != c("ss"))).withColumn("type", F.regexp_replace("type", r"^\+", ""))
+    return BoundDiff(starts, edges, local, divergent)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -203,8 +249,8 @@ def structural_verdict(roots: DataFrame, code_schemas: DataFrame, code_fields: D
                        spec_fields: DataFrame, blind_spots: DataFrame) -> DataFrame:
     """MATCH, DIFFER or UNRESOLVED per root (scan_id, binding_id, code_ref, spec_ref).
 
-    A root matches when no reachable pair differs by itself. "All reachable pairs are fine" does not depend
-    on the path taken, so reachability needs one visited set per root instead of one per path.
+    A root matches when no reachable pair differs by itself. That is a property of the root's pair: pairs that
+    differ are found once and followed backwards, and roots look their pair up.
     """
     info_c = cut_lineage(schema_info(code_schemas, code_fields))
     info_s = cut_lineage(suppressed(schema_info(spec_schemas, spec_fields), blind_spots))
@@ -225,24 +271,20 @@ def structural_verdict(roots: DataFrame, code_schemas: DataFrame, code_fields: D
     exists_c, exists_s = code_schemas.select("scan_id", c("schema").alias("cs")), spec_schemas.select("scan_id", c("schema").alias("ss"))
     no_enum_c = info_c.filter(~ct.has_values(c("enum_values"))).select("scan_id", c("schema").alias("cs"))
     no_enum_s = info_s.filter(~ct.has_values(c("enum_values"))).select("scan_id", c("schema").alias("ss"))
-    key = ["scan_id", "binding_id", "cs", "ss"]
-    frontier = r.filter(c("early").isNull()).select(*key)
-    seen = None
-    while True:
-        frontier = cut_lineage(frontier.distinct())
-        if frontier.isEmpty():
-            break
-        seen = frontier if seen is None else seen.unionByName(frontier)
-        open_nodes = frontier.select(*key).join(no_enum_c, ["scan_id", "cs"]).join(no_enum_s, ["scan_id", "ss"])
-        f = _common_fields(open_nodes, code_last, spec_last).filter(c("c_ref").isNotNull() & c("s_ref").isNotNull())
+
+    def below(pairs: DataFrame) -> DataFrame:
+        open_pairs = pairs.join(no_enum_c, ["scan_id", "cs"]).join(no_enum_s, ["scan_id", "ss"])
+        f = _common_fields(open_pairs, code_last, spec_last).filter(c("c_ref").isNotNull() & c("s_ref").isNotNull())
         f = f.filter(ct.is_array_ref(c("c_ref")) == ct.is_array_ref(c("s_ref")))
-        nxt = f.select("scan_id", "binding_id", ct.base_name(c("c_ref")).alias("cs"), ct.base_name(c("s_ref")).alias("ss"))
-        nxt = nxt.join(exists_c, ["scan_id", "cs"]).join(exists_s, ["scan_id", "ss"])
-        frontier = nxt.join(seen.select(*key), key, "left_anti")
-    nodes = frontier if seen is None else seen
-    bad = _local_failures(nodes.select("scan_id", "cs", "ss").distinct(), info_c, info_s, code_last, spec_last)
-    differs = nodes.join(bad, ["scan_id", "cs", "ss"], "left_semi").select("scan_id", "binding_id", F.lit(True).alias("differs")).distinct()
-    out = r.join(differs, ["scan_id", "binding_id"], "left")
+        f = f.select(*PAIR, ct.base_name(c("c_ref")).alias("n_cs"), ct.base_name(c("s_ref")).alias("n_ss"))
+        return f.join(exists_c.withColumnRenamed("cs", "n_cs"), ["scan_id", "n_cs"]).join(exists_s.withColumnRenamed("ss", "n_ss"), ["scan_id", "n_ss"])
+
+    roots_ = r.filter(c("early").isNull()).select(*PAIR)
+    pairs = cut_lineage(_closure(roots_, lambda new: below(new).select("scan_id", c("n_cs").alias("cs"), c("n_ss").alias("ss"))))
+    edges = cut_lineage(below(pairs).select(*PAIR, "n_cs", "n_ss").distinct())
+    bad = _local_failures(pairs, info_c, info_s, code_last, spec_last)
+    differs = _leading_to(bad, edges).withColumn("differs", F.lit(True))
+    out = r.join(differs, PAIR, "left")
     verdict = F.coalesce("early", F.when(c("differs"), "DIFFER").otherwise("MATCH"))
     return out.select("scan_id", "binding_id", verdict.alias("verdict"))
 

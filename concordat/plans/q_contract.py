@@ -603,7 +603,7 @@ def _field_rows(pairs: str, keep: str) -> str:
     SELECT DISTINCT scan_id, type, endpoint, summary, confidence FROM ({_field_rows("pr", "x.scan_id")})""",
 )
 def jn_13(ctx):
-    return sc.field_diff(*_schema_tables(ctx))
+    return sc.field_diff(*_schema_tables(ctx)).drop("spec_locus").distinct()
 
 
 def _schema_tables(ctx):
@@ -638,7 +638,7 @@ _TREE = f"""WITH RECURSIVE {_INFO},
 
 @query("jn_14", f"{_TREE} SELECT scan_id, binding_id, endpoint, type, summary, confidence FROM em")
 def jn_14(ctx):
-    return sc.bound_field_diff(ctx.fx("bindings"), *_schema_tables(ctx)).findings
+    return sc.bound_field_diff(ctx.fx("bindings"), *_schema_tables(ctx)).findings.drop("spec_locus").distinct()
 
 
 _SCALARS = "('string','integer','int','long','short','byte','boolean','double','float','number','bigdecimal','biginteger','character','char','uuid','date','localdate','localdatetime','instant','offsetdatetime','zoneddatetime','void')"
