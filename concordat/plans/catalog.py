@@ -8,6 +8,8 @@ from concordat.plans import (  # noqa: F401
     q_expressions,
     q_findings,
     q_portfolio,
+    q_scan,
     q_sources,
+    q_specs,
     q_streaming,
 )

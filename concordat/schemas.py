@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 # Schemas are DDL text: readers take it as it is, and no session is needed at import.
 SOURCE_TABLES = {
     "region": ("r_regionkey int, r_name string"),
@@ -36,16 +40,16 @@ CONSTRAINTS = (
 
 DOMAIN_TABLES = {
     "endpoints": (
-        "scan_id string, side string, spec_id string, pos int, method string, path string, operation_id string, "
+        "scan_id string, side string, spec_id string, pos bigint, method string, path string, operation_id string, "
         "consumes array<string>, produces array<string>, security array<string>, "
         "body struct<schema_ref:string,required:boolean,media_types:array<string>>, controller string"
     ),
     "params": (
-        "scan_id string, side string, spec_id string, endpoint_key string, pos int, name string, location string, "
+        "scan_id string, side string, spec_id string, ep bigint, pos int, name string, location string, "
         f"type string, format string, required boolean, constraints {CONSTRAINTS}"
     ),
     "responses": (
-        "scan_id string, side string, spec_id string, endpoint_key string, pos int, status int, schema_ref string, "
+        "scan_id string, side string, spec_id string, ep bigint, pos int, status int, schema_ref string, "
         "media_types array<string>, origin string"
     ),
     "fields": (
@@ -55,7 +59,7 @@ DOMAIN_TABLES = {
     "findings": (
         "scan_id string, finding_id string, pos bigint, type string, layer string, severity string, "
         "confidence string, origin string, endpoint string, affected_endpoints array<string>, spec_locus string, "
-        "spec_source string, summary string, explanation string, proposed_fix string, status string, "
+        "spec_source string, summary string, explanation string, proposed_fix string, status string, reviewed_by string, "
         "reviewed_at timestamp, ai_disputed boolean, ai_dispute_reason string, dispute_verdict string, "
         "user_severity string, code_file string, code_line int, created_at timestamp"
     ),
@@ -77,3 +81,28 @@ DOMAIN_TABLES = {
         "links array<string>, hints array<string>"
     ),
 }
+
+
+def conform(df: DataFrame, table: str, needed: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with exactly the columns of a domain table: missing ones are null unless ``needed``, others are left out.
+
+    The border between sources and operators: a needed column that is not there, or a column whose type is not that
+    of the table and does not widen to it, raises ``ValueError`` before anything runs."""
+    want = T._parse_datatype_string(DOMAIN_TABLES[table])
+    have = {f.name: f.dataType for f in df.schema}
+    gone = [n for n in needed if n not in have]
+    wrong = [f"{f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in want if f.name in have and not _widens(have[f.name], f.dataType)]
+    if gone or wrong:
+        raise ValueError(f"{table}: " + "; ".join([f"{n} is missing" for n in gone] + wrong))
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+
+
+def _widens(a: T.DataType, b: T.DataType) -> bool:
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return [f.name for f in a] == [f.name for f in b] and all(_widens(x.dataType, y.dataType) for x, y in zip(a, b, strict=True))
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return _widens(a.elementType, b.elementType)
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    kinds = (whole, times)
+    return a == b or isinstance(a, T.NullType) or any(isinstance(a, k) and isinstance(b, k) for k in kinds)

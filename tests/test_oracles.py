@@ -13,7 +13,7 @@ ROOT = os.path.join(os.path.dirname(__file__), "..")
 SAMPLE = [
     "exp_1", "exp_5", "exp_17", "exp_20", "exp_27", "exp_28", "agg_1_caps", "agg_3", "agg_11", "agg_13", "agg_14", "agg_19", "agg_33",
     "win_2", "win_3", "win_4", "win_7", "win_9", "win_10", "top_2", "set_2", "jn_2", "jn_4", "jn_7", "jn_11", "jn_13", "jn_19", "jn_20",
-    "jn_24", "jn_33", "jn_49", "src_3", "src_6", "src_9", "st_1", "st_8",
+    "jn_24", "jn_33", "jn_49", "src_3", "src_3_references", "src_4_composition", "src_6", "src_9", "st_1", "st_8",
 ]
 
 
