@@ -111,7 +111,8 @@ def _edges(unit: pa.Table, most: int) -> pa.Table:
     """Edges that connect what is linked between the two sides of a unit: homes (0) and visitors (1) of an anchor.
 
     A pair at ``most`` or fewer differing bits has distances to the anchor that differ by no more. The pair of home
-    and visitor is found where the home is nearer to the code, so that only visitors at least as far from it count."""
+    and visitor is found where the home is nearer to the code, so that only visitors at least as far from it count. Units
+    that share a group by chance only add true edges."""
     side, d, r = (unit[x].to_numpy() for x in ("side", "d", "r"))
     fp = unit["fp"].to_numpy().view(np.uint64)
     order = np.argsort(d, kind="stable")
@@ -154,7 +155,8 @@ def links(fps: DataFrame, most: int = 3, dim: int | None = None) -> DataFrame:
     steps = lambda n: F.explode(F.sequence(F.lit(0), c(n) - 1))
     homes = dealt.filter("home").select("anchor", F.pmod("h", "homes").cast("int").alias("i"), steps("all").alias("j"), F.lit(0).alias("side"), "fp", "d", "r")
     visitors = dealt.select("anchor", steps("homes").alias("i"), F.pmod("h", "all").cast("int").alias("j"), F.lit(1).alias("side"), "fp", "d", "r")
-    units = homes.unionByName(visitors).groupBy("anchor", "i", "j")
+    # Dealt by a key of its own: the join has left the rows by anchor, which would keep all units of one in a task.
+    units = homes.unionByName(visitors).withColumn("unit", F.xxhash64("anchor", "i", "j")).groupBy("unit")
     return units.applyInArrow(lambda table: _edges(table, most), "a bigint, b bigint")
 
 
