@@ -6,6 +6,7 @@ from concordat.plans import (  # noqa: F401
     q_coverage,
     q_evidence,
     q_expressions,
+    q_extraction,
     q_findings,
     q_portfolio,
     q_scan,

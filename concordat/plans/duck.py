@@ -66,6 +66,12 @@ def stems(x: str) -> str:
     return f"list_distinct(list_transform({kept}, lambda t: {stem('t')}))"
 
 
+def hint_set(x: str) -> str:
+    """Distinct hint tokens of a text, sorted."""
+    toks = f"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'))"
+    return f"list_sort(list_filter({toks}, lambda t: length(t) >= 3 AND NOT list_contains(string_split('{STOP}', ' '), t)))"
+
+
 SEVERITY_RANK = (
     "CASE {0} WHEN 'BLOCKER' THEN 0 WHEN 'CRITICAL' THEN 1 WHEN 'MAJOR' THEN 2 WHEN 'MINOR' THEN 3 "
     "WHEN 'INFO' THEN 4 WHEN 'UNSPECIFIED' THEN 5 END"

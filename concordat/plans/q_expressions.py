@@ -295,14 +295,14 @@ def secrets(d) -> str:
     FROM {d.t("documents")}"""
 
 
-def _duck_redact() -> str:
-    """The ordered fold written as one CTE per rule."""
+def duck_redact(table: str, key: str) -> tuple[str, str, list[str]]:
+    """The ordered fold over (key, text) rows, one CTE per rule: the CTEs, the name of the last one, and its counts."""
     luhn = (
         "(list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN (length({0}) - i) % 2 = 0 "
         "THEN CAST(substr({0}, i, 1) AS INTEGER) WHEN CAST(substr({0}, i, 1) AS INTEGER) * 2 > 9 "
         "THEN CAST(substr({0}, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr({0}, i, 1) AS INTEGER) * 2 END)) % 10 = 0)"
     )
-    ctes, prev, counts = [], "fx_secrets", []
+    ctes, prev, counts = [], table, []
     for i, (name, pattern, repl, gate) in enumerate(redaction.RULES):
         carried = "".join(f", {c}" for c in counts)
         if gate is None:
@@ -310,7 +310,7 @@ def _duck_redact() -> str:
                 f"regexp_replace(text, '{pattern}', '{repl}', 'g') AS text{carried}, "
                 f"len(regexp_extract_all(text, '{pattern}')) AS n_{name}"
             )
-            ctes.append(f"r{i} AS (SELECT doc_id, {sel} FROM {prev})")
+            ctes.append(f"r{i} AS (SELECT {key}, {sel} FROM {prev})")
         else:
             lo, hi = gate
             digits = "regexp_replace(h, '[^0-9]', '', 'g')"
@@ -320,20 +320,22 @@ def _duck_redact() -> str:
                 f"regexp_split_to_array(text, '{pattern}') AS pieces FROM {prev})"
             )
             ctes.append(
-                f"r{i} AS (SELECT doc_id, array_to_string(list_transform(pieces, lambda p, k: p || "
+                f"r{i} AS (SELECT {key}, array_to_string(list_transform(pieces, lambda p, k: p || "
                 f"coalesce(list_transform(hits[k:k], lambda h: CASE WHEN {ok} THEN '{repl}' ELSE h END)[1], '')), '') "
                 f"AS text{carried}, len(list_filter(hits, lambda h: {ok})) AS n_{name} FROM m{i})"
             )
         counts.append(f"n_{name}")
         prev = f"r{i}"
-    total = " + ".join(counts)
+    return ", ".join(ctes), prev, counts
+
+
+def _duck_redacted() -> str:
+    ctes, last, counts = duck_redact("fx_secrets", "doc_id")
     cols = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in counts)
-    return (
-        "WITH " + ", ".join(ctes) + f" SELECT doc_id, text AS redacted, {cols}, CAST({total} AS INTEGER) AS hits FROM {prev}"
-    )
+    return f"WITH {ctes} SELECT doc_id, text AS redacted, {cols}, CAST({' + '.join(counts)} AS INTEGER) AS hits FROM {last}"
 
 
-@query("exp_17", _duck_redact())
+@query("exp_17", _duck_redacted())
 def exp_17(ctx):
     out = redaction.redact(ctx.fx("secrets").select("doc_id", "text"), "text")
     counts = redaction.redact_columns()
