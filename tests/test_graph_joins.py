@@ -93,3 +93,16 @@ def test_conform(spark):
         conform(rows, "endpoints", ("controller",))
     with pytest.raises(ValueError, match="pos is string"):
         conform(rows.withColumn("pos", rows["path"]), "endpoints")
+
+
+@pytest.mark.parametrize(("light", "block"), [(10_000, 1024), (6, 3), (0, 1024)])
+def test_misclusters(spark, light, block):
+    """The same counts whether a stem is joined or multiplied."""
+    rng = random.Random(light + block)
+    hints = {f"f{i:02}": sorted({f"word{x}q" for x in rng.sample(range(25), rng.randint(0, 9))} | ({"everywhere"} if i % 3 else set())) for i in range(40)}
+    status = {f: ("PLANNED", "COVERAGE_GAP", "UNDOCUMENTED", "IMPLEMENTED")[i % 4] for i, f in enumerate(hints)}
+    members = spark.createDataFrame([(f, h[k::2]) for f, h in hints.items() for k in (0, 1)], "feature_id string, hints array<string>")
+    features = spark.createDataFrame(list(status.items()), "feature_id string, status string")
+    want = {(a, b): len(set(hints[a]) & set(hints[b])) for a in hints for b in hints if status[a] in ("PLANNED", "COVERAGE_GAP") and status[b] == "UNDOCUMENTED"}
+    got = {(r.planned, r.undocumented): r.shared for r in ev.misclusters(features, members, light=light, block=block).collect()}
+    assert got == {k: n for k, n in want.items() if n >= 2}
