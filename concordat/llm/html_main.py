@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -73,22 +76,63 @@ def _marks(name: str, attributes: str) -> tuple[str, frozenset[str], bool]:
     return step, MARKED & words, a.get("aria-hidden") == "true" or "hidden" in a
 
 
+LONGEST = 512  # characters of a path; what is longer begins with a digest of the part further out
+
+
+def _path(above: str, step: str) -> str:
+    path = f"{above}/{step}"
+    return path if len(path) <= LONGEST else f"~{hashlib.blake2b(above.encode(), digest_size=16).hexdigest()}/{step}"
+
+
 @dataclass
 class Mark:
     """An element whose name or attributes say that it is not the article: its path, whether such elements may be
-    longer than the article, and the characters outside links in it: all, and those in an article or main element."""
+    longer than the article, the marked element around it, and the characters outside links in it: all, and those in
+    an article or main element."""
 
     path: str
     apart: bool
+    above: int
     size: int = 0
     told: int = 0
 
 
+@dataclass
+class Box:
+    """A container: its path, the container around it, and the number of elements around it."""
+
+    path: str
+    above: int
+    depth: int
+    article: bool
+    part: bool
+
+
+class Open(NamedTuple):
+    """An open element. ``box``, ``mark``: the nearest container that counts and the nearest marked element (-1: none) here
+    or further out; ``told``: the nearest marked element around the nearest article; ``out``: hidden, ``off``: left out;
+    ``p``, ``wall``: places of the nearest open paragraph before a wall, and of the nearest wall."""
+
+    name: str
+    path: str
+    box: int
+    off: bool
+    out: bool
+    mark: int
+    told: int | None
+    p: int
+    wall: int
+
+
+NOTHING = Open("", "", -1, False, False, -1, None, -1, -1)
+
+
 class Page:
-    """Blocks of a page in order, each with the containers around it; what is not the article has none.
+    """Blocks of a page in order, each with the container around it; what is not the article has none.
 
     Marked elements (MARKED, SKIP) are left out, but for those that hold the article after all (``_overruled``): then
-    the page is read again without their marks. Hidden elements are always left out."""
+    the page is read again without their marks. Hidden elements are always left out. Containers and marks point to the
+    ones around them and sums go up once, so that the work is linear in the page however deep it is nested."""
 
     def __init__(self, source: str):
         self._kept: frozenset[int] = frozenset()
@@ -98,12 +142,12 @@ class Page:
             self._read(source)
 
     def _read(self, source: str) -> None:
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        self.paths: list[str] = []
+        self.blocks: list[tuple[str, int, int]] = []
+        self.boxes: list[Box] = []
         self._marked: list[Mark] = []
         self._free = self._told = self._size = 0
-        # name, path, container or -1, is off, marked elements around it, those of them that hold an article around it
-        self._stack: list[tuple[str, str, int, bool, tuple[int, ...], tuple[int, ...] | None]] = []
+        self._stack: list[Open] = []
+        self._places: dict[str, list[int]] = defaultdict(list)
         self._text: list[str] = []
         self._linked = 0
         at, links = 0, 0
@@ -127,20 +171,26 @@ class Page:
         if at < len(source):
             self._add(source[at:], links)
         self._flush()
+        for mark in reversed(self._marked):
+            if mark.above >= 0:
+                self._marked[mark.above].size += mark.size
+                self._marked[mark.above].told += mark.told
+
+    def _top(self) -> Open:
+        return self._stack[-1] if self._stack else NOTHING
 
     def _add(self, text: str, links: int) -> None:
-        above = self._stack[-1] if self._stack else None
-        if not self._kept and not links and not (above and above[4] is None):
+        above = self._top()
+        if not self._kept and not links and not above.out:
             size = len(text.strip())
-            marks, told = (above[4], above[5]) if above else ((), None)
             self._size += size
-            self._free += 0 if above and above[3] else size
-            self._told += size if told is not None else 0
-            for k in marks:
-                self._marked[k].size += size
-            for k in told or ():
-                self._marked[k].told += size
-        if above and above[3]:
+            self._free += 0 if above.off else size
+            self._told += size if above.told is not None else 0
+            if above.mark >= 0:
+                self._marked[above.mark].size += size
+            if above.told is not None and above.told >= 0:
+                self._marked[above.told].told += size
+        if above.off:
             return
         self._text.append(text)
         if links:
@@ -165,101 +215,173 @@ class Page:
     def _flush(self) -> None:
         text = SPACE.sub(" ", html.unescape("".join(self._text))).strip()
         if text:
-            self.blocks.append((text, min(self._linked, len(text)), tuple(x[2] for x in self._stack if x[2] >= 0)))
+            self.blocks.append((text, min(self._linked, len(text)), self._top().box))
         self._text.clear()
         self._linked = 0
 
+    def _cut(self, k: int) -> None:
+        """Close the open elements from place ``k`` on."""
+        for gone in reversed(self._stack[k:]):
+            self._places[gone.name].pop()
+        del self._stack[k:]
+
     def _open(self, name: str, attributes: str) -> None:
         if name in BLOCK:
             self._flush()
-            while self._stack and name in ENDS.get(self._stack[-1][0], ()):
-                self._stack.pop()
-            for k in range(len(self._stack) - 1, -1, -1):
-                if self._stack[k][0] == "p" and name in ENDS["p"]:
-                    del self._stack[k:]
-                    break
-                if self._stack[k][0] in WALL:
-                    break
+            while self._stack and name in ENDS.get(self._stack[-1].name, ()):
+                self._cut(len(self._stack) - 1)
+            if name in ENDS["p"] and self._top().p >= 0:
+                self._cut(self._top().p)
         elif name == "br":
             self._text.append(" ")
         if name in VOID:
             return
         step, words, hidden = _marks(name, attributes)
-        above = self._stack[-1] if self._stack else ("", "", -1, False, (), None)
-        path, box, off, marks, told = f"{above[1]}/{step}", -1, above[3], above[4], above[5]
+        above, here = self._top(), len(self._stack)
+        path, box, off, out, mark, told = _path(above.path, step), above.box, above.off, above.out, above.mark, above.told
         if name in ("html", "body"):
             words = frozenset()
-        if hidden and name not in ("html", "body") or name in NEVER or marks is None:
-            off, marks, told = True, None, None
+        if hidden and name not in ("html", "body") or name in NEVER or out:
+            off, out, mark, told = True, True, -1, None
         else:
             if words or name in SKIP:
                 k = len(self._marked)
-                self._marked.append(Mark(path, bool(words & APART) or name in APART))
-                off, marks = off or k not in self._kept, (*marks, k)
+                self._marked.append(Mark(path, bool(words & APART) or name in APART, mark))
+                off, mark = off or k not in self._kept, k
             # An article, if it is not marked as a comment or the like, counts for itself and the marked elements around it.
             if name in ("article", "main") and not words & APART:
-                told = marks
+                told = mark
         if name in CONTAINER and not off:
-            box = len(self.paths)
-            self.paths.append(path)
-        self._stack.append((name, path, box, off, marks, told))
+            self.boxes.append(Box(path, box, here, bool(ARTICLE.match(step)), bool(PART.match(step))))
+            box = len(self.boxes) - 1
+        wall = name in WALL
+        p = here if name == "p" else -1 if wall else above.p
+        self._stack.append(Open(name, path, box, off, out, mark, told, p, here if wall else above.wall))
+        self._places[name].append(here)
 
     def _close(self, name: str) -> None:
         if name in BLOCK:
             self._flush()
-        for k in range(len(self._stack) - 1, -1, -1):
-            if self._stack[k][0] == name:
-                del self._stack[k:]
-                return
-            if self._stack[k][0] in WALL and name not in BLOCK:
-                return
+        places = self._places.get(name)
+        if places and (name in BLOCK or places[-1] >= self._top().wall):
+            self._cut(places[-1])
 
     def scores(self) -> dict[str, float]:
         """Per path: characters outside links, all of them for the nearest container of a block and half as many for
         each one further out; an article or main element counts a little more."""
+        own = [0.0] * len(self.boxes)
+        for text, linked, box in self.blocks:
+            if box >= 0:
+                own[box] += len(text) - linked
+        held = {box for _, _, box in self.blocks}
         found: dict[str, float] = defaultdict(float)
-        for text, linked, around in self.blocks:
-            weight = float(len(text) - linked)
-            for box in reversed(around):
-                path = self.paths[box]
-                found[path] += weight * (1.2 if re.match(r"(article|main)\b", path.rpartition("/")[2]) else 1.0)
-                weight /= 2
+        for k in range(len(self.boxes) - 1, -1, -1):
+            b = self.boxes[k]
+            if k in held:
+                found[b.path] += own[k] * (1.2 if b.article else 1.0)
+                if b.above >= 0:
+                    own[b.above] += own[k] / 2
+                    held.add(b.above)
         return found
 
     def best(self) -> str | None:
         found = self.scores()
         return min(found, key=lambda p: (-found[p], p)) if found else None
 
+    def _within(self, chosen: set[int]) -> list[bool]:
+        """Per container: is it one of the chosen, or in one?"""
+        inside: list[bool] = []
+        for k, b in enumerate(self.boxes):
+            inside.append(k in chosen or (b.above >= 0 and inside[b.above]))
+        return inside
+
+    def _sums(self) -> tuple[list[int], list[int]]:
+        """Per container: characters in it, and those outside links that count as its own (in it, or in sections, cells
+        and quotations of it)."""
+        size, own = [0] * len(self.boxes), [0] * len(self.boxes)
+        for text, linked, box in self.blocks:
+            if box >= 0:
+                size[box] += len(text)
+                own[box] += len(text) - linked
+        for k in range(len(self.boxes) - 1, -1, -1):
+            b = self.boxes[k]
+            if b.above >= 0:
+                size[b.above] += size[k]
+                own[b.above] += own[k] if b.part else 0
+        return size, own
+
     def _lifted(self, path: str) -> set[int]:
         """Containers of a path, or of one further out that holds the whole article: the nearest article or main
         element, or else what has, besides the path, mostly text of its own outside links (a title, a lead, paragraphs
         around a nested body; parts of it in sections, cells and quotations count as its own)."""
-        boxes = {k for k, p in enumerate(self.paths) if p == path}
-        chains = [around[: around.index(k)] for _, _, around in self.blocks for k in boxes.intersection(around)]
-        if not chains or ARTICLE.match(path.rpartition("/")[2]):
+        boxes = {k for k, b in enumerate(self.boxes) if b.path == path}
+        inside = self._within(boxes)
+        if not any(box >= 0 and inside[box] for _, _, box in self.blocks) or self.boxes[min(boxes)].article:
             return boxes
-        above = list(dict.fromkeys(self.paths[k] for k in reversed(max(chains, key=len))))
-        if nearest := next((p for p in above if ARTICLE.match(p.rpartition("/")[2])), None):
-            return {k for k, p in enumerate(self.paths) if p == nearest}
+        count: list[int] = []
+        for b in self.boxes:
+            count.append(count[b.above] + 1 if b.above >= 0 else 0)
+        filled, chain = self._filled(), []
+        at = self.boxes[max((k for k in boxes if filled[k]), key=lambda k: (count[k], -k))].above
+        while at >= 0:
+            chain.append(at)
+            at = self.boxes[at].above
+        above = list(dict.fromkeys(self.boxes[k].path for k in chain))
+        by_path: dict[str, list[int]] = defaultdict(list)
+        for k, b in enumerate(self.boxes):
+            by_path[b.path].append(k)
+        if nearest := next((self.boxes[k].path for k in chain if self.boxes[k].article), None):
+            return set(by_path[nearest])
+        size, own = self._sums()
+        # What the chosen containers hold, carried up to the level that is looked at: characters, and those counted as own.
+        carried = {k: (size[k], own[k]) for k in boxes}
         for outer in above:
-            wider = {k for k, p in enumerate(self.paths) if p == outer}
-            size = own = 0
-            for text, linked, around in self.blocks:
-                if boxes.intersection(around) or not (inside := wider.intersection(around)):
-                    continue
-                size += len(text)
-                if all(PART.match(self.paths[k].rpartition("/")[2]) for k in around[around.index(max(inside)) + 1 :]):
-                    own += len(text) - linked
-            if 2 * own > size:
-                boxes = wider
+            wider, depth = by_path[outer], self.boxes[by_path[outer][0]].depth
+            lifted: dict[int, tuple[int, int]] = {}
+            for k in sorted(carried, reverse=True):
+                if self.boxes[k].depth <= depth:
+                    lifted[k] = carried[k]
+            carried = self._carry({k: v for k, v in carried.items() if self.boxes[k].depth > depth}, lifted, depth)
+            rest = sum(size[k] - carried.get(k, (0, 0))[0] for k in wider)
+            if 2 * sum(own[k] - carried.get(k, (0, 0))[1] for k in wider) > rest:
+                boxes = set(wider)
+                carried = {k: (size[k], own[k]) for k in wider}
         return boxes
 
+    def _filled(self) -> list[bool]:
+        """Per container: does it hold a block?"""
+        filled = [False] * len(self.boxes)
+        for _, _, box in self.blocks:
+            if box >= 0:
+                filled[box] = True
+        for k in range(len(self.boxes) - 1, -1, -1):
+            if filled[k] and self.boxes[k].above >= 0:
+                filled[self.boxes[k].above] = True
+        return filled
+
+    def _carry(self, deep: dict[int, tuple[int, int]], to: dict[int, tuple[int, int]], depth: int) -> dict[int, tuple[int, int]]:
+        """Sums of ``deep`` containers added up in those at ``depth`` or further out."""
+        todo = [-k for k in deep]
+        heapq.heapify(todo)
+        while todo:
+            k = -heapq.heappop(todo)
+            size, own = deep.pop(k)
+            b = self.boxes[k]
+            if b.above < 0:
+                continue
+            target = deep if self.boxes[b.above].depth > depth else to
+            if target is deep and b.above not in deep:
+                heapq.heappush(todo, -b.above)
+            old = target.get(b.above, (0, 0))
+            target[b.above] = old[0] + size, old[1] + (own if b.part else 0)
+        return to
+
     def text(self, winner: str | None) -> str:
         """Blocks within the winning path, or within the page's own best container where it has none of them; either
         is widened to the whole article."""
         for path in (winner, self.best()):
-            boxes = self._lifted(path) if path else set()
-            if kept := [t for t, _, around in self.blocks if boxes.intersection(around)]:
+            inside = self._within(self._lifted(path)) if path else []
+            if kept := [t for t, _, box in self.blocks if box >= 0 and inside and inside[box]]:
                 return "\n".join(kept)
         return "\n".join(t for t, _, _ in self.blocks)
 
