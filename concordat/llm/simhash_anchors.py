@@ -21,7 +21,7 @@ c = F.col
 BITS = 64
 SEED = 42
 MEET = 4096  # fingerprints that one is compared with, if they were spread evenly
-BLOCK = 4096  # fingerprints on a side of a unit
+BLOCK = 1024  # fingerprints on a side of a unit
 DIMENSIONS = (7, 10, 13, 16, 19)
 _SPACE = split_table(separator_table("space"))
 POSTS = "anchor int, fp bigint, d tinyint, r tinyint, home boolean"
