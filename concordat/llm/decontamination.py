@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,41 +46,92 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+class Table(NamedTuple):
+    """Distinct windows of one width in order of their hashes: the hash, the first word in the benchmark, and where the
+    window's items begin and end in ``items``; ``slots``: a bit per low part of a hash."""
+
+    hash: np.ndarray
+    first: np.ndarray
+    edge: np.ndarray
+    items: np.ndarray
+    slots: np.ndarray
+
+
 class Grams:
-    """The hash set: windows as bytes with the items they occur in, and per width a table of hash slots."""
+    """The hash set of benchmark windows, in arrays over one buffer of the items' words: about 40 bytes a word."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
-        self.windows: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        self.slots: dict[int, np.ndarray] = {}
-        for item, text in items:
-            found = Words([folded(text)], _ALNUM)
-            words = [found.buf[a:b].tobytes() for a, b in zip(found.starts, found.ends, strict=True)]
-            n = min(width, len(words))
-            for at in range(len(words) - n + 1 if n else 0):
-                self.windows[n][b" ".join(words[at : at + n])].add(item)
-        for n, grams in self.windows.items():
-            hashes = window_hashes(Words([b" ".join(grams)], _ALNUM).hash, n)[::n]
-            self.slots[n] = np.zeros(_SLOTS, bool)
-            self.slots[n][(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-        self.windows = {n: {g: tuple(sorted(x for x in ids if x is not None)) for g, ids in grams.items()} for n, grams in self.windows.items()}
+        names = {name: k for k, name in enumerate(dict.fromkeys(name for name, _ in items))}
+        self.names = list(names)
+        self.buf, self.starts, self.ends = np.empty(0, np.uint8), np.empty(0, np.int32), np.empty(0, np.int32)
+        runs, size, buffers, words, found, at = [[]], 0, [], [], defaultdict(list), 0
+        for item in items:
+            runs[-1].append(item)
+            size += len(item[1] or "")
+            if size > 500_000:
+                runs, size = [*runs, []], 0
+        for run in runs:
+            w = Words([folded(text) for _, text in run], _ALNUM)
+            offset = sum(len(x) for x in buffers)
+            words.append((w.starts + offset, w.ends + offset))
+            buffers.append(w.buf)
+            for (name, _), a, b in zip(run, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                if b > a:
+                    n = min(width, b - a)
+                    h = window_hashes(w.hash[a:b], n)
+                    found[n].append((h, np.arange(at + a, at + a + len(h), dtype=np.int32), np.full(len(h), names[name], np.int32)))
+            at += len(w.hash)
+        if buffers:
+            self.buf = np.concatenate(buffers)
+            self.starts, self.ends = (np.concatenate([x[k] for x in words]).astype(np.int64) for k in (0, 1))
+        self.tables = {n: self._table(n, *(np.concatenate(x) for x in zip(*parts, strict=True))) for n, parts in sorted(found.items())}
+
+    def window(self, at: int, n: int) -> bytes:
+        return b" ".join([self.buf[a:b].tobytes() for a, b in zip(self.starts[at : at + n], self.ends[at : at + n], strict=True)])
+
+    def _table(self, n: int, h: np.ndarray, first: np.ndarray, item: np.ndarray) -> Table:
+        order = np.argsort(h, kind="stable")
+        h, first, item = h[order], first[order], item[order]
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(h))))
+        # Windows with one hash are almost always equal; those that are not get an entry each.
+        many = np.flatnonzero(np.diff(np.append(edge, len(h))) > 1)
+        entry = np.zeros(len(h), np.int64)
+        for g in many.tolist():
+            stop = edge[g + 1] if g + 1 < len(edge) else len(h)
+            known: dict[bytes, int] = {}
+            for k in range(int(edge[g]), int(stop)):
+                entry[k] = known.setdefault(self.window(int(first[k]), n), len(known))
+        order = np.lexsort((item, entry, group))
+        h, first, item, entry, group = h[order], first[order], item[order], entry[order], group[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (entry[1:] != entry[:-1]))
+        keep = new | np.append(True, item[1:] != item[:-1])
+        slots = np.zeros(_SLOTS // 8, np.uint8)
+        low = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        np.bitwise_or.at(slots, low >> 3, (1 << (low & 7)).astype(np.uint8))
+        return Table(h[new], first[new], np.append(np.flatnonzero(new[keep]), keep.sum()), item[keep], slots)
 
 
 def scan(texts: list[str | None], before: list[dict | None], grams: Grams) -> list[dict]:
-    """Hits per text, joined with hits of earlier passes. A slot that is set is only a hint; the words decide."""
+    """Hits per text, joined with hits of earlier passes. An equal hash is only a hint; the words decide."""
     w = Words([folded(t) for t in texts], _ALNUM)
     n_words = np.diff(w.first)
     owner = np.repeat(np.arange(len(texts)), n_words)
     step = np.zeros(len(owner) + 1, np.int32)
     items: dict[int, set[str]] = defaultdict(set)
-    for n, known in grams.windows.items():
+    for n, t in grams.tables.items():
         hashes = window_hashes(w.hash, n)
-        hint = np.flatnonzero(grams.slots[n][(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)])
-        for at in hint[owner[hint] == owner[hint + n - 1]].tolist():
+        low = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        hint = np.flatnonzero(t.slots[low >> 3] >> (low & 7) & 1)
+        hint = hint[owner[hint] == owner[hint + n - 1]]
+        left, right = np.searchsorted(t.hash, hashes[hint], "left"), np.searchsorted(t.hash, hashes[hint], "right")
+        for at, lo, hi in zip(hint[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist(), strict=True):
             words = b" ".join([w.buf[a:b].tobytes() for a, b in zip(w.starts[at : at + n], w.ends[at : at + n], strict=True)])
-            if words in known:
-                step[at] += 1
-                step[at + n] -= 1
-                items[int(owner[at])].update(known[words])
+            for k in range(lo, hi):
+                if grams.window(int(t.first[k]), n) == words:
+                    step[at] += 1
+                    step[at + n] -= 1
+                    items[int(owner[at])].update(x for x in (grams.names[i] for i in t.items[t.edge[k] : t.edge[k + 1]]) if x is not None)
     for k, old in enumerate(before):
         for s in old["spans"] if old else ():
             step[w.first[k] + s["start"]] += 1
@@ -121,25 +173,41 @@ def _hits(shared: Broadcast) -> Callable:
     return hits.asNondeterministic()  # so that a filter on the result does not scan every text twice
 
 
+def _dealt(benchmark: DataFrame, width: int, block_words: int) -> tuple[DataFrame, int]:
+    """(item_id, text, block) and the number of blocks. Items of more than ``block_words`` words are cut so that every
+    window is in one piece; a piece without a window of its own is left out."""
+    word = F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    rows = benchmark.select(c("item_id").cast("string").alias("item_id"), F.coalesce(c("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("n", F.regexp_count("text", word).cast("bigint"))
+    total = rows.agg(F.sum("n")).first()[0]
+    blocks = max(1, -(-int(total or 0) // block_words))
+    short = rows.filter(c("n") <= block_words).select("item_id", "text")
+    if blocks > 1:
+        long = rows.filter(c("n") > block_words).withColumn("words", F.regexp_extract_all("text", word, F.lit(0)))
+        starts = F.explode(F.sequence(F.lit(0).cast("bigint"), c("n") - width, F.lit(block_words).cast("bigint")))
+        piece = F.array_join(F.slice("words", (c("at") + 1).cast("int"), F.lit(block_words + width - 1)), " ")
+        short = short.unionByName(long.filter(c("n") >= width).withColumn("at", starts).select("item_id", piece.alias("text")))
+    return short.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, out: str = "contamination", width: int = WIDTH, block_words: int = 2_000_000) -> DataFrame:
     """Documents with a struct ``out``: n_words, n_hit, spans of hit words (first word, word after the last) and the
     ids, sorted as strings, of the items with a window in the text.
 
     A window is ``width`` consecutive words of a benchmark item, or all words of a shorter item. The set of windows
-    is broadcast; a benchmark of more than ``block_words`` words (about 200 MB of windows) is dealt to as many
-    passes as it needs, each with a set of that size, so the broadcast has a bound and the result is the same.
+    is broadcast; a benchmark of more than ``block_words`` words is dealt to as many passes as it needs, each with a set
+    of about that size (twice at most, about 40 bytes a word), so the broadcast has a bound and the result is the same. An
+    item that is longer than a pass is dealt in pieces that overlap by a window.
 
     Works inside the row on whole texts: no shuffle, no limit, nothing dropped, and a lost task is simply run again.
     Null or empty texts have no words and no hits. Items without words match nothing; items with a null id hit
     words but are not listed; repeated items count once. Other columns pass through, ``out`` replaces one of its name.
     """
-    size = benchmark.agg(F.sum(F.regexp_count(F.coalesce(c("text"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0]
-    blocks = max(1, -(-int(size or 0) // block_words))
+    dealt, blocks = _dealt(benchmark, width, max(block_words, width))
     spark = docs.sparkSession
-    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     result = docs.withColumn(out, F.lit(None).cast(RESULT))
     for k in range(blocks):
-        rows = benchmark.filter(dealt == k).select(c("item_id").cast("string"), "text").collect()
+        rows = dealt.filter(c("block") == k).select("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(Grams([(r[0], r[1]) for r in rows], width))
         result = result.withColumn(out, _hits(shared)(c("text").cast("string"), c(out)))
         if k + 1 < blocks:

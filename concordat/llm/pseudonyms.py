@@ -8,7 +8,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +54,13 @@ class Feistel:
 
     key: bytes
 
+    @cached_property
+    def _secret(self) -> bytes:
+        """The whole key, whatever its length, as the 64 bytes that the hash takes."""
+        return hashlib.blake2b(self.key, digest_size=64).digest()
+
     def _f(self, kind: str, step: int, value: int, base: int) -> int:
-        h = hashlib.blake2b(f"{kind}:{step}:{value}".encode(), key=self.key[:64], digest_size=16).digest()
+        h = hashlib.blake2b(f"{kind}:{step}:{value}".encode(), key=self._secret, digest_size=16).digest()
         return int.from_bytes(h, "big") % base
 
     def permute(self, x: int, n: int, kind: str, back: bool = False) -> int:

@@ -71,3 +71,18 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b", None, None)], DOCS)
     assert [r.n_hit for r in report(docs, none).collect()] == [0]
     assert report(docs.limit(0), none).collect() == []
+
+
+def test_an_item_longer_than_a_pass(spark):
+    """Windows of an item that is dealt in pieces are all found, each once, in whatever piece they are."""
+    from concordat.llm import decontamination as m
+
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(60)}" for _ in range(130)]
+    items = [(1, " ".join(long)), (2, " ".join(long[20:32])), (3, " ".join(long[:40])), (None, "w1 w2"), (4, None)]
+    docs = [(k, " ".join(["x"] * 3 + long[k : k + 12 + k % 3] + ["y"] + long[5:9])) for k in range(0, 118, 2)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r[0], r[1], r[2], len(r[3]), hashlib.sha256(",".join(r[3]).encode()).hexdigest(), r[4]) for r in
+           m.annotate(frame, bench, "h", block_words=50).select("doc_id", "h.n_words", "h.n_hit", "h.items", m.contaminated("h")).collect()]
+    assert sorted(map(str, got)) == sorted(str((d[0], *brute(d[1], items))) for d in docs)
+    assert m._dealt(bench, 13, 50)[0].count() > len(items)
