@@ -46,12 +46,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def digest_sums(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Per key the number of distinct items (size) and two sums (x, y) of parts of their SHA-256. Sums of disjoint sets
+    add up to those of their union."""
+    part = lambda at: F.conv(F.substr(F.sha2(c(item), 256), F.lit(at), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    items = rows.select(*keys, item).distinct().select(*keys, part(1).alias("_x"), part(16).alias("_y"))
+    return items.groupBy(*keys).agg(F.count("*").alias("size"), F.sum("_x").alias("x"), F.sum("_y").alias("y"))
+
+
 def set_digest(rows: DataFrame, keys: list[str], item: str, out: str) -> DataFrame:
     """Eight-letter digest of the set of items per key, by one rule for sets of any size.
 
     The items' SHA-256 is cut in two numbers of 60 bits; the digest hashes the number of items and the two sums. Sums
     have no order and combine in the tasks, so no set is gathered."""
-    part = lambda at: F.conv(F.substr(F.sha2(c(item), 256), F.lit(at), F.lit(15)), 16, 10).cast("decimal(20,0)")
-    items = rows.select(*keys, item).distinct().select(*keys, part(1).alias("_x"), part(16).alias("_y"))
-    sums = items.groupBy(*keys).agg(F.concat_ws(":", F.count("*"), F.sum("_x").cast("string"), F.sum("_y").cast("string")).alias("_t"))
-    return sums.select(*keys, hash8(c("_t")).alias(out))
+    sums = digest_sums(rows, keys, item)
+    return sums.select(*keys, hash8(F.concat_ws(":", "size", c("x").cast("string"), c("y").cast("string"))).alias(out))

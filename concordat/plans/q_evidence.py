@@ -339,7 +339,37 @@ def jn_47(ctx):
     return ev.best_overlap(ctx.fx("edit_units"), ctx.fx("service_members"))
 
 
-@query("gr_4")
+def _best(members: str, edit: int) -> str:
+    """Per service of an edit: how many features share units with it, and the one that shares most."""
+    return f"""(SELECT service, count(*) AS parts, arg_min(feature_id, (-n, size, feature_id)) AS feature_id, sum(n) AS n, sum(size) AS size FROM (
+      SELECT m.service, m.feature_id, count(e.unit_id) AS n, count(*) AS size FROM {members} m LEFT JOIN (SELECT * FROM fx_edit_units WHERE edit = {edit}) e USING (service, unit_id)
+      GROUP BY ALL HAVING count(e.unit_id) > 0) GROUP BY service)"""
+
+
+# The fourth edit of a service names units that are gone, so it is always lost.
+_REPLAY = f"""WITH m0 AS (SELECT DISTINCT service, feature_id, unit_id FROM fx_service_members), l AS (SELECT * FROM fx_edit_log),
+ b0 AS {_best("m0", 0)}, many AS (SELECT b0.* FROM b0 JOIN l USING (service) WHERE l.edit = 0 AND parts > 1),
+ tg AS (SELECT DISTINCT m0.service, m0.feature_id FROM m0 JOIN fx_edit_units e USING (service, unit_id) JOIN many ON many.service = m0.service WHERE e.edit = 0),
+ ids AS (SELECT service, 'feat-' || {duck.set_digest("unit_id")} AS new_id FROM m0 SEMI JOIN tg USING (service, feature_id) GROUP BY service),
+ m1 AS (SELECT m0.service, CASE WHEN tg.feature_id IS NULL THEN m0.feature_id ELSE ids.new_id END AS feature_id, unit_id, tg.feature_id IS NOT NULL AS joined FROM m0 LEFT JOIN tg USING (service, feature_id) LEFT JOIN ids USING (service)),
+ b1 AS {_best("m1", 1)}, b2 AS {_best("m1", 2)},
+ f AS (SELECT DISTINCT m1.service, m1.feature_id, CASE WHEN r.service IS NOT NULL THEN trim(r.name) WHEN joined OR a.service IS NOT NULL THEN 'Joined' ELSE m1.feature_id END AS name, p.service IS NOT NULL AS pinned FROM m1
+   LEFT JOIN (SELECT b0.service, b0.feature_id FROM b0 JOIN l USING (service) WHERE l.edit = 0 AND parts = 1) a ON a.service = m1.service AND a.feature_id = m1.feature_id
+   LEFT JOIN (SELECT b1.service, b1.feature_id, l.name FROM b1 JOIN l USING (service) WHERE l.edit = 1) r ON r.service = m1.service AND r.feature_id = m1.feature_id
+   LEFT JOIN (SELECT b2.service, b2.feature_id FROM b2 JOIN l USING (service) WHERE l.edit = 2) p ON p.service = m1.service AND p.feature_id = m1.feature_id),
+ split AS (SELECT ' to the largest remaining part — that feature was split across several features in the new extraction.' AS t),
+ n AS (SELECT service, 0 AS edit, 'Re-applied a merge ("Joined"): the new extraction had grouped additional units into those features, so the merged feature now includes them.' AS note FROM many WHERE size > n
+   UNION ALL SELECT service, 1, 'Re-applied a rename ("Name of ' || service || '")' || t FROM b1 JOIN l USING (service), split WHERE edit = 1 AND parts > 1
+   UNION ALL SELECT service, 2, 'Re-applied a pin' || t FROM b2 JOIN l USING (service), split WHERE edit = 2 AND parts > 1
+   UNION ALL SELECT l.service, l.edit, CASE l.edit WHEN 0 THEN 'Couldn''t re-apply a merge ("Joined"): those features are no longer separate features in the new extraction.'
+     WHEN 1 THEN 'Couldn''t re-apply a rename ("' || l.name || '"): that feature is no longer present in the new extraction.' ELSE 'Couldn''t re-apply a pin: that feature is no longer present in the new extraction.' END
+     FROM l LEFT JOIN b0 ON b0.service = l.service LEFT JOIN b1 ON b1.service = l.service LEFT JOIN b2 ON b2.service = l.service
+     WHERE (l.edit = 0 AND b0.service IS NULL) OR (l.edit = 1 AND b1.service IS NULL) OR (l.edit = 2 AND b2.service IS NULL)
+   UNION ALL SELECT service, 3, 'Couldn''t re-apply a rename ("lost"): that feature is no longer present in the new extraction.' FROM l WHERE edit = 3)
+ SELECT service, 'feature' AS kind, feature_id, name, pinned FROM f UNION ALL SELECT service, 'note', CAST(edit AS VARCHAR), note, false FROM n"""
+
+
+@query("gr_4", _REPLAY)
 def gr_4(ctx):
     m = ctx.fx("service_members")
     f = m.select("service", "feature_id", c("feature_id").alias("name")).distinct()
