@@ -246,31 +246,53 @@ def src_9(ctx):
     return wiki.test_basis(ctx.fx("markdown_docs")).select("id", "kind", "text")
 
 
-@query("src_10")
+@fixture
+def nested_pages(d) -> str:
+    """Pages of nested markup around the words of every document and page."""
+    words = lambda x: f"trim({d.rx(x, '[^A-Za-z0-9]+', ' ')})"
+    page = lambda ident, x: f"""concat('<h2>Page <b>', {ident}, '</b></h2><p>', {x}, ' &amp; <em>more</em> <a href=\"/u\">here</a></p><ul><li>one', '<ul><li>two ', {ident}, '</li></ul></li><li><p>three</p></li></ul><ol><li>first</li><li>second</li></ol>',
+      '<table><tr><th>H</th><th>I</th></tr><tr><td>x<table><tr><td>in</td></tr></table></td><td><code>', {ident}, '</code></td></tr></table><blockquote>said ', {ident}, '</blockquote>loose <div>end</div>')"""
+    return f"""
+    SELECT page_id, {words("html")} AS words, {page("page_id", words("html"))} AS html FROM {d.t("pages")}
+    UNION ALL SELECT -1 - doc_id, {words("text")}, {page("-1 - doc_id", words("text"))} FROM {d.t("documents")}"""
+
+
+@query(
+    "src_10",
+    """SELECT page_id, CAST(e.pos AS INTEGER) AS pos, e.kind, replace(replace(e.text, '@w', CASE WHEN e.pos = 1 THEN words ELSE '' END), '@p', CAST(page_id AS VARCHAR)) AS text FROM fx_nested_pages JOIN (VALUES
+      (0, 'heading', '## Page **@p**'), (1, 'text', '@w & *more* [here](/u)'), (2, 'item', '- onetwo @p'), (3, 'item', '- three'), (4, 'item', '1. first'), (5, 'item', '2. second'),
+      (6, 'row', '| H | I |'), (7, 'row', '| --- | --- |'), (8, 'row', '| xin | `@p` |'), (9, 'row', '| in |'), (10, 'quote', '> said @p'), (11, 'text', 'loose end')) e(pos, kind, text) ON true""".replace(
+        "'@w & *more*", "trim('@w & *more*"
+    ).replace("[here](/u)')", "[here](/u)'))"),
+)
 def src_10(ctx):
-    return wiki.pages_to_lines(ctx.table("pages"))
+    return wiki.pages_to_lines(ctx.fx("nested_pages").select("page_id", "html"))
 
 
 @query(
     "src_11",
     """SELECT 'C-' || conv_id || '-' || turn AS key, 'heading' AS kind, '## ' || role AS text FROM conversations
-    UNION ALL SELECT 'C-' || conv_id || '-' || turn, 'paragraph', '**' || text || '**@me' FROM conversations UNION ALL SELECT 'C-' || conv_id || '-' || turn, 'listItem', '- item ' || turn FROM conversations""",
+    UNION ALL SELECT 'C-' || conv_id || '-' || turn, 'paragraph', '**' || text || '**@me' FROM conversations UNION ALL SELECT 'C-' || conv_id || '-' || turn, 'listItem', '- item ' || turn || chr(10) || '- sub' FROM conversations
+    UNION ALL SELECT 'C-' || conv_id || '-' || turn, 'tableRow', unnest(['| a | b |', '| --- | --- |', '| x y | - ' || turn || ' |']) FROM conversations""",
 )
 def src_11(ctx):
-    def node(kind, content=None, **extra):
-        parts = [F.lit(kind).alias("type")]
-        if content is not None:
-            parts.append(F.array(*content).alias("content"))
-        return F.struct(*parts, *[v.alias(k) for k, v in extra.items()])
-
-    text = lambda t: node("text", text=t)
-    bold = node("text", text=c("text"), marks=F.array(F.struct(F.lit("strong").alias("type"))))
-    head = node("heading", [text(c("role"))], attrs=F.struct(F.lit(2).alias("level")))
-    mention = node("mention", attrs=F.struct(F.lit("me").alias("text")))
-    item = node("listItem", [node("paragraph", [text(F.concat(F.lit("item "), "turn"))])])
-    blocks = [head, F.struct(F.lit("paragraph").alias("type"), F.array(F.to_json(bold), F.to_json(mention)).alias("content")), node("bulletList", [item])]
-    parts = [F.to_json(blocks[0]), F.concat(F.lit('{"type":"paragraph","content":['), F.to_json(bold), F.lit(","), F.to_json(mention), F.lit("]}")), F.to_json(blocks[2])]
-    adf = F.concat(F.lit('{"type":"doc","content":['), F.concat_ws(",", *parts), F.lit("]}"))
+    def node(kind, *content, attrs=""):
+        return F.concat(F.lit(f'{{"type":"{kind}",{attrs}"content":['), F.concat_ws(",", *content), F.lit("]}"))
+
+    def text(t, **marks):
+        return F.to_json(F.struct(F.lit("text").alias("type"), t.alias("text"), *[v.alias(k) for k, v in marks.items()]))
+
+    def para(*inline):
+        return node("paragraph", *inline)
+
+    turn = c("turn").cast("string")
+    bold = text(c("text"), marks=F.array(F.struct(F.lit("strong").alias("type"))))
+    mention = F.lit('{"type":"mention","attrs":{"text":"me"}}')
+    listed = lambda *inner: node("bulletList", node("listItem", *inner))
+    row = lambda *cells: node("tableRow", *[node("tableCell", x) for x in cells])
+    table = node("table", row(para(text(F.lit("a"))), para(text(F.lit("b")))), row(para(text(F.lit("x y"))), listed(para(text(turn)))))
+    item = listed(para(text(F.concat(F.lit("item "), turn))), listed(para(text(F.lit("sub")))))
+    adf = node("doc", node("heading", text(c("role")), attrs='"attrs":{"level":2},'), para(bold, mention), item, table)
     docs = ctx.table("conversations").select(F.concat(F.lit("C-"), "conv_id", F.lit("-"), "turn").alias("key"), adf.alias("adf"))
     return tracker.adf_to_lines(docs).select("key", "kind", "text")
 

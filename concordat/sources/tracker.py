@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.functions.rules import lifecycle
-from concordat.session import cut_lineage
+from concordat.sources.markup import adf_lines
 
 c = F.col
 
@@ -49,59 +52,17 @@ def issues(pages: DataFrame, cap: int = 0) -> DataFrame:
     return out.orderBy("page", "pos").limit(cap) if cap > 0 else out
 
 
-def _is_mark(name: str):
-    return lambda m: F.try_variant_get(m, "$.type", "string") == name
-
-
-BLOCKS = ["heading", "paragraph", "codeBlock", "rule", "listItem", "tableRow"]
-
-
 def adf_to_lines(docs: DataFrame) -> DataFrame:
-    """Rich-text trees (key, adf as JSON text) to lines (key, ord, kind, text).
-
-    The trees are opened one level per round; a node carries the path of its position and of its block. The
-    text of a block is put together from its own inline nodes, so a group is one block of one document."""
-    path = F.array().cast("array<int>")
-    level = docs.select("key", path.alias("path"), F.parse_json("adf").alias("node"), path.alias("block"), F.lit("doc").alias("kind"), F.lit(0).alias("lvl"))
-    leaves: list[DataFrame] = []
-    while True:
-        nxt = level.sparkSession.sql(
-            """SELECT l.key, array_append(l.path, e.pos) AS path, e.value AS node, l.block, l.kind, l.lvl
-               FROM {level} l, LATERAL variant_explode(try_variant_get(l.node, '$.content', 'variant')) e""",
-            level=level,
-        )
-        get = lambda p, t="string": F.try_variant_get("node", p, t)
-        nxt = nxt.withColumn("type", get("$.type"))
-        own = c("type").isin(BLOCKS) & ~((c("type") == "paragraph") & c("kind").isin("listItem", "tableRow"))
-        nxt = nxt.withColumns(
-            {
-                "block": F.when(own, c("path")).otherwise(c("block")),
-                "kind": F.when(own, c("type")).otherwise(c("kind")),
-                "lvl": F.when(own, F.least(F.lit(6), F.greatest(F.lit(1), F.coalesce(get("$.attrs.level", "int"), F.lit(1))))).otherwise(c("lvl")),
-            }
-        )
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
-            break
-        inline = (
-            F.when(c("type") == "text", get("$.text"))
-            .when(c("type") == "hardBreak", F.lit("  \n"))
-            .when(c("type") == "mention", F.concat(F.lit("@"), F.coalesce(get("$.attrs.text"), get("$.attrs.id"), F.lit(""))))
-            .when(c("type") == "emoji", get("$.attrs.text"))
-            .when(c("type") == "rule", F.lit("---"))
-        )
-        marks = F.coalesce(F.try_variant_get("node", "$.marks", "array<variant>"), F.array().cast("array<variant>"))
-        for name, sign in (("strong", "**"), ("em", "*"), ("code", "`")):
-            has = F.exists(marks, _is_mark(name))
-            inline = F.when(has, F.concat(F.lit(sign), inline, F.lit(sign))).otherwise(inline)
-        leaves.append(nxt.select("key", "block", "kind", "lvl", "path", inline.alias("t")).filter(c("t").isNotNull()))
-        level = nxt.select("key", "path", "node", "block", "kind", "lvl")
-    if not leaves:
-        return docs.sparkSession.createDataFrame([], "key string, ord array<int>, kind string, text string")
-    rows = leaves[0]
-    for x in leaves[1:]:
-        rows = rows.unionByName(x)
-    agg = rows.groupBy("key", "block", "kind", "lvl").agg(F.array_sort(F.collect_list(F.struct("path", "t"))).alias("x"))
-    body = F.array_join(F.transform("x", lambda s: s["t"]), "")
-    lead = F.when(c("kind") == "heading", F.concat(F.repeat(F.lit("#"), c("lvl")), F.lit(" "))).when(c("kind") == "listItem", "- ").otherwise("")
-    return agg.select("key", c("block").alias("ord"), "kind", F.concat(lead, body).alias("text")).filter(F.trim("text") != "")
+    """Rich-text trees (key, adf as JSON text) to lines (key, ord, kind, text). Every tree is walked once inside its
+    row; ``ord`` is the place of a line. A tree that cannot be read has no lines."""
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [adf_lines(x) for x in part.column(1).to_pylist()]
+                keys = part.column(0).take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int32()))
+                columns = [pa.array([k for x in found for k in range(len(x))], pa.int32()), *(pa.array([y[k] for x in found for y in x], pa.string()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "ord", "kind", "text"])
+
+    return docs.select(c("key").cast("string"), c("adf").cast("string")).mapInArrow(read, "key string, ord int, kind string, text string")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concordat.functions.text import strip
 from concordat.operators.windows import first_k
 from concordat.session import cut_lineage
+from concordat.sources.markup import Lines
 
 c = F.col
 
@@ -144,20 +149,17 @@ def test_basis(docs: DataFrame) -> DataFrame:
 
 def pages_to_lines(pages: DataFrame) -> DataFrame:
     """Page markup (page_id, html) to lines (page_id, pos, kind, text): headings, list items, paragraphs, table
-    rows and code, in document order, with inline emphasis, code and links kept."""
-    block = r"(?s)<(h[1-6]|p|li|tr|pre|blockquote)(?:\s[^>]*)?>.*?(?=</\1>|<(?:p|li|h[1-6]|tr|pre|blockquote)[\s>]|$)"
-    found = F.regexp_extract_all("html", F.lit(block), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(found).alias("pos", "b"))
-    tag = F.regexp_extract("b", r"^<(\w+)", 1)
-    t = F.regexp_replace("b", r"^<\w+[^>]*>", "")
-    t = F.regexp_replace(t, r"(?s)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)")
-    for names, sign in (("strong|b", "**"), ("em|i", "*"), ("code", "`")):
-        t = F.regexp_replace(t, rf"(?s)<(?:{names})>(.*?)</(?:{names})>", f"{sign}$1{sign}")
-    t = F.regexp_replace(t, r"(?s)</t[dh]>\s*<t[dh][^>]*>", " | ")
-    t = F.regexp_replace(F.regexp_replace(t, r"<br\s*/?>", "  \n"), r"<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    kind = F.when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "item").when(tag == "tr", "row").when(tag == "pre", "code").otherwise("text")
-    lead = F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.substr(tag, F.lit(2)).cast("int")), F.lit(" "))).when(kind == "item", "- ").otherwise("")
-    body = strip(t)
-    return rows.select("page_id", "pos", kind.alias("kind"), F.concat(lead, body).alias("text"), body.alias("_b")).filter(c("_b") != "").drop("_b")
+    rows, quotations and code, in document order, with inline emphasis, code and links kept. Every page is read in one
+    pass inside its row, nested as it is; a null page has no lines."""
+    schema = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), *T._parse_datatype_string("pos int, kind string, text string")])
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [Lines(x).lines if x else [] for x in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int32()))
+                columns = [pa.array([k for x in found for k in range(len(x))], pa.int32()), *(pa.array([y[k] for x in found for y in x], pa.string()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["page_id", "pos", "kind", "text"])
+
+    return pages.select("page_id", c("html").cast("string")).mapInArrow(read, schema)
