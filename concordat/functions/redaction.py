@@ -34,6 +34,9 @@ RULES = [
 ]
 
 
+_HIT = "__any_rule"
+
+
 def luhn(digits: Column) -> Column:
     """Luhn check; false for null or empty."""
     return F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
@@ -66,17 +69,18 @@ def redact(df: DataFrame, text: str, out: str = "redacted", prefix: str = "n_")
     """Add the redacted text and one hit count per rule (``n_<rule>``).
 
     Each rule sees the text left by the rule before it, so the steps are stacked projections;
-    the optimiser keeps them apart because a merged projection would repeat the regex work.
+    the optimiser keeps them apart because a merged projection would repeat the regex work. A text in which no rule
+    finds anything, as most are, is looked at once for all rules and left as it is.
     """
-    cur = df.withColumn(out, F.col(text))
+    cur = df.withColumn(out, F.col(text)).withColumn(_HIT, F.col(text).rlike("|".join(f"(?:{pattern})" for _, pattern, _, _ in RULES)))
     for name, pattern, repl, bounds in RULES:
         source = F.col(out)
         if bounds is None:
             counted, replaced = F.regexp_count(source, F.lit(pattern)), F.regexp_replace(source, pattern, repl)
         else:
             replaced, counted = _gated(source, pattern, repl, bounds)
-        cur = cur.withColumns({prefix + name: F.coalesce(counted, F.lit(0)), out: replaced})
-    return cur
+        cur = cur.withColumns({prefix + name: F.coalesce(F.when(F.col(_HIT), counted), F.lit(0)), out: F.when(F.col(_HIT), replaced).otherwise(source)})
+    return cur.drop(_HIT)
 
 
 def redact_columns(prefix: str = "n_") -> list[str]:

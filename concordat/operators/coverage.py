@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import paths, rules, text
 from concordat.operators.containment import first_held, first_holder
+from concordat.operators.graph import closure
 from concordat.operators.windows import first_k
 from concordat.session import cut_lineage
 
@@ -32,7 +33,7 @@ def match_coverage(required: DataFrame, tests: DataFrame) -> DataFrame:
     medium = a.unionByName(b).groupBy("plan_id", "fp").agg(F.min("t").alias("t")).select(
         "plan_id", "fp", c("t.key").alias("key"), F.lit("MEDIUM").alias("conf")
     )
-    hits = high.unionByName(medium)
+    hits = cut_lineage(high.unionByName(medium))  # what builds on the matches reads them more than once
     out = r.join(hits, ["plan_id", "fp"], "left")
     return out.withColumns(
         {
@@ -209,20 +210,14 @@ def scope_model(endpoints: DataFrame, signatures: DataFrame, schemas: DataFrame,
     """Chosen endpoints, and every schema reachable from their bodies and responses.
 
     ``endpoints``: scan_id, method, path, refs array; ``edges``: scan_id, schema, ref_schema. Breadth first,
-    one visited set per scan; each round is checkpointed and looks at new schemas only."""
+    one visited set per scan; each round looks at new schemas only and writes nothing else."""
     kept = endpoints.withColumn("signature", paths.endpoint_label(c("method"), c("path"))).join(signatures, ["scan_id", "signature"], "left_semi")
     known = schemas.select("scan_id", "schema").distinct()
     links = edges.filter(c("ref_schema").isNotNull()).select("scan_id", "schema", _ref_base(c("ref_schema")).alias("next")).distinct()
     frontier = kept.select("scan_id", F.explode("refs").alias("ref")).select("scan_id", _ref_base(c("ref")).alias("schema"))
-    frontier = cut_lineage(frontier.join(known, ["scan_id", "schema"], "left_semi").distinct())
-    reached = frontier
-    while not frontier.isEmpty():
-        nxt = frontier.join(links, ["scan_id", "schema"]).select("scan_id", c("next").alias("schema")).distinct()
-        frontier = cut_lineage(
-            nxt.join(known, ["scan_id", "schema"], "left_semi").join(reached, ["scan_id", "schema"], "left_anti")
-        )
-        reached = cut_lineage(reached.unionByName(frontier))
-    return kept, reached
+    links, known = cut_lineage(links), cut_lineage(known)
+    below = lambda new: new.join(links, ["scan_id", "schema"]).select("scan_id", c("next").alias("schema")).join(known, ["scan_id", "schema"], "left_semi")
+    return kept, closure(frontier.join(known, ["scan_id", "schema"], "left_semi"), below)
 
 
 # --- plans ------------------------------------------------------------------------------------------------
@@ -271,7 +266,8 @@ def reachable_statuses(calls: DataFrame, throws: DataFrame, direct: DataFrame, l
     of an exception comes from the first handler, else its annotation, else the framework default. Handlers of
     the controller itself add their statuses with their own origin. Only errors count; per endpoint and status
     the origin written first wins (throws before local handlers)."""
-    hop = calls.join(throws, ["svc", "called"]).select("svc", "endpoint", "exception")
+    called = calls.select("svc", "called", "endpoint").distinct()
+    hop = called.join(throws.select("svc", "called", "exception").distinct(), ["svc", "called"]).select("svc", "endpoint", "exception")
     edges = hop.unionByName(direct.select("svc", "endpoint", "exception")).distinct()
     h = handlers.groupBy("svc", "exception").agg(F.min_by("status", "pos").alias("h"))
     a = annotations.groupBy("svc", "exception").agg(F.min("status").alias("a"))

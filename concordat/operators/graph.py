@@ -1,7 +1,9 @@
-"""Connected components and set digests without collecting a group."""
+"""Reachability, connected components and set digests without collecting a group."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,27 @@ from concordat.session import cut_lineage
 c = F.col
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def closure(starts: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Everything that ``step`` leads to from ``starts``, which are part of it. Each round writes what is new; eight
+    rounds become one table, so that plans stay short."""
+    new = cut_lineage(starts.distinct())
+    found = [new]
+    while not new.isEmpty():
+        seen = union_all(found)
+        new = cut_lineage(step(new).distinct().join(seen, seen.columns, "left_anti"))
+        found.append(new)
+        if len(found) > 8:
+            found = [cut_lineage(union_all(found))]
+    return union_all(found)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step on edges (a, b), a > b.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import contract as ct
 from concordat.operators.contract import _emit, _finding, _text
+from concordat.operators.graph import closure, union_all
 from concordat.operators.windows import first_k
 from concordat.session import cut_lineage
 
@@ -101,24 +102,10 @@ def _common_fields(nodes: DataFrame, code_last: DataFrame, spec_last: DataFrame)
     return nodes.join(cf, ["scan_id", "cs"]).join(sf, ["scan_id", "ss", "field"])
 
 
-def _closure(starts: DataFrame, step) -> DataFrame:
-    """Everything that ``step`` leads to from ``starts``, which are part of it. Each round writes what is new; eight
-    rounds become one table, so that plans stay short."""
-    new = cut_lineage(starts.distinct())
-    found = [new]
-    while not new.isEmpty():
-        seen = _union(found)
-        new = cut_lineage(step(new).distinct().join(seen, seen.columns, "left_anti"))
-        found.append(new)
-        if len(found) > 8:
-            found = [cut_lineage(_union(found))]
-    return _union(found)
-
-
 def _leading_to(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """The pairs from which a target is reached along ``edges`` (scan_id, cs, ss, n_cs, n_ss), targets included."""
     back = edges.select("scan_id", "cs", "ss", c("n_cs").alias("t_cs"), c("n_ss").alias("t_ss"))
-    return _closure(
+    return closure(
         targets.select(*PAIR),
         lambda new: back.join(new.select("scan_id", c("cs").alias("t_cs"), c("ss").alias("t_ss")), ["scan_id", "t_cs", "t_ss"]).select(*PAIR),
     )
@@ -152,7 +139,7 @@ class BoundDiff:
                 F.array_append("visited", pair("n_cs", "n_ss")).alias("visited"),
             )
         spark = self.starts.sparkSession
-        paths = _union(levels) if levels else spark.createDataFrame([], "scan_id string, binding_id bigint, locus string, cs string, ss string")
+        paths = union_all(levels) if levels else spark.createDataFrame([], "scan_id string, binding_id bigint, locus string, cs string, ss string")
         at = lambda x: F.replace(c(x), F.lit(_HERE), c("locus")).alias(x)
         return paths.join(self.local, PAIR).select("scan_id", "binding_id", "type", at("endpoint"), at("summary"), "confidence", "spec_locus").distinct()
 
@@ -181,7 +168,7 @@ def bound_field_diff(bindings: DataFrame, code_schemas: DataFrame, code_fields:
         f = f.select(*PAIR, "field", ct.base_name(c("c_ref")).alias("n_cs"), ct.base_name(c("s_ref")).alias("n_ss"))
         return f.join(code_ok.withColumnRenamed("cs", "n_cs"), ["scan_id", "n_cs"]).join(spec_ok.withColumnRenamed("ss", "n_ss"), ["scan_id", "n_ss"])
 
-    pairs = cut_lineage(_closure(starts.select(*PAIR), lambda new: below(new).select("scan_id", c("n_cs").alias("cs"), c("n_ss").alias("ss"))))
+    pairs = cut_lineage(closure(starts.select(*PAIR), lambda new: below(new).select("scan_id", c("n_cs").alias("cs"), c("n_ss").alias("ss"))))
     edges = cut_lineage(below(pairs).select(*PAIR, "field", "n_cs", "n_ss"))
     here = pairs.withColumn("locus", F.lit(_HERE))
     f = _common_fields(here, code_last, spec_last)
@@ -209,13 +196,6 @@ def bound_field_diff(bindings: DataFrame, code_schemas: DataFrame, code_fields:
     return BoundDiff(starts, edges, local, divergent)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _local_failures(pairs: DataFrame, info_c: DataFrame, info_s: DataFrame, code_last: DataFrame, spec_last: DataFrame) -> DataFrame:
     """Pairs (scan_id, cs, ss) that differ by themselves: enum sets, field sets, field types, array-ness."""
     key = ["scan_id", "cs", "ss"]
@@ -280,7 +260,7 @@ def structural_verdict(roots: DataFrame, code_schemas: DataFrame, code_fields: D
         return f.join(exists_c.withColumnRenamed("cs", "n_cs"), ["scan_id", "n_cs"]).join(exists_s.withColumnRenamed("ss", "n_ss"), ["scan_id", "n_ss"])
 
     roots_ = r.filter(c("early").isNull()).select(*PAIR)
-    pairs = cut_lineage(_closure(roots_, lambda new: below(new).select("scan_id", c("n_cs").alias("cs"), c("n_ss").alias("ss"))))
+    pairs = cut_lineage(closure(roots_, lambda new: below(new).select("scan_id", c("n_cs").alias("cs"), c("n_ss").alias("ss"))))
     edges = cut_lineage(below(pairs).select(*PAIR, "n_cs", "n_ss").distinct())
     bad = _local_failures(pairs, info_c, info_s, code_last, spec_last)
     differs = _leading_to(bad, edges).withColumn("differs", F.lit(True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_scorecard(df: DataFrame, path: str) -> None:
@@ -10,10 +11,12 @@ def write_scorecard(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_rtm(items: DataFrame, path: str) -> None:
+def write_rtm(items: DataFrame, path: str, tasks: int = 4) -> None:
     """Requirements-traceability matrix, one folder per plan; rewriting replaces the plans at hand only.
-    Rows are spread over a few tasks per plan, so one large plan is not written by one task."""
-    items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("plan_id").parquet(path)
+    Rows of a plan go to ``tasks`` tasks by a salt, so that a large plan is not written by one task and a plan has no more
+    files than that."""
+    salt = F.pmod(F.xxhash64(*[c for c, t in items.dtypes if not t.startswith("map")]), F.lit(tasks))
+    items.repartition("plan_id", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("plan_id").parquet(path)
 
 
 def append_findings(df: DataFrame, path: str, batch: int | str) -> None:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.functions.text import strip
-from concordat.operators.windows import first_k
+from concordat.operators.graph import union_all
+from concordat.operators.windows import first_k, numbered
 from concordat.session import cut_lineage
 from concordat.sources.markup import Lines
 
@@ -29,8 +30,9 @@ def page_tree(edges: DataFrame, roots: DataFrame, max_pages: int | None = None)
     level = cut_lineage(
         roots.select("root", c("root").alias("page"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")).distinct()
     )
-    seen = level
+    levels = [level]
     while True:
+        seen = union_all(levels)
         nxt = level.join(edges, level["page"] == edges["parent"]).select(
             "root", c("child").alias("page"), (c("depth") + 1).alias("depth"), F.array_append("path", c("pos").cast("int")).alias("path")
         )
@@ -41,10 +43,14 @@ def page_tree(edges: DataFrame, roots: DataFrame, max_pages: int | None = None)
         level = cut_lineage(nxt)
         if level.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(level))
+        levels.append(level)
+        if len(levels) > 8:
+            levels = [cut_lineage(union_all(levels[:-1])), level]
+    seen = union_all(levels)
     if max_pages:
         return first_k(seen, ["root"], [F.asc("depth"), F.asc("path")], max_pages, "ord")
-    return seen.withColumn("ord", F.row_number().over(Window.partitionBy("root").orderBy("depth", "path")))
+    # Numbered level by level: no window reads all pages of a root.
+    return numbered(seen, "root", ["depth", "path"], c("depth"), "ord").withColumn("ord", c("ord").cast("int"))
 
 
 def read_tests(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,68 +124,89 @@ def daily_totals(ledger: DataFrame) -> DataFrame:
 
 
 def dedup_stream(rows: DataFrame, key: str) -> DataFrame:
-    """Idempotent intake: a row of each key once, ever. A micro-batch passes what no batch before it has passed."""
+    """Idempotent intake: a row of each key once, ever. The state holds a mark per key that has passed, so a micro-batch
+    costs what it brings; of several rows of a new key in one batch the least passes, column by column."""
+    names = rows.columns
 
-    def write(batch: DataFrame, epoch: int, base: str) -> None:
-        new = batch.dropDuplicates([key])
-        if epoch:
-            past = batch.sparkSession.read.schema(_with_batch(rows.schema)).parquet(f"{base}/out")
-            new = new.join(past.filter(c("batch") < epoch).select(key), key, "left_anti")
-        new.select(rows.columns).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+    def step(found: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        least = None
+        for pdf in pdfs:
+            mine = pdf if least is None else pd.concat([least, pdf])
+            least = None if state.exists else mine.sort_values(names, na_position="first").head(1)
+        if least is not None:
+            state.update((True,))
+            yield least[names]
 
-    base = _drain(rows, write)
-    return rows.sparkSession.read.schema(_with_batch(rows.schema)).parquet(f"{base}/out")
+    return run_available(rows.groupBy(key).applyInPandasWithState(step, rows.schema, "passed boolean", "append", GroupStateTimeout.NoTimeout))
 
 
-def _sequential(rows: DataFrame, step: Callable[[str, int, tuple | None], tuple[str, tuple | None]]) -> DataFrame:
-    """Run a state machine per key over (key, ms, event_id, kind) in event-time order.
+def _sequential(rows: DataFrame, apply: Callable[[np.ndarray, np.ndarray, str | None], tuple[np.ndarray, str | None]]) -> DataFrame:
+    """Outcomes of the events (key, ms, event_id, kind) of each key in event-time order.
 
-    ``step`` maps (kind, ms, state) to (outcome, state); state is (status, ms of the last applied event)."""
+    ``apply`` maps the kinds and times of a batch and the status before it to outcomes and the status after it, as
+    arrays. The state is (status, ms of the last applied event); what is older than that is late. A task holds the
+    three columns of one key's events of one micro-batch."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs)).sort_values(["ms", "event_id"])
+        parts = [(p["ms"].to_numpy(np.int64), p["event_id"].to_numpy(np.int64), p["kind"].to_numpy(object)) for p in pdfs]
+        ms, event, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((event, ms))
+        ms, event, kind = ms[order], event[order], kind[order]
         status, seen = state.get if state.exists else (None, -(2**62))
-        mine = (status, seen)
-        out = []
-        for ms, event, kind in zip(pdf["ms"], pdf["event_id"], pdf["kind"], strict=True):
-            if ms < seen:
-                out.append((key[0], event, "LATE"))
-                continue
-            outcome, mine = step(kind, int(ms), mine)
-            seen = int(ms)
-            out.append((key[0], event, outcome))
-        state.update((mine[0], max(seen, mine[1])))
-        yield pd.DataFrame(out, columns=["key", "event_id", "outcome"])
+        late = int(np.searchsorted(ms, seen, side="left"))
+        outcome, status = apply(kind[late:], ms[late:], status)
+        if late < len(ms):
+            seen = int(ms[-1])
+        state.update((status, seen))
+        yield pd.DataFrame({"key": [key[0]] * len(ms), "event_id": event, "outcome": np.concatenate((np.full(late, "LATE", object), outcome))})
 
     return rows.select("key", "ms", "event_id", "kind").groupBy("key").applyInPandasWithState(
         run, "key string, event_id bigint, outcome string", "status string, seen bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 
+STATES = (None, "PENDING", "APPROVED", "REJECTED", "CONSUMED")
+# Per kind, for every state: the state after it, and the outcome.
+GATE = {
+    "AWAIT": ([1, 1, 4, 1, 1], ["PENDING", "PENDING", "APPROVED", "PENDING", "PENDING"]),
+    "APPROVE": ([0, 2, 2, 3, 4], ["CONFLICT", "APPROVED", "CONFLICT", "CONFLICT", "CONFLICT"]),
+    "REJECT": ([0, 3, 2, 3, 4], ["CONFLICT", "REJECTED", "CONFLICT", "CONFLICT", "CONFLICT"]),
+}
+
+
 def gate_decisions(events: DataFrame) -> DataFrame:
     """Approval gates: an approval is used up by one action, a pending request is reused, decisions need a pending
-    request. Kinds: AWAIT, APPROVE, REJECT."""
+    request. Kinds: AWAIT, APPROVE, REJECT; any other one decides like REJECT.
 
-    def step(kind: str, ms: int, state: tuple) -> tuple[str, tuple]:
-        status = state[0]
-        if kind == "AWAIT":
-            if status == "APPROVED":
-                return "APPROVED", ("CONSUMED", ms)
-            return "PENDING", ("PENDING", ms)
-        if status != "PENDING":
-            return "CONFLICT", (status, ms)
-        done = "APPROVED" if kind == "APPROVE" else "REJECTED"
-        return done, (done, ms)
+    An event maps states to states, and such maps compose: all prefixes of a batch are composed in a logarithmic
+    number of array steps."""
 
-    return _sequential(events, step)
+    def apply(kind: np.ndarray, ms: np.ndarray, status: str | None) -> tuple[np.ndarray, str | None]:
+        if not len(kind):
+            return np.empty(0, object), status
+        which = np.where(kind == "AWAIT", 0, np.where(kind == "APPROVE", 1, 2))
+        after = np.array([GATE[k][0] for k in GATE])[which]
+        step = 1
+        while step < len(after):
+            after[step:] = np.take_along_axis(after[step:], after[:-step].copy(), axis=1)
+            step *= 2
+        start = STATES.index(status)
+        before = np.concatenate(([start], after[:-1, start]))
+        return np.array([GATE[k][1] for k in GATE], object)[which, before], STATES[after[-1, start]]
 
+    return _sequential(events, apply)
 
-def claims(requests: DataFrame, lease_ms: int) -> DataFrame:
-    """One generation per snapshot: a claim is taken when none is in flight or the last one is past its lease."""
-
-    def step(kind: str, ms: int, state: tuple) -> tuple[str, tuple]:
-        if state[0] is not None and int(state[0]) > ms - lease_ms:
-            return "CONFLICT", (state[0], ms)
-        return "CLAIMED", (str(ms), ms)
 
-    return _sequential(requests, step)
+def claims(requests: DataFrame, lease_ms: int) -> DataFrame:
+    """One generation per snapshot: a claim is taken when none is in flight or the last one is past its lease. A batch
+    is walked from claim to claim."""
+
+    def apply(kind: np.ndarray, ms: np.ndarray, status: str | None) -> tuple[np.ndarray, str | None]:
+        outcome = np.full(len(ms), "CONFLICT", object)
+        at = 0 if status is None else int(np.searchsorted(ms, int(status) + lease_ms, side="left"))
+        while at < len(ms):
+            outcome[at], status = "CLAIMED", str(int(ms[at]))
+            at = max(at + 1, int(np.searchsorted(ms, ms[at] + lease_ms, side="left")))
+        return outcome, status
+
+    return _sequential(requests, apply)
