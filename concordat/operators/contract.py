@@ -364,14 +364,15 @@ def media_diff(pairs: DataFrame, spec_resp: DataFrame) -> DataFrame:
 def spec_drift(specs: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Endpoints present in one spec of a pair only, for every pair of specs of a scan.
 
-    The pairs come from the spec list (a few per scan); endpoints join to the other specs and drop the
-    ones that match there."""
+    The specs of a scan are a short list, and so are those that have an operation; what the second list lacks of the
+    first becomes rows, and nothing else does."""
     e = keyed(endpoints)
-    other = specs.select("scan_id", c("spec_id").alias("other"), c("spec_pos").alias("o_pos"))
     mine = specs.select("scan_id", "spec_id", "spec_pos")
-    wide = e.join(mine, ["scan_id", "spec_id"]).join(other, "scan_id").filter(c("spec_id") != c("other"))
-    known = e.select("scan_id", c("spec_id").alias("other"), "key")
-    gone = wide.join(known, ["scan_id", "other", "key"], "left_anti")
+    every = specs.groupBy("scan_id").agg(F.collect_set(F.struct("spec_id", "spec_pos")).alias("every"))
+    held = e.groupBy("scan_id", "key").agg(F.collect_set("spec_id").alias("held"))
+    lacking = F.filter("every", lambda s: ~F.array_contains("held", s["spec_id"]))
+    gone = e.join(mine, ["scan_id", "spec_id"]).join(held, ["scan_id", "key"]).join(every, "scan_id").withColumn("o", F.explode(lacking))
+    gone = gone.withColumns({"other": c("o.spec_id"), "o_pos": c("o.spec_pos")})
     first = c("spec_pos") < c("o_pos")
     pair = F.when(first, _text(c("spec_id"), " vs ", c("other"))).otherwise(_text(c("other"), " vs ", c("spec_id")))
     return gone.select(

@@ -20,6 +20,9 @@ DEFAULTS = {
 }
 
 
+_written: list[str] = []
+
+
 def get_session(app: str = "concordat", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session. Shuffle partitions are left to the cluster unless passed in ``conf``."""
     builder = SparkSession.builder.appName(app)
@@ -52,5 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     computes the rows once instead of twice, and the reader knows the size of the table when it plans joins."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut_lineage` has written in this process, and say how many. To be called when the
+    results that rest on them are written: they are read until then."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

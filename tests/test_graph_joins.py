@@ -1,6 +1,9 @@
 """Joins over graphs and sets: overlap components against all pairs, nested schemas with more paths than atoms."""
 
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -9,6 +12,9 @@ from concordat.operators import schemas as sc
 from concordat.schemas import CONSTRAINTS, conform
 
 
+ROOT = os.path.abspath(os.path.join(os.path.dirname(__file__), ".."))
+
+
 def components(sets):
     ids = sorted(sets)
     root = {i: i for i in ids}
@@ -106,3 +112,19 @@ def test_misclusters(spark, light, block):
     want = {(a, b): len(set(hints[a]) & set(hints[b])) for a in hints for b in hints if status[a] in ("PLANNED", "COVERAGE_GAP") and status[b] == "UNDOCUMENTED"}
     got = {(r.planned, r.undocumented): r.shared for r in ev.misclusters(features, members, light=light, block=block).collect()}
     assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_intermediate_tables_can_be_dropped(tmp_path):
+    """In a process of its own: dropping touches every table that was written so far."""
+    code = """
+import os, sys
+from concordat.session import cut_lineage, drop_intermediates, get_session
+spark = get_session("drop", "local[1]", **{"spark.checkpoint.dir": sys.argv[1]})
+a = cut_lineage(spark.range(5))
+assert a.count() == 5 and any(n.startswith("table-") for _, d, _ in os.walk(sys.argv[1]) for n in d)
+assert drop_intermediates(spark) == 1 and drop_intermediates(spark) == 0
+assert not any(n.startswith("table-") for _, d, _ in os.walk(sys.argv[1]) for n in d)
+print("dropped")
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path)], env={**os.environ, "PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=240)
+    assert out.stdout.strip().endswith("dropped"), out.stderr[-2000:]
