@@ -66,3 +66,25 @@ def test_faults_and_messages(spark):
 def test_empty(spark):
     frames = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), spark.createDataFrame(TOOLS, SCHEMAS)
     assert link(*frames).collect() == []
+
+
+def test_long_chains(spark):
+    """Chains of 400 calls with branches, circles and calls that wait for the ends of several chains."""
+    calls = [(1, str(i), "f", None, [str(i - 1)] if i else [], None) for i in range(400)]
+    calls += [(1, f"b{i}", "f", None, [f"b{i - 1}" if i else "37"], None) for i in range(50)]
+    calls += [(1, f"o{i}", "f", None, [f"o{(i + 1) % 7}"], None) for i in range(7)] + [(1, f"p{i}", "f", None, [f"p{i - 1}" if i else "o3"], None) for i in range(9)]
+    calls += [(1, "join", "f", None, ["399", "b49", "5"], None), (1, "stuck", "f", None, ["399", "p8"], None), (1, "end", "f", None, ["join"], None), (1, "more", "f", None, ["end", "join", "0"], None)]
+    graph, want = depths(calls)
+    got = {(r.conv_id, r.call_id): r.level for r in levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == {k: want.get(k) for k in graph} and got[1, "more"] == 402 and got[1, "stuck"] is None
+
+
+def test_nested_fields_and_types(spark):
+    schema = [("f", "n", "number", True), ("f", "o", "object", False), ("f", "o.x", "integer", True), ("f", "o.p", "object", False), ("f", "o.p.q", "string", True), ("f", "m", "money", False), ("f", "any", None, False)]
+    rows = [
+        ('{"n": 1.5}', ""), ('{"n": 3, "o": {"x": 1}}', ""), ('{"n": "3"}', "type n"), ('{"n": 1e300, "o": {}}', "missing o.x"), ('{"n": 1, "o": {"x": 2, "y": 1}}', "unknown o.y"),
+        ('{"n": 1, "o": {"x": 2.5, "p": {"q": 1, "r": null}}}', "type o.p.q,type o.x"), ('{"n": 1, "o": 5}', "type o"), ('{"n": 1, "m": 1, "any": [1]}', "schema m"), ('{"n": 1, "o": {"x": 1, "p": {"z": {"deep": 1}}}}', "missing o.p.q,unknown o.p.z"),
+    ]
+    calls = spark.createDataFrame([(1, str(k), "f", a, None, None) for k, (a, _) in enumerate(rows)], CALLS)
+    got = {r.call_id: r.errors for r in faults(calls, spark.createDataFrame(schema, SCHEMAS)).collect()}
+    assert got == {str(k): e for k, (_, e) in enumerate(rows) if e}
