@@ -20,6 +20,7 @@ SHORT = 32
 COMMON_BITS = 12
 COMMON_MOST = 1 << 20
 BLOCK = 256
+RUN = 250_000  # characters of texts whose shingles are worked out at once
 BITMAP = 1 << 26
 _SPACE = separator_table("space")
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -65,7 +66,7 @@ def prefix_size(n: int, num: int, den: int) -> int:
 def _token_counts(rows: Iterator[pa.RecordBatch], k: int, low: int) -> Iterator[pa.RecordBatch]:
     """(token, bits, n) of the tokens below ``low``: in how many texts, and a sketch of in how many different sets."""
     for batch in rows:
-        for run in pieces(batch.column(0)):
+        for run in pieces(batch.column(0), RUN):
             tokens, bits = [], []
             for s in shingle_sets(run, k):
                 head = s[: np.searchsorted(s, np.uint64(low << 32))] >> _HIGH
@@ -89,7 +90,7 @@ def _prefixes(rows: Iterator[pa.RecordBatch], k: int, low: int, num: int, den: i
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("pd", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     for batch in rows:
         ids, at = batch.column(0).to_pylist(), 0
-        for run in pieces(batch.column(1)):
+        for run in pieces(batch.column(1), RUN):
             out = []
             for s in shingle_sets(run, k):
                 p = prefix_size(len(s), num, den)
@@ -117,7 +118,7 @@ def _sets(rows: Iterator[pa.RecordBatch], k: int, shared: Broadcast) -> Iterator
         keep = ((bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
         batch = batch.filter(pa.array(keep))
         ids, at = batch.column(0).to_pylist(), 0
-        for run in pieces(batch.column(1)):
+        for run in pieces(batch.column(1), RUN):
             sets = shingle_sets(run, k)
             both = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
