@@ -45,7 +45,9 @@ def norm_blank(text: Column) -> Column:
 
 
 def norm_summary(summary: Column) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(summary, r"\s+", " "), "[.;:,]+$", "")), F.lit(""))
+    # Most summaries are normal: looking costs less than replacing every blank by itself.
+    blanks = F.when(summary.rlike(r"[\t\n\x0B\f\r]| {2}"), F.regexp_replace(summary, r"\s+", " ")).otherwise(summary)
+    return F.coalesce(F.trim(F.regexp_replace(blanks, "[.;:,]+$", "")), F.lit(""))
 
 
 def est_tokens(text: Column) -> Column:

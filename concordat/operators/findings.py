@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions import ids, paths, rules, text
@@ -140,6 +140,7 @@ def collapse_root_cause(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = root_cause_key(findings)
     eps = affected_endpoints(findings)
     n = eps.groupBy("scan_id", "rc").agg(F.count("*").alias("n_affected"))
+    counted = eps.withColumn("_n", F.count("*").over(Window.partitionBy("scan_id", "rc")))
     keyed = f.filter(c("rc_kind").isNotNull())
     first = first_k(keyed, ["scan_id", "rc"], [F.asc("pos")]).join(n, ["scan_id", "rc"], "left")
     many, by_schema = F.coalesce(c("n_affected") > 1, F.lit(False)), c("rc_kind") == "S"
@@ -158,7 +159,7 @@ def collapse_root_cause(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     rest = f.filter(c("rc_kind").isNull()).withColumn("n_affected", F.lit(None).cast("bigint"))
-    affected = eps.join(n.filter(c("n_affected") > 1), ["scan_id", "rc"], "left_semi")
+    affected = counted.filter((c("_n") > 1) & c("scan_id").isNotNull()).drop("_n")
     return survivors.unionByName(rest), affected
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from concordat.operators import contract as op
 from concordat.operators import evidence as ev
+from concordat.operators import findings
 from concordat.operators import windows as win
 from concordat.operators.chunking import chunk_lines
 from concordat.operators.containment import first_held, first_holder
@@ -161,3 +162,13 @@ def test_edit_replay(spark):
     assert {r["unit_id"] for r in out["members"].filter(F.col("feature_id") == pin).collect()} == {"u1", "u2", "u3"}
     notes = {r["edit"]: r["note"] for r in out["notes"].collect()}
     assert "additional units" in notes[2] and "split across" in notes[3] and "no longer present" in notes[4]
+
+
+def test_affected_endpoints_are_grouped_once(spark):
+    """The endpoints of collapsed findings are counted beside them, not grouped again and joined to themselves."""
+    rows = [("s", f"r{i}", f"f{i}", i, "STATUS_DRIFT", f"GET /{i % k}", "A", None, "x", f"C{k}.java", 1) for k in (1, 2) for i in range(4)]
+    rows += [(None, "n", "n", 9, "STATUS_DRIFT", f"GET /n{i}", "A", None, "x", "N.java", 1) for i in range(2)]
+    schema = "scan_id string, row_id string, finding_id string, pos bigint, type string, endpoint string, spec_source string, spec_locus string, summary string, code_file string, code_line int"
+    _, affected = findings.collapse_root_cause(spark.createDataFrame(rows, schema))
+    assert "Join" not in affected._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.scan_id, r.endpoint, r.first_pos) for r in affected.collect()) == [("s", "GET /0", 0), ("s", "GET /1", 1)]
