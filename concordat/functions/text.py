@@ -73,8 +73,7 @@ def trim_middle(text: Column, budget: int) -> Column:
 
 
 def _keep(tokens: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)))
+    return F.filter(F.array_distinct(tokens), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS))
 
 
 def hints_text(text: Column) -> Column:
@@ -89,12 +88,14 @@ def hints_path(path: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Plural-only stemmer with length guards."""
+    """Plural-only stemmer with length guards. Most tokens have no plural ending and are told by the first test, as each
+    use of the token in the others lowers it again."""
     t = F.lower(F.coalesce(token, F.lit("")))
     n = F.length(t)
-    es = t.rlike("(ses|xes|zes|ches|shes)$")
+    es = t.endswith("ses") | t.endswith("xes") | t.endswith("zes") | t.endswith("ches") | t.endswith("shes")
     return (
-        F.when((n > 4) & t.endswith("ies"), F.concat(F.substr(t, F.lit(1), n - 3), F.lit("y")))
+        F.when(~t.endswith("s"), t)
+        .when((n > 4) & t.endswith("ies"), F.concat(F.substr(t, F.lit(1), n - 3), F.lit("y")))
         .when((n > 4) & es, F.substr(t, F.lit(1), n - 2))
         .when((n > 3) & t.endswith("s") & ~t.endswith("ss") & ~t.endswith("us"), F.substr(t, F.lit(1), n - 1))
         .otherwise(t)

@@ -172,3 +172,19 @@ def test_affected_endpoints_are_grouped_once(spark):
     _, affected = findings.collapse_root_cause(spark.createDataFrame(rows, schema))
     assert "Join" not in affected._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.scan_id, r.endpoint, r.first_pos) for r in affected.collect()) == [("s", "GET /0", 0), ("s", "GET /1", 1)]
+
+
+def test_misclusters_take_texts_apart_once(spark):
+    """Both sides of the comparison read one table of stems."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        read.add(1)
+        return x.split(" ")
+
+    rows = [("p", "order lines"), ("p", "claim"), ("u", "orders line"), ("v", "claims")]
+    members = spark.createDataFrame(rows, "feature_id string, t string").withColumn("hints", F.udf(told, "array<string>")("t"))
+    features = spark.createDataFrame([("p", "PLANNED"), ("u", "UNDOCUMENTED"), ("v", "UNDOCUMENTED")], "feature_id string, status string")
+    got = [tuple(r) for r in ev.misclusters(features, members).collect()]
+    assert got == [("p", "u", 2)]
+    assert read.value == len(rows)
