@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm.common import Words, folded, mix, pieces, separator_table
 from concordat.operators.graph import connected_components
-from concordat.session import cut_lineage
+from concordat.session import arrow_rows, cut_lineage
 
 c = F.col
 SHORT = 32
@@ -22,6 +22,7 @@ COMMON_MOST = 1 << 20
 BLOCK = 256
 RUN = 250_000  # characters of texts whose shingles are worked out at once
 BITMAP = 1 << 26
+ROWS = 500
 _SPACE = separator_table("space")
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _HIGH = np.uint64(32)
@@ -239,10 +240,17 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
        pair of blocks a unit of its own: a large family is spread over tasks, no pair is sent as a row, and a
        unit returns links per member and enough edges to connect them.
 
-    Texts are read three times and not shuffled; broadcast are at most a million tokens and two bitmaps of 8 MB.
+    Texts are read three times and not shuffled; broadcast are at most a million tokens and two bitmaps of 8 MB. Tasks get ``ROWS``
+    texts or sets at a time.
     Null and empty texts: size 0, linked with nothing. Null ids: an own row; they are linked through copies with an
     id only. Rows with one id are one document of several texts: all of them are reached from each other. An
     empty table gives no rows; other columns are not read."""
+    with arrow_rows(docs.sparkSession, ROWS):
+        return _link(docs, k, num, den)
+
+
+def _link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """:func:`link`, every task on texts run before it returns."""
     spark = docs.sparkSession
     rows = docs.select(c("doc_id").cast("bigint"), c("text").cast("string").alias("text"))
     low = int(min(1.0, 2 * (1 - num / den)) * (1 << 32)) - 1

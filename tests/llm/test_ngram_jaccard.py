@@ -126,3 +126,20 @@ def test_odd(spark):
     assert got == [(0, 2, 3), (1, 0, 1), (2, 0, 2), (3, 2, 3), (5, 2, 3), (9, 2, 3), (9, 2, 3)]
     assert [len(s) for s in shingle_sets(["a b", "a b c d", None, "  "], 4)] == [1, 1, 0, 0]
     assert nj.prefix_size(20, 85, 100) == 4 and np.array_equal(shingle_sets(["A b"], 4)[0], shingle_sets(["a  B"], 4)[0])
+
+
+def test_tasks_get_few_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    from concordat.llm import ngram_jaccard
+
+    def counted(batches, *_):
+        for b in batches:
+            assert b.num_rows <= ngram_jaccard.ROWS
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["token", "bits", "n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(ngram_jaccard, "_token_counts", counted)
+    docs = spark.range(3 * ngram_jaccard.ROWS).selectExpr("id AS doc_id", "concat('one two three four ', id) AS text").coalesce(1)
+    assert ngram_jaccard.link(docs).count() == 3 * ngram_jaccard.ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
