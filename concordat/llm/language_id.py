@@ -140,6 +140,10 @@ class Model:
         n = np.diff(first)[which]
         order = np.argsort(-n, kind="stable")
         which, n = which[order], n[order]
+        alone = 512 // max(1, scores.shape[1])  # so few texts are walked faster one by one
+        for i in which[:alone].tolist():
+            path[first[i] : first[i + 1]] = self._walk_one(scores[first[i] : first[i + 1]])
+        which, n = which[alone:], n[alone:]
         if not len(which):
             return
         begin, langs = first[:-1][which], np.arange(scores.shape[1])
@@ -159,6 +163,28 @@ class Model:
             if t:
                 state[:k] = back[t - 1][np.arange(k), state[:k]]
 
+    def _walk_one(self, scores: np.ndarray) -> np.ndarray:
+        """The path of one text: the steps in plain numbers, what they came from in blocks."""
+        langs, penalty = np.arange(scores.shape[1]), self.penalty
+        value, back = scores[0].tolist(), []
+        for at in range(1, len(scores), 4096):
+            before = []
+            for row in scores[at : at + 4096].tolist():
+                before.append(value)
+                switched = max(value) - penalty
+                value = [(v if v > switched else switched) + s for v, s in zip(value, row, strict=True)]
+            v = np.array(before)
+            top = v.argmax(axis=1)
+            switch = v[np.arange(len(v)), top][:, None] - penalty
+            back.append(np.where(switch > v, top[:, None], langs[None, :]).astype(np.int16))
+        state = value.index(max(value))
+        path = [state]
+        for block in reversed(back):
+            for row in reversed(block.tolist()):
+                state = row[state]
+                path.append(state)
+        return np.array(path[::-1], np.int64)
+
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """(language, score, spans) per text; a span is (language, first word, word after the last). Words in a script of
         no language are spans of ``und`` and count among the letters that the score is a share of."""
@@ -183,6 +209,19 @@ class Model:
         return out
 
 
+    def told(self, texts: list[str | None]) -> list[str]:
+        """The language per text that ``label`` gives, without scores and spans."""
+        w, wide = Letters(texts), len(self.langs) + 1
+        n = np.diff(w.first)
+        if not self.langs or not len(w.starts):
+            return [UNKNOWN] * len(texts)
+        path = self.spans(self.word_scores(w), w.first)
+        mine = np.where(self.allowed[w.script].any(axis=1), path, len(self.langs))
+        at = np.repeat(np.arange(len(n)), n) * wide + mine
+        best = np.bincount(at, weights=w.lens, minlength=len(n) * wide).reshape(len(n), wide)[:, :-1].argmax(axis=1)
+        return [self.langs[k] if some else UNKNOWN for k, some in zip(best.tolist(), (n > 0).tolist(), strict=True)]
+
+
 def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, slot, n): how often a hash slot (kind 0) or script (kind 1) occurs."""
     for batch in rows:
@@ -211,9 +250,9 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def train(docs: DataFrame, per_lang: int = 2000, smooth: float = 0.5, least_share: float = 0.01) -> Model:
+def train(docs: DataFrame, per_lang: int | None = 2000, smooth: float = 0.5, least_share: float = 0.01) -> Model:
     """A model from (doc_id, text, lang) rows with a language, on about ``per_lang`` documents of each, chosen by a
-    hash of doc_id. Counting runs in Spark; the driver gets at most 2**18 slots per language.
+    hash of doc_id; on all of them without ``per_lang``. Counting runs in Spark; the driver gets at most 2**18 slots per language.
 
     The score of a slot is its smoothed log frequency in a language less the mean over languages. A script allows
     the languages with at least ``least_share`` of their letters in it."""
@@ -222,9 +261,11 @@ def train(docs: DataFrame, per_lang: int = 2000, smooth: float = 0.5, least_shar
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, SLOTS)), np.zeros((OTHER + 1, 0), bool))
-    share = F.create_map(*[F.lit(v) for g in langs for v in (g, min(1.0, per_lang / sizes[g]))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(draw < share[c("lang")]).select("lang", "text")
+    if per_lang is not None:
+        share = F.create_map(*[F.lit(v) for g in langs for v in (g, min(1.0, per_lang / sizes[g]))])
+        draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+        known = known.filter(draw < share[c("lang")])
+    sample = known.select("lang", "text")
     sums = sample.mapInArrow(_counts, "lang string, kind int, slot int, n bigint").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
     counts, scripts = np.full((len(langs), SLOTS), smooth), np.zeros((len(langs), OTHER + 1))
     rows = sums.toArrow()

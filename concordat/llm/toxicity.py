@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from concordat.llm import language_id
 from concordat.llm.common import Words, mix, pieces, separator_table
+from concordat.session import cut_lineage
 
 c = F.col
 SLOTS = 1 << 19
@@ -21,6 +24,10 @@ FILTERS = 8
 PREFIXES = (4, 5)
 LEAD = max(WIDTHS) - 1
 PAD = LEAD + 1
+SHARD = 8 << 20  # bytes of text that one pass of a task goes over
+SHARD_ROWS = 2_000
+GRAIN = float(1 << 30)
+STEPS = 1024
 _ALNUM = separator_table("alnum")
 
 
@@ -56,6 +63,17 @@ class Net:
     base: float | None = None
     cut: dict[str, float] = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """Sent are the rows of the table that are not zero."""
+        rows = np.flatnonzero(self.table.any(axis=1)).astype(np.int32)
+        return self.__dict__ | {"table": (rows, self.table[rows])}
+
+    def __setstate__(self, state: dict) -> None:
+        rows, values = state["table"]
+        self.__dict__.update(state)
+        self.table = np.zeros((SLOTS, DIM), np.float32)
+        self.table[rows] = values
+
     def pooled(self, slots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maxima of each filter over the windows of every text, the word at which each is reached, and the
         embedded words. Empty words before and after every text keep its windows off its neighbours."""
@@ -86,19 +104,40 @@ class Net:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(texts) - cut, -60, 60)))
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, seed: int = 11) -> Net:
-    """Adagrad on the log loss in numpy. Only the words at which a filter has its maximum move, as pooling has it.
+@dataclass
+class Past:
+    """Sums of squared steps: per row of the embedding table, and per other weight in the order of ``dense``."""
+
+    table: np.ndarray
+    dense: np.ndarray
+
+
+def dense(net: Net) -> np.ndarray:
+    """All weights but the table in one vector."""
+    return np.concatenate([*(f.ravel() for f in net.filters), *net.bias, net.out, [net.shift]]).astype(np.float64)
+
+
+def with_dense(net: Net, v: np.ndarray) -> Net:
+    """The net with the weights of a vector as ``dense`` gives it."""
+    filters, bias, at = [], [], 0
+    for width in WIDTHS:
+        filters.append(v[at : at + width * DIM * FILTERS].reshape(width, DIM, FILTERS).astype(np.float32))
+        at += width * DIM * FILTERS
+    for _ in WIDTHS:
+        bias.append(v[at : at + FILTERS].astype(np.float32))
+        at += FILTERS
+    return replace(net, filters=filters, bias=bias, out=v[at:-1].copy(), shift=float(v[-1]))
+
+
+def start(per: list[np.ndarray], sizes: list[int], seed: int = 11) -> tuple[Net, Past]:
+    """A net before its first step. ``per``: in how many texts of class 0 and 1 a slot is; ``sizes``: of the classes.
+
     The first dimension of a slot starts as its log odds between the classes; the rest starts as small noise."""
     rng = np.random.default_rng(seed)
-    w = _encoded(texts)
-    slots, n = word_slots(w), np.diff(w.first)
-    owner = np.repeat(np.arange(len(n)), n)
     net = Net()
-    seen = np.unique(slots)
+    seen = np.flatnonzero(per[0] + per[1])
     net.table[seen] = rng.normal(0, 0.05, (len(seen), DIM))
-    pairs = np.unique(np.concatenate([np.unique(owner * SLOTS + slots[:, k]) for k in range(slots.shape[1])]))
-    per = [np.bincount(pairs[labels[pairs // SLOTS] == y] % SLOTS, minlength=SLOTS) for y in (0, 1)]
-    odds = np.log((per[1] + 0.5) / (labels == 1).sum()) - np.log((per[0] + 0.5) / (labels == 0).sum())
+    odds = np.log((per[1] + 0.5) / sizes[1]) - np.log((per[0] + 0.5) / sizes[0])
     net.table[seen, 0] = np.where(per[0] + per[1] >= 3, np.clip(odds, -2, 4), 0)[seen] / 2
     for width in WIDTHS:
         f = rng.normal(0, 0.3 / np.sqrt(width), (width, DIM, FILTERS)).astype(np.float32)
@@ -107,98 +146,202 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, seed: int = 11) -
         net.bias.append(np.full(FILTERS, -0.5, np.float32))
     net.out = np.full(len(WIDTHS) * FILTERS, 0.2)
     net.shift = -1.0
-    grads = {"table": np.full(SLOTS, 1e-3, np.float32), "out": np.full(len(net.out), 1e-2), "shift": 1e-2}
-    past = [(np.full(f.shape, 1e-2), np.full(b.shape, 1e-2)) for f, b in zip(net.filters, net.bias, strict=True)]
+    return net, Past(np.full(SLOTS, 1e-3, np.float32), np.full(len(dense(net)), 1e-2))
+
+
+def learn(net: Net, past: Past, slots: np.ndarray, first: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> tuple[Net, Past, np.ndarray]:
+    """One pass of Adagrad on the log loss over texts given as slots: the net and the sums after it, and which rows of
+    the table moved. Only the words at which a filter has its maximum move, as pooling has it."""
+    net, past = replace(net, table=net.table.copy()), Past(past.table.copy(), past.dense.copy())
+    n, moved = np.diff(first), np.zeros(SLOTS, bool)
     rate, size = 0.05, 64
-    for _ in range(rounds):
-        order = rng.permutation(len(n))
-        for s in range(0, len(order), size):
-            pick = order[s : s + size]
-            mine = np.concatenate([np.arange(w.first[i], w.first[i + 1]) for i in pick])
-            first = np.concatenate(([0], np.cumsum(n[pick])))
-            h, places, x = net.pooled(slots[mine], first)
-            p = 1.0 / (1.0 + np.exp(-np.clip(h @ net.out + net.shift, -60, 60)))
-            err = (p - labels[pick]) / len(pick)
-            d_out, d_shift = h.T @ err, float(err.sum())
-            d_h = np.outer(err, net.out) * (h > 0)
-            touched, moves = [], []
-            for k, width in enumerate(WIDTHS):
-                y, begin, top = places[k]
-                d = d_h[:, k * FILTERS : (k + 1) * FILTERS]
-                f, d_f = net.filters[k], np.zeros(net.filters[k].shape)
-                for i in range(len(pick)):
-                    at = begin[i] + (y[begin[i] : begin[i] + n[pick[i]] + PAD] == top[i]).argmax(axis=0)
-                    for j in range(width):
-                        d_f[j] += x[at + j].T * d[i]
-                        word = at + j - begin[i] - LEAD
-                        real = (word >= 0) & (word < n[pick[i]]) & (d[i] != 0)
-                        touched.append(mine[first[i] + word[real]])
-                        moves.append((f[j].T * d[i][:, None])[real])
-                past[k][0][...] += d_f**2
-                past[k][1][...] += d.sum(axis=0) ** 2
-                net.filters[k] = (f - rate * d_f / np.sqrt(past[k][0])).astype(np.float32)
-                net.bias[k] = (net.bias[k] - rate * d.sum(axis=0) / np.sqrt(past[k][1])).astype(np.float32)
-            grads["out"] += d_out**2
-            grads["shift"] += d_shift**2
-            net.out -= rate * d_out / np.sqrt(grads["out"])
-            net.shift -= rate * d_shift / np.sqrt(grads["shift"])
-            rows = slots[np.concatenate(touched)]
-            move = np.concatenate(moves)
-            for column in rows.T:
-                row, back = np.unique(column, return_inverse=True)
-                step = np.zeros((len(row), DIM))
-                np.add.at(step, back, move)
-                grads["table"][row] += (step**2).mean(axis=1)
-                net.table[row] -= (rate * step / np.sqrt(grads["table"][row])[:, None]).astype(np.float32)
-    return net
+    order = rng.permutation(len(n))
+    for s in range(0, len(order), size):
+        pick = order[s : s + size]
+        mine = np.concatenate([slots[first[i] : first[i + 1]] for i in pick])
+        own = np.concatenate(([0], np.cumsum(n[pick])))
+        h, places, x = net.pooled(mine, own)
+        p = 1.0 / (1.0 + np.exp(-np.clip(h @ net.out + net.shift, -60, 60)))
+        err = (p - labels[pick]) / len(pick)
+        d_h = np.outer(err, net.out) * (h > 0)
+        d_filters, d_bias, touched, moves = [], [], [], []
+        for k, width in enumerate(WIDTHS):
+            y, begin, top = places[k]
+            d, f = d_h[:, k * FILTERS : (k + 1) * FILTERS], net.filters[k]
+            there = y == np.repeat(top, n[pick] + PAD, axis=0)
+            at = np.minimum.reduceat(np.where(there, np.arange(len(y))[:, None], len(y)), begin, axis=0)
+            d_f = np.zeros(f.shape)
+            for j in range(width):
+                d_f[j] = np.einsum("mfd,mf->df", x[at + j], d)
+                word = at + j - begin[:, None] - LEAD
+                real = (word >= 0) & (word < n[pick][:, None]) & (d != 0)
+                touched.append(mine[(own[:-1, None] + word)[real]])
+                moves.append((f[j].T[None] * d[:, :, None])[real])
+            d_filters.append(d_f.ravel())
+            d_bias.append(d.sum(axis=0))
+        step = np.concatenate([*d_filters, *d_bias, h.T @ err, [err.sum()]])
+        past.dense += step**2
+        net = with_dense(net, dense(net) - rate * step / np.sqrt(past.dense))
+        rows, move = np.concatenate(touched), np.concatenate(moves)
+        for column in rows.T if len(rows) else []:
+            by = np.argsort(column, kind="stable")
+            row, begin = np.unique(column[by], return_index=True)
+            step = np.add.reduceat(move[by], begin, axis=0)
+            past.table[row] += (step**2).mean(axis=1)
+            net.table[row] -= (rate * step / np.sqrt(past.table[row])[:, None]).astype(np.float32)
+            moved[row] = True
+    return net, past, np.flatnonzero(moved)
 
 
-def threshold(raw: np.ndarray, labels: np.ndarray, weight: float) -> float:
-    """The cut with the least weighted errors; the middle of the widest such gap. ``weight``: of a clean text."""
+def threshold(raw: np.ndarray, labels: np.ndarray, weight: float, counts: np.ndarray | None = None) -> float:
+    """The cut with the least weighted errors; the middle of the widest such gap. ``weight``: of a clean text;
+    ``counts``: how many texts an entry stands for."""
     order = np.argsort(raw, kind="stable")
-    r, y = raw[order], labels[order]
-    wrong = np.concatenate(([0], np.cumsum(y == 1))) + weight * np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
+    r, y, n = raw[order], labels[order], np.ones(len(raw), np.int64) if counts is None else counts[order]
+    wrong = np.concatenate(([0], np.cumsum(n * (y == 1)))) + weight * np.concatenate((np.cumsum((n * (y == 0))[::-1])[::-1], [0]))
     r = np.concatenate(([r[0] - 1], r, [r[-1] + 1]))
+    wrong = np.where(np.diff(r) > 0, wrong, np.inf)
     best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
     k = best[np.argmax(r[best + 1] - r[best])]
     return float((r[k] + r[k + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, least: int = 25) -> tuple[Net, language_id.Model]:
+def _chunks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, number, slots, first, labels) of texts that lie together by shard; a large shard gives several."""
+    shard, number, size = None, 0, 0
+    slots: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    marks: list[int] = []
+
+    def done() -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+        return shard, number, np.concatenate(slots), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.array(marks, np.int64)
+
+    for batch in rows:
+        shards, labels = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for a, b in zip(edges, edges[1:]):  # noqa: B905
+            if a < b and shards[a] != shard:
+                if marks:
+                    yield done()
+                shard, number, size, slots, sizes, marks = int(shards[a]), 0, 0, [], [], []
+            at = a
+            for run in pieces(batch.column(1).slice(a, b - a)):
+                w = _encoded(run)
+                slots.append(word_slots(w))
+                sizes.append(np.diff(w.first))
+                marks += labels[at : at + len(run)]
+                at, size = at + len(run), size + len(w.buf)
+                if size >= SHARD:
+                    yield done()
+                    number, size, slots, sizes, marks = number + 1, 0, [], [], []
+    if marks:
+        yield done()
+
+
+def _slot_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, toxic, n): in how many texts of a class a slot is."""
+    for _, _, slots, first, labels in _chunks(rows):
+        owner = np.repeat(np.arange(len(labels)), np.diff(first))
+        pairs = np.unique(np.concatenate([owner * SLOTS + slots[:, k] for k in range(slots.shape[1])]))
+        for y in (0, 1):
+            n = np.bincount(pairs[labels[pairs // SLOTS] == y] % SLOTS, minlength=SLOTS)
+            slot = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(np.full(len(slot), y, np.int32)), pa.array(n[slot])], names=["slot", "toxic", "n"])
+
+
+def _steps(rows: Iterator[pa.RecordBatch], shared: Broadcast, turn: int) -> Iterator[pa.RecordBatch]:
+    """(slot, n, v0, v1, …) after a pass over each chunk: changes of what moved, as whole numbers so that their sums do not
+    depend on the order, times the number of texts n. Rows from ``SLOTS`` on hold the other weights and their sums."""
+    net, past = shared.value
+    for shard, number, slots, first, labels in _chunks(rows):
+        after, then, moved = learn(net, past, slots, first, labels, np.random.default_rng((11, turn, shard, number)))
+        table = np.concatenate((after.table[moved] - net.table[moved], (then.table[moved] - past.table[moved])[:, None]), axis=1)
+        rest = np.stack((dense(after) - dense(net), then.dense - past.dense), axis=1)
+        rest = np.concatenate((rest, np.zeros((len(rest), DIM - 1))), axis=1)
+        slot = np.concatenate((moved, SLOTS + np.arange(len(rest)))).astype(np.int32)
+        n = len(labels)
+        values = np.rint(np.concatenate((table, rest)).astype(np.float64) * GRAIN).astype(np.int64) * n
+        columns = [pa.array(slot), pa.array(np.full(len(slot), n, np.int64)), *(pa.array(np.ascontiguousarray(v)) for v in values.T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "n", *(f"v{k}" for k in range(DIM + 1))])
+
+
+def fit(rows: DataFrame, sizes: list[int], work: int = 13_500, least: int = 2, most: int = 6) -> Net:
+    """A net from all rows (shard, text, toxic) that lie together by shard; ``sizes``: rows of class 0 and 1.
+
+    A round goes over every row once: tasks start from one net, pass over their chunks and return what changed; the
+    changes are averaged by number of texts in Spark, those of a word over the chunks in which it moved. There are so
+    many rounds that ``work`` texts are seen, from ``least`` to ``most``. The driver holds a net, whatever the input."""
+    per = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
+    counted = rows.mapInArrow(_slot_counts, "slot int, toxic int, n bigint").groupBy("slot", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    slot, toxic, n = (counted[x].to_numpy() for x in ("slot", "toxic", "n"))
+    for y in (0, 1):
+        per[y][slot[toxic == y]] = n[toxic == y]
+    net, past = start(per, sizes)
+    names = [f"v{k}" for k in range(DIM + 1)]
+    for turn in range(min(most, max(least, -(-work // sum(sizes))))):
+        shared = rows.sparkSession.sparkContext.broadcast((net, past))
+        steps = rows.mapInArrow(lambda r, shared=shared, turn=turn: _steps(r, shared, turn), "slot int, n bigint, " + ", ".join(f"{x} bigint" for x in names))
+        sums = steps.groupBy("slot").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).orderBy("slot").toArrow()
+        shared.destroy(blocking=True)
+        slot, n = sums["slot"].to_numpy(), sums["n"].to_numpy()
+        v = np.stack([sums[x].to_numpy() for x in names], axis=1) / n[:, None] / GRAIN
+        of_table = slot < SLOTS
+        net.table[slot[of_table]] += v[of_table, :DIM].astype(np.float32)
+        past.table[slot[of_table]] += v[of_table, DIM].astype(np.float32)
+        net = with_dense(net, dense(net) + v[~of_table, 0])
+        past.dense += v[~of_table, 1]
+    return net
+
+
+def _held_scores(rows: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(lang, toxic, step): language told and raw score, in steps, of every text."""
+    net, langs = shared.value
+    for batch in rows:
+        at = 0
+        for run in pieces(batch.column(0)):
+            step = np.rint(np.clip(net.raw(run), -60, 60) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(langs.told(run), pa.string()), batch.column(1).slice(at, len(run)), pa.array(step)], names=["lang", "toxic", "step"])
+            at += len(run)
+
+
+def train(docs: DataFrame, labels: DataFrame, least: int = 25) -> tuple[Net, language_id.Model]:
     """A net and a language model from documents (doc_id, text, lang) and labels (doc_id, toxic).
 
-    Learns from about ``per_class`` labelled documents of either class, chosen by a hash of doc_id, one in four of
-    them kept for the thresholds. Each language with at least ``least`` kept texts of both classes gets a threshold
-    of its own, the rest share one; languages are told from the texts. A document with several labels is toxic if
-    one of them is; labels without a document or without a value are left out. With one class or none, the
-    score of every text is the labelled toxic share, 0 if there are no labels."""
-    known = labels.filter(c("toxic").isNotNull() & c("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    Learns from every labelled document: three in four, by a hash of id and text, move the net, the others set the
+    thresholds, counted in steps of 1 / 1,024 of the raw score. Each language with at least ``least`` such texts of both classes
+    gets a threshold of its own, the rest share one; languages are told from the texts, by a model of all documents.
+    A document with several labels is toxic if one of them is; labels without a document or without a value are left
+    out. With one class or none, the score of every text is the labelled toxic share, 0 if there are no labels."""
+    known = labels.filter(c("toxic").isNotNull() & c("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = cut_lineage(known)  # read as a table of known size: texts are not sorted to meet few labels
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     one, none = sizes.get(1, 0), sizes.get(0, 0)
-    langs = language_id.train(docs, 1000)
+    langs = language_id.train(docs, None)
     if not one or not none:
         return Net(base=1.0 if one else 0.0), langs
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    part = F.when(c("toxic") == 1, min(1.0, per_class / one)).otherwise(min(1.0, per_class / none))
-    picked = known.filter(draw < part).toArrow()
-    picked = docs.sparkSession.createDataFrame(picked)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("doc_id", "text", "toxic").collect()
-    texts, y = [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], np.int64)
-    if not (y == 1).any() or not (y == 0).any():
+    marked = docs.select("doc_id", c("text").cast("string").alias("text")).join(known.filter(c("toxic").isin(0, 1)), "doc_id")
+    shards = 1 + (known.count() // SHARD_ROWS)
+    drawn = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "doc_id", "text"), F.lit(n)).cast("int")
+    marked = marked.withColumns({"shard": drawn("toxicity", shards), "kept": drawn("kept", 4) == 3})
+    marked = cut_lineage(marked.repartition("shard").sortWithinPartitions("shard", "doc_id", "text").select("shard", "text", "toxic", "kept"))
+    found = {(r["toxic"], r["kept"]): r["count"] for r in marked.groupBy("toxic", "kept").count().collect()}
+    if any(not found.get((y, False)) and not found.get((y, True)) for y in (0, 1)):
         return Net(base=one / (one + none)), langs
-    kept = np.arange(len(y)) % 4 == 3
-    if not all((y[kept] == v).any() and (y[~kept] == v).any() for v in (0, 1)):
-        kept = np.zeros(len(y), bool)
-    net = fit([t for t, k in zip(texts, kept, strict=True) if not k], y[~kept])
-    kept = kept if kept.any() else ~kept
-    held = [t for t, k in zip(texts, kept, strict=True) if k]
-    raw, told = net.raw(held), np.array([g for g, _, _ in langs.label(held)])
-    weight = max(1.0, (none / max(1, (y == 0).sum())) / (one / max(1, (y == 1).sum())))
-    net.cut[""] = threshold(raw, y[kept], weight)
+    apart = all(found.get((y, kept)) for y in (0, 1) for kept in (False, True))
+    moving, held = (marked.filter(~c("kept")), marked.filter("kept")) if apart else (marked, marked)
+    net = fit(moving.select("shard", "text", "toxic"), [found.get((y, False), 0) + (0 if apart else found.get((y, True), 0)) for y in (0, 1)])
+    shared = docs.sparkSession.sparkContext.broadcast((net, langs))
+    scored = held.select("text", "toxic").mapInArrow(lambda r: _held_scores(r, shared), "lang string, toxic int, step int")
+    counted = scored.groupBy("lang", "step", "toxic").agg(F.count("*").alias("n")).orderBy("lang", "step", "toxic").toArrow()
+    shared.destroy(blocking=True)
+    told = np.array(counted["lang"].to_pylist())
+    raw, y, n = (counted[x].to_numpy() for x in ("step", "toxic", "n"))
+    raw = raw / STEPS
+    net.cut[""] = threshold(raw, y, 1.0, n)
     for g in sorted(set(told)):
         mine = told == g
-        if min((y[kept][mine] == v).sum() for v in (0, 1)) >= least:
-            net.cut[str(g)] = threshold(raw[mine], y[kept][mine], weight)
+        if min(n[mine & (y == v)].sum() for v in (0, 1)) >= least:
+            net.cut[str(g)] = threshold(raw[mine], y[mine], 1.0, n[mine])
     return net, langs
 
 
@@ -210,7 +353,7 @@ def annotate(docs: DataFrame, net: Net, langs: language_id.Model, out: str = "to
     @arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         net, langs = shared.value
-        runs = [net.scores(run, [g for g, _, _ in langs.label(run)]) for run in pieces(text)]
+        runs = [net.scores(run, langs.told(run)) for run in pieces(text)]
         return pa.array(np.concatenate([np.empty(0), *runs]), pa.float64())
 
     return docs.withColumn(out, score(c("text").cast("string")))

@@ -88,3 +88,16 @@ def test_held_out_accuracy(spark, sf):
     got = report(load(spark, sf, "documents")).join(load(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     rows = [r for r in got.collect() if r.held_out and r.lang]
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_told_and_few_or_many_texts_alike():
+    rng = np.random.default_rng(5)
+    model = Model(["a", "b", "c"], rng.normal(0, 1, (3, 1 << 18)), np.ones((17, 3), bool), penalty=2.0)
+    texts = [None, "", "12 3"] + [" ".join(rng.choice(["ab", "cd", "ef", "ghi"], n)) for n in rng.integers(1, 60, 400)]
+    many = model.label(texts)
+    assert model.told(texts) == [g for g, _, _ in many]
+    for k in (0, 1, 3, 50, 399):
+        assert model.label([texts[k]])[0][2] == many[k][2] and model.told([texts[k]]) == [many[k][0]]
+    scores = rng.normal(0, 1, (9000, 3))
+    got = model._walk_one(scores)
+    assert np.isclose(total(scores, got.tolist(), 2.0), brute(scores, 2.0)[1])

@@ -70,3 +70,41 @@ def test_nothing_to_learn(spark):
     one = spark.createDataFrame([(1, 1, 1, None), (2, 1, 1, None), (3, 1, 1, None)], LABELS)
     assert {r.score for r in tox.report(docs, one).collect()} == {1.0}
     assert tox.report(docs.limit(0), one).collect() == []
+
+
+def test_every_labelled_row_counts(spark):
+    rows = [(k, f"own{k}word and others", "xx", int(k % 800 == 0)) for k in range(4000)]
+    docs = spark.createDataFrame([(k, t, g, None, None) for k, t, g, _ in rows], DOCS)
+    net, _ = tox.train(docs, spark.createDataFrame([(k, 1, y, None) for k, _, _, y in rows], LABELS))
+    seen = sum(bool(net.table[tox.word_slots(tox._encoded([f"own{k}word"]))[0, 0]].any()) for k, *_ in rows)
+    assert 0.7 * len(rows) < seen < 0.8 * len(rows)
+
+
+def test_threshold_of_counts():
+    raw, y, n = np.array([0.0, 1, 1, 2, 3]), np.array([0, 0, 1, 1, 0]), np.array([9, 2, 5, 6, 1])
+    cut = tox.threshold(raw, y, 1.0, n)
+    assert cut == tox.threshold(np.repeat(raw, n), np.repeat(y, n), 1.0) and 0 < cut < 1
+
+
+def test_pass_moves_as_plain_loops():
+    rng = np.random.default_rng(4)
+    texts, y = ["one two three", "four", "", "two five six seven four"], np.array([1, 0, 0, 1])
+    w = tox._encoded(texts)
+    slots = tox.word_slots(w)
+    per = [np.bincount(slots[:, 0], minlength=tox.SLOTS) + k for k in (1, 0)]
+    net, past = tox.start(per, [2, 2])
+    net = tox.with_dense(net, tox.dense(net) + rng.normal(0, 0.2, len(tox.dense(net))) + 1.0)
+    after, _, moved = tox.learn(net, past, slots, w.first, y, rng)
+
+    def loss(v):
+        h = tox.with_dense(net, v).pooled(slots, w.first)[0]
+        raw = h @ v[-25:-1] + v[-1]
+        return float(np.mean(np.log1p(np.exp(raw)) - y * raw))
+
+    v, change = tox.dense(net), tox.dense(after) - tox.dense(net)
+    for k in (0, 100, 575, 580, 600, 610, len(v) - 1):
+        e = np.zeros(len(v))
+        e[k] = 1e-2
+        slope = (loss(v + e) - loss(v - e)) / 2e-2
+        assert abs(change[k] + 0.05 * slope / np.sqrt(0.01 + slope**2)) < 2e-3
+    assert len(moved) and set(moved.tolist()) <= set(slots.ravel().tolist())
