@@ -7,18 +7,34 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm import decontamination, language_id, mixing, ngram_jaccard, secret_scan
-from concordat.session import checkpoint_dir
+from concordat.session import arrow_rows, checkpoint_dir, cut_lineage
 from concordat.sources.tables import load
 
 # More than half of the letters, whatever the number of languages.
 LEAST_SCORE = 0.6
+ROWS = 500
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def few_at_a_time(stage: Stage) -> Stage:
+    """A stage whose Python tasks, and the buffers that feed them, hold at most ``ROWS`` documents. What it keeps is
+    written before it returns, as the size of a batch is settled when a plan runs."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with arrow_rows(spark, ROWS):
+            return cut_lineage(stage(spark, docs, sf_dir))
+
+    return run_stage
+
+
+@few_at_a_time
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told with a score of ``LEAST_SCORE`` or more. Rejected are texts without a
     letter (null ones too), those in scripts of no known language and those between languages. A missing lang is filled in."""
@@ -38,6 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.decontaminate(docs, load(spark, sf_dir, "benchmark"))
 
 
+@few_at_a_time
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cover the secrets of every text; n_chars follows the text."""
     clean = secret_scan.redact(docs, secret_scan.train(docs))
@@ -49,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", languages),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontaminate),

@@ -66,3 +66,14 @@ def test_empty(spark, sf):
     docs = load(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_python_stages_get_few_documents_at_a_time(spark, sf, monkeypatch):
+    """What a stage in Python keeps is written before it returns, under the limit on batches; the setting is put back."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(key), corpus_pipeline.cut_lineage
+    monkeypatch.setattr(corpus_pipeline, "cut_lineage", lambda df: (seen.append(int(spark.conf.get(key))), write(df))[1])
+    docs = load(spark, sf, "documents").limit(50)
+    for stage in (corpus_pipeline.languages, corpus_pipeline.secrets):
+        assert stage(spark, docs, sf).count() <= 50
+    assert seen == [corpus_pipeline.ROWS] * 2 and spark.conf.get(key) == before
