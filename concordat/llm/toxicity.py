@@ -8,12 +8,13 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from concordat.llm import language_id
 from concordat.llm.common import Words, mix, pieces, separator_table
+from concordat.llm.ngram_jaccard import BITMAP, _bitmap
 from concordat.session import cut_lineage
 
 c = F.col
@@ -304,6 +305,32 @@ def _held_scores(rows: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[
             at += len(run)
 
 
+def _labelled(docs: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """(shard, text, toxic, kept) of the documents that ``known`` (doc_id, toxic) has, in order and together by shard.
+
+    Only texts that a bitmap of the known ids has move, and they do so once: ids alone are joined, and their labels go
+    to the shards of the texts, where a window over the id hands them on."""
+    drawn = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "doc_id", "text"), F.lit(n)).cast("int")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    known = known.select(c("doc_id").try_cast(docs.schema["doc_id"].dataType).alias("doc_id"), "toxic").filter(c("doc_id").isNotNull())
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(known.select(slot.alias("slot"))))
+
+    @arrow_udf("boolean")
+    def maybe(slot: pa.Array) -> pa.Array:
+        at = slot.to_numpy(zero_copy_only=False)
+        return pa.array(((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+
+    texts = docs.filter(c("doc_id").isNotNull()).select("doc_id", c("text").cast("string").alias("text"))
+    texts = texts.withColumns({"shard": drawn("toxicity", shards), "kept": drawn("kept", 4) == 3})
+    told = texts.select("doc_id", "shard").distinct().join(known, "doc_id")
+    none = lambda t: F.lit(None).cast(t)
+    told = told.select("shard", "doc_id", none("string").alias("text"), none("boolean").alias("kept"), "toxic")
+    both = texts.filter(maybe(slot)).select("shard", "doc_id", "text", "kept", none("int").alias("toxic")).unionByName(told)
+    same = Window.partitionBy("shard", "doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.repartition("shard").withColumn("toxic", F.max("toxic").over(same)).filter(c("kept").isNotNull() & c("toxic").isNotNull())
+    return both.sortWithinPartitions("shard", "doc_id", "text").select("shard", "text", "toxic", "kept")
+
+
 def train(docs: DataFrame, labels: DataFrame, least: int = 25) -> tuple[Net, language_id.Model]:
     """A net and a language model from documents (doc_id, text, lang) and labels (doc_id, toxic).
 
@@ -313,17 +340,13 @@ def train(docs: DataFrame, labels: DataFrame, least: int = 25) -> tuple[Net, lan
     A document with several labels is toxic if one of them is; labels without a document or without a value are left
     out. With one class or none, the score of every text is the labelled toxic share, 0 if there are no labels."""
     known = labels.filter(c("toxic").isNotNull() & c("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = cut_lineage(known)  # read as a table of known size: texts are not sorted to meet few labels
+    known = cut_lineage(known)
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     one, none = sizes.get(1, 0), sizes.get(0, 0)
     langs = language_id.train(docs, None)
     if not one or not none:
         return Net(base=1.0 if one else 0.0), langs
-    marked = docs.select("doc_id", c("text").cast("string").alias("text")).join(known.filter(c("toxic").isin(0, 1)), "doc_id")
-    shards = 1 + (known.count() // SHARD_ROWS)
-    drawn = lambda what, n: F.pmod(F.xxhash64(F.lit(what), "doc_id", "text"), F.lit(n)).cast("int")
-    marked = marked.withColumns({"shard": drawn("toxicity", shards), "kept": drawn("kept", 4) == 3})
-    marked = cut_lineage(marked.repartition("shard").sortWithinPartitions("shard", "doc_id", "text").select("shard", "text", "toxic", "kept"))
+    marked = cut_lineage(_labelled(docs, known.filter(c("toxic").isin(0, 1)), 1 + (known.count() // SHARD_ROWS)))
     found = {(r["toxic"], r["kept"]): r["count"] for r in marked.groupBy("toxic", "kept").count().collect()}
     if any(not found.get((y, False)) and not found.get((y, True)) for y in (0, 1)):
         return Net(base=one / (one + none)), langs

@@ -108,3 +108,14 @@ def test_pass_moves_as_plain_loops():
         slope = (loss(v + e) - loss(v - e)) / 2e-2
         assert abs(change[k] + 0.05 * slope / np.sqrt(0.01 + slope**2)) < 2e-3
     assert len(moved) and set(moved.tolist()) <= set(slots.ravel().tolist())
+
+
+def test_labelled_texts_as_a_join(spark):
+    """Repeated and null ids, null texts, ids without a label or without a text: the rows of a plain join, each shard in order."""
+    docs = [(k % 40, f"text {k % 55}", "xx", None, None) for k in range(120)] + [(None, "lost", None, None, None), (7, None, None, None, None), (99, "free", None, None, None)]
+    frame = spark.createDataFrame(docs, DOCS)
+    known = spark.createDataFrame([(k, k % 2) for k in range(0, 60, 3)] + [(7, 1)], "doc_id bigint, toxic int")
+    got = tox._labelled(frame, known, 3)
+    want = frame.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    assert got.count() == want.count() and got.select("text", "toxic").exceptAll(want).isEmpty()
+    assert {r.shard for r in got.collect()} == {0, 1, 2}
