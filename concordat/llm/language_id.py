@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from concordat.llm.common import _powers, mix, pieces
+from concordat.llm.common import _MUL, _powers, mix, pieces
 
 c = F.col
 SLOTS = 1 << 18
 UNKNOWN = "und"
+RUN = 250_000  # characters worked on at a time: what a task needs for them stays small, and near the processor
 # Code point ranges of scripts. Letters outside them count as one more script.
 SCRIPTS = {
     "Latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -65,25 +66,55 @@ class Letters:
         self.starts, self.lens = turn[is_word], (ends - turn)[is_word]
         self.script = script[self.starts]
         self.first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(sizes + 1))))
-        self.at = np.cumsum(self.lens) - self.lens
         self._points, self._letter = points, script > 0
 
-    def features(self) -> list[np.ndarray]:
-        """Hash slots of two, three and four letters around every letter of a word, word edges included, and one
-        slot per word for the whole of it."""
-        if not len(self.starts):
-            return [np.empty(0, np.int64)] * 4
-        keep = np.flatnonzero(self._letter)
-        x = np.where(self._letter, self._points, 0).astype(np.uint64)
-        x = np.concatenate((np.zeros(2, np.uint64), x, np.zeros(2, np.uint64)))
-        b1, here, a1 = x[keep + 1], x[keep + 2], x[keep + 3]
+    def _at(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the letters of the words ``which`` are, one word after the other, and at which of them each word begins."""
+        lens = self.lens[which]
+        begin = np.cumsum(lens) - lens
+        return np.repeat(self.starts[which] - begin, lens) + np.arange(int(lens.sum())), begin
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(which, number): words that stand for all, and for every word the number of its own among them. Both have the
+        same letters and edges, so the same features. Words that touch one of another script stand for themselves."""
+        count = len(self.starts)
+        if not count:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at, begin = self._at(np.arange(count))
+        here = self._points[at]
+        value = (here.astype(np.uint64) + np.uint64(1)) * _powers(int(self.lens.max()))[np.arange(len(at)) - np.repeat(begin, self.lens)]
+        key = np.add.reduceat(value, begin) + self.lens.astype(np.uint64) * _MUL
+        # Every text ends with a line break, so a word is never the last of the buffer.
+        touches = np.flatnonzero(((self.starts > 0) & self._letter[self.starts - 1]) | self._letter[self.starts + self.lens])
+        code = pa.array(key).dictionary_encode()
+        number, size = code.indices.to_numpy().astype(np.int64), len(code.dictionary)
+        number[touches] = size + np.arange(len(touches))
+        which = np.full(size + len(touches), -1)
+        which[number[::-1]] = np.arange(count)[::-1]
+        used = which >= 0
+        number, which = (np.cumsum(used) - 1)[number], which[used]
+        like = which[number]
+        if not np.array_equal(self.lens[like], self.lens) or not np.array_equal(self._points[self._at(like)[0]], here):
+            return np.arange(count), np.arange(count)  # two words of one hash
+        return which, number
+
+    def features(self, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Hash slots of two, three and four letters around every letter of the words ``which``, word edges included, and one
+        slot per word for the whole of it; and at which letter each word begins."""
+        if not len(which):
+            return [np.empty(0, np.int64)] * 4, np.empty(0, np.int64)
+        keep, begin = self._at(which)
+        x = np.where(self._letter, self._points, 0)
+        x = np.concatenate((np.zeros(2, x.dtype), x, np.zeros(2, x.dtype)))
+        b1, here, a1 = (x[keep + k].astype(np.uint64) for k in (1, 2, 3))
         b2 = np.where(b1 > 0, x[keep], 0).astype(np.uint64)
         two = b1 * np.uint64(0x9E3779B97F4A7C15) + here
         three = two * np.uint64(0xC2B2AE3D27D4EB4F) + a1 + np.uint64(7)
         four = three * np.uint64(0x165667B19E3779F9) + b2 + np.uint64(13)
-        pos = np.arange(len(keep)) - np.repeat(self.at, self.lens)
-        whole = np.add.reduceat((here + np.uint64(1)) * _powers(int(self.lens.max()))[pos], self.at) + np.uint64(29)
-        return [(mix(v) & np.uint64(SLOTS - 1)).astype(np.int64) for v in (two, three, four, whole)]
+        lens = self.lens[which]
+        pos = np.arange(len(keep)) - np.repeat(begin, lens)
+        whole = np.add.reduceat((here + np.uint64(1)) * _powers(int(lens.max()))[pos], begin) + np.uint64(29)
+        return [(mix(v) & np.uint64(SLOTS - 1)).astype(np.int64) for v in (two, three, four, whole)], begin
 
 
 @dataclass
@@ -100,16 +131,17 @@ class Model:
         of them, the word says nothing: zeros."""
         if not len(w.starts):
             return np.zeros((0, len(self.langs)))
-        two, three, four, whole = w.features()
-        out = np.empty((len(w.starts), len(self.langs)))
+        which, number = w.distinct()
+        (two, three, four, whole), begin = w.features(which)
+        each = np.empty((len(which), len(self.langs)))
         for k in range(len(self.langs)):
             column = self.table[k]
             letters = column[two] + column[three] + column[four]
-            out[:, k] = np.add.reduceat(letters, w.at) / 3 + column[whole]
-        allowed = self.allowed[w.script]
-        out -= np.where(allowed, 0.0, 50.0)
-        out[~allowed.any(axis=1)] = 0.0
-        return out
+            each[:, k] = np.add.reduceat(letters, begin) / 3 + column[whole]
+        allowed = self.allowed[w.script[which]]
+        each -= np.where(allowed, 0.0, 50.0)
+        each[~allowed.any(axis=1)] = 0.0
+        return each[number]
 
     def spans(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Language number per word: the path with the highest sum of scores less the penalty for each switch.
@@ -125,14 +157,15 @@ class Model:
         best = total.argmax(axis=1)
         owner = np.repeat(np.arange(len(n)), n)
         path[:] = best[owner]
-        gain = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores - scores[np.arange(len(scores)), path][:, None], axis=0)))
-        drop = 1e4 + 2 * float(np.abs(np.diff(gain, axis=0)).sum(axis=0).max(initial=0.0))
+        ahead = scores - scores[np.arange(len(scores)), path][:, None]
+        gain = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(ahead, axis=0)))
+        drop = 1e4 + 2 * float(np.abs(ahead).sum(axis=0).max(initial=0.0))
         level = -drop * np.arange(len(n))
-        start = gain[:-1] - gain[first[:-1]][owner] + level[owner][:, None]
-        low = np.minimum.accumulate(start, axis=0)
-        high = gain[1:] - gain[first[:-1]][owner] + level[owner][:, None] - low
+        offset = (level[:, None] - gain[first[:-1]])[owner]
+        low = np.minimum.accumulate(gain[:-1] + offset, axis=0)
+        high = gain[1:] + offset - low
         mixed = np.zeros(len(n), bool)
-        np.logical_or.at(mixed, owner[(high > self.penalty).any(axis=1)], True)
+        mixed[owner[(high > self.penalty).any(axis=1)]] = True
         self._walk(scores, first, np.flatnonzero(mixed & (n > 0)), path)
         return path
 
@@ -191,7 +224,7 @@ class Model:
         w = Letters(texts)
         scores = self.word_scores(w)
         path = self.spans(scores, w.first) if self.langs else np.zeros(len(w.starts), np.int64)
-        known, names = self.allowed[w.script].any(axis=1), [*self.langs, UNKNOWN]
+        known, names = self.allowed.any(axis=1)[w.script], [*self.langs, UNKNOWN]
         out = []
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
             if a == b or not self.langs:
@@ -216,7 +249,7 @@ class Model:
         if not self.langs or not len(w.starts):
             return [UNKNOWN] * len(texts)
         path = self.spans(self.word_scores(w), w.first)
-        mine = np.where(self.allowed[w.script].any(axis=1), path, len(self.langs))
+        mine = np.where(self.allowed.any(axis=1)[w.script], path, len(self.langs))
         at = np.repeat(np.arange(len(n)), n) * wide + mine
         best = np.bincount(at, weights=w.lens, minlength=len(n) * wide).reshape(len(n), wide)[:, :-1].argmax(axis=1)
         return [self.langs[k] if some else UNKNOWN for k, some in zip(best.tolist(), (n > 0).tolist(), strict=True)]
@@ -228,9 +261,14 @@ def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = (x.to_pylist() for x in batch.columns)
         for lang in sorted(set(langs)):
             mine = pa.array([t for g, t in zip(langs, texts, strict=True) if g == lang], pa.string())
-            for run in pieces(mine):
+            for run in pieces(mine, RUN):
                 w = Letters(run)
-                slot, n = np.unique(np.concatenate(w.features()), return_counts=True)
+                which, number = w.distinct()
+                slots, _ = w.features(which)
+                times = np.bincount(number, minlength=len(which))
+                n = sum(np.bincount(v, np.repeat(times, w.lens[which]) if k < 3 else times, SLOTS) for k, v in enumerate(slots))
+                slot = np.flatnonzero(n)
+                n = n[slot]
                 scripts = np.bincount(w.script, weights=w.lens, minlength=OTHER + 1)
                 seen = np.flatnonzero(scripts)
                 size = len(slot) + len(seen)
@@ -302,7 +340,7 @@ def annotate(docs: DataFrame, model: Model, out: str = "language") -> DataFrame:
     def label(text: pa.Array) -> pa.Array:
         rows = [
             {"lang": lang, "score": score, "spans": [{"lang": g, "start": a, "stop": b} for g, a, b in spans]}
-            for run in pieces(text)
+            for run in pieces(text, RUN)
             for lang, score, spans in shared.value.label(run)
         ]
         return pa.array(rows, ARROW)

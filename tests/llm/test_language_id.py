@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from concordat.llm import language_id
 from concordat.llm.language_id import Letters, Model, annotate, report, train
 from concordat.sources.tables import load
 
@@ -101,3 +102,26 @@ def test_told_and_few_or_many_texts_alike():
     scores = rng.normal(0, 1, (9000, 3))
     got = model._walk_one(scores)
     assert np.isclose(total(scores, got.tolist(), 2.0), brute(scores, 2.0)[1])
+
+
+def test_equal_words_are_hashed_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    vocab = ["ab", "abc", "der", "日本", "слово", "x日本y", "日", "x", "Ñandu", "a"]
+    texts = [None, "", "12 3"] + [" ".join(rng.choice(vocab, n)) for n in rng.integers(1, 80, 300)]
+    model = Model(["a", "b"], rng.normal(0, 1, (2, 1 << 18)), rng.random((17, 2)) < 0.7)
+    letters, plain = [], language_id.mix
+    monkeypatch.setattr(language_id, "mix", lambda h: letters.append(len(h)) or plain(h))
+    w = Letters(texts)
+    got = model.word_scores(w)
+    assert sum(letters) < w.lens.sum()
+    # Every word by itself, with the letters of other scripts that touch it.
+    slots, begin = w.features(np.arange(len(w.starts)))
+    for k in range(2):
+        letters_of = sum(model.table[k][v] for v in slots[:3])
+        want = np.add.reduceat(letters_of, begin) / 3 + model.table[k][slots[3]]
+        allowed = model.allowed[w.script]
+        want = np.where(allowed.any(axis=1), want - np.where(allowed[:, k], 0.0, 50.0), 0.0)
+        assert np.array_equal(got[:, k], want)
+    monkeypatch.setattr(language_id, "_MUL", np.uint64(0))
+    monkeypatch.setattr(language_id, "_powers", lambda n: np.zeros(n, np.uint64))  # all words have one hash
+    assert len(w.distinct()[0]) == len(w.starts)

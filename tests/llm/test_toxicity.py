@@ -119,3 +119,11 @@ def test_labelled_texts_as_a_join(spark):
     want = frame.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
     assert got.count() == want.count() and got.select("text", "toxic").exceptAll(want).isEmpty()
     assert {r.shard for r in got.collect()} == {0, 1, 2}
+
+
+def test_words_are_embedded_once():
+    rng = np.random.default_rng(4)
+    net = tox.Net(table=rng.normal(size=(tox.SLOTS, tox.DIM)).astype(np.float32))
+    slots = rng.integers(0, tox.SLOTS, (50, 3)).astype(np.int32)[rng.integers(0, 50, 3000)]
+    assert np.array_equal(net.embedded(slots), net.table[slots].sum(axis=1))
+    assert net.embedded(slots[:0]).shape == (0, tox.DIM)
