@@ -373,13 +373,20 @@ def cover(text: str | None, spans: list[dict], mark: str) -> str | None:
 
 
 def redact(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
-    """Documents with every secret in ``text`` replaced by ``mark``; all rows and other columns stay."""
+    """Documents with every secret in ``text`` replaced by ``mark``; all rows and other columns stay. A text goes to one
+    Python task, which finds and covers."""
 
-    @arrow_udf("string")
-    def covered(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([cover(t, s, mark) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    return annotate(docs, field, "__secrets").withColumn("text", covered("text", "__secrets")).drop("__secrets")
+    @arrow_udf("string")
+    def covered(text: pa.Array) -> pa.Array:
+        rows = []
+        for run in pieces(text):
+            for t, spans in zip(run, scan(run, shared.value), strict=True):
+                rows.append(cover(t, [{"start": a, "stop": b} for a, b, _ in spans], mark))
+        return pa.array(rows, pa.string())
+
+    return docs.withColumn("text", covered(c("text").cast("string")))
 
 
 def report(docs: DataFrame, sample: int = 300) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from concordat.llm import secret_scan as ss
 from concordat.llm.secret_scan import Field, fit, redact, report, scan, viterbi
@@ -155,3 +156,10 @@ def test_report_and_redact(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([(1, None, None, None)], SCHEMA)
     assert [r.spans for r in report(frame).collect()] == [""] and report(frame.limit(0)).collect() == []
+
+
+def test_redact_takes_one_python_task(spark):
+    frame = spark.createDataFrame([(1, "password = hunter2secret"), (2, None), (3, "")], "doc_id long, text string")
+    clean = redact(frame, field()).withColumn("n", F.length("text"))
+    assert clean._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in clean.collect()} == {1: "[SECRET]", 2: None, 3: ""}
