@@ -214,3 +214,37 @@ def test_features_move_no_texts(spark, monkeypatch):
     got = {r.feature_id: (r.name, r.status, r.size) for r in features.collect()}
     assert got == {of["a"]: ("policy", "IMPLEMENTED", 2), of["c"]: ("far", "COVERAGE_GAP", 1), of["d"]: ("Seven", "COVERAGE_GAP", 1)}
     assert written and not any({"text", "hints"} & set(columns) for columns in written)
+
+
+def test_rows_tell_what_is_broadcast(spark):
+    """Rows that repeat make small files, and tables of any length would go through the driver; small tables still do."""
+    from concordat.session import cut_lineage, sized_by_rows
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300k")
+    try:
+        rows = spark.range(40_000).selectExpr("id", "repeat('text ', 40) AS t")
+        with sized_by_rows():
+            long, short = cut_lineage(rows), cut_lineage(rows.limit(20))
+        plan = lambda a, b: a.join(b.filter("t <> ''"), "id")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan(spark.range(10), cut_lineage(rows.selectExpr("id % 2 AS id", "t")))
+        assert "BroadcastHashJoin" not in plan(spark.range(10**9), long)
+        assert "BroadcastHashJoin" in plan(spark.range(10**9), short)
+        assert not cut_lineage(rows)._jdf.queryExecution().analyzed().toString().startswith("ResolvedHint")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_scan_is_sized_by_rows(spark, monkeypatch):
+    """All tables of a scan are written under that rule, and none after it."""
+    from concordat import session
+    from concordat.operators import scan as sc_
+
+    def model(docs):
+        raise InterruptedError(session._by_rows)
+
+    monkeypatch.setattr(sc_, "spec_model", model)
+    docs = spark.createDataFrame([("s", "code", "code", 0, "{}")], "scan_id string, side string, spec_id string, spec_pos int, json string")
+    with pytest.raises(InterruptedError, match="True"):
+        sc_.scan(docs)
+    assert not session._by_rows
